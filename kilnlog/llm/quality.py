@@ -158,10 +158,16 @@ class Shard:
     """Sorted arrays of the n-grams that end in the shard's pairs of characters, by fold and order."""
 
     def __init__(self, rows) -> None:
+        """rows: an Arrow table; a null probability or weight becomes NaN."""
+        import pyarrow.compute as pc
+
+        f, n, g, p, b = (rows[c].to_numpy() if c[1] in "fog" else pc.fill_null(rows[c], float("nan")).to_numpy() for c in ("_fold", "_order", "_g", "_p", "_b"))
         self.tables: dict = {}
-        for (f, n), part in rows.groupby(["_fold", "_order"]):
-            part = part.sort_values("_g")
-            self.tables[f, n] = tuple(part[c].to_numpy() for c in ("_g", "_p", "_b"))
+        for key in {(int(x), int(y)) for x in (0, 1) for y in np.unique(n)}:
+            own = np.flatnonzero((f == key[0]) & (n == key[1]))
+            own = own[np.argsort(g[own])]
+            if len(own):
+                self.tables[key] = (g[own], p[own], b[own])
 
     def find(self, f: int, n: int, g: np.ndarray, column: int, none: float) -> np.ndarray:
         keys, *cols = self.tables.get((f, n), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
@@ -199,7 +205,7 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = O
         # an n-gram is needed by positions with the two characters before its last, a context by those that follow its last two
         mine_of = lambda g, k=k: F.pmod(F.xxhash64(_suffix(g, 2)), F.lit(shards)) == k
         part = model if shards == 1 else model.where((F.col("_order") <= 2) | mine_of(F.shiftright("_g", BITS)) | (F.col("_b").isNotNull() & mine_of(F.col("_g"))))
-        shared = spark.sparkContext.broadcast(Shard(part.toPandas()))
+        shared = spark.sparkContext.broadcast(Shard(part.select("_fold", "_order", "_g", "_p", "_b").toArrow()))
 
         def part_scores(batches, shared=shared, k=k):
             import pandas as pd
