@@ -7,8 +7,8 @@ average, and the record goes to the child named by its value there; sets with si
 that depends on the depth alone, and the number of runs follows from the target recall at the greatest depth.  A bucket of at
 most SMALL records is a leaf; larger ones are split further, down to MAX_DEPTH.
 
-Leaves are not expanded into pairs.  In each leaf a record is tied to every leader that its signature is near, or
-becomes a leader; by the triangle inequality two sets of similarity 0.8 in a leaf are tied to a
+Leaves are not expanded into pairs.  In each leaf a record is tied to every leader that its signature is near (of ties that close a
+circle only some are written), or becomes a leader; by the triangle inequality two sets of similarity 0.8 in a leaf are tied to a
 common leader.  Leaves that are still large are cut into salted parts whose leaders meet again.  The components of the ties are
 groups; inside each group all exact similarities are computed, in tiles of bounded size, and only counts of links and a
 spanning forest of each tile leave the task.  So all links between different texts in a group are counted, whether or not a leaf held both.
@@ -186,11 +186,14 @@ def _lead(batches):
         for group in pdf:
             nodes, sigs = group["_node"].to_numpy(), np.frombuffer(b"".join(group["_sig"]), np.uint8).reshape(-1, CARRIED)
             left, leaf = np.arange(len(nodes)), group["_leaf"].iat[0]
+            part = np.arange(len(nodes))  # what is tied already
             while len(left):
                 i, left = left[0], left[1:]
                 near = (sigs == sigs[i]).mean(axis=1)
-                tied = np.flatnonzero(near >= TIE)
-                out += [(leaf, int(nodes[j]), int(nodes[i]), None) for j in tied if nodes[j] != nodes[i]]
+                tied = np.flatnonzero((near >= TIE) & (part != part[i]))
+                labels, first = np.unique(part[tied], return_index=True)
+                out += [(leaf, int(nodes[tied[j]]), int(nodes[i]), None) for j in first]  # one tie for each part that joins
+                part[np.isin(part, labels)] = part[i]
                 out.append((leaf, int(nodes[i]), None, sigs[i].tobytes()))
                 left = left[near[left] < LEADER]
         if out:
