@@ -272,7 +272,7 @@ def _tile(batches):
             common = np.zeros((len(nodes), len(nodes)), np.float32)
             order = np.argsort(inv, kind="stable")
             inv, own = inv[order], own[order]
-            width = max(1, (8 << 20) // len(nodes))
+            width = max(1, min((8 << 20) // len(nodes), len(inv) and int(inv[-1]) + 1))
             for lo in range(0, (inv[-1] + 1) if len(inv) else 0, width):
                 a, b = np.searchsorted(inv, [lo, lo + width])
                 m = np.zeros((len(nodes), width), np.float32)
