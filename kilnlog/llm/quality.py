@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import materialise, table
+from kilnlog.llm.common import materialise, small_side, table
 
 ORDER = 5
 BITS = 12  # of a folded character
@@ -269,11 +269,12 @@ def classify(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, id_col
     fold_ = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)).cast("int")
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.col(lang_col).alias("_lang"), F.xxhash64(text).alias("_text_key"), fold_.alias("_half"))
-    model = train(spark, marked.join(trusted, "_id", "left_semi").select(F.col("_half").alias("_fold"), "_text"), order)
+    trusted = materialise(spark, trusted, "kn-trusted")
+    model = train(spark, marked.join(small_side(trusted, 16), "_id", "left_semi").select(F.col("_half").alias("_fold"), "_text"), order)
     model = materialise(spark, model, "kn-model")
     scored = score(spark, marked.withColumn("_fold", 1 - F.col("_half")).drop("_half"), model, order, shard_rows)
     scored = materialise(spark, scored.drop("_fold"), "kn-scores")
-    known = scored.join(trusted, "_id", "left_semi").where("_n > 0")
+    known = scored.join(small_side(trusted, 16), "_id", "left_semi").where("_n > 0")
     means = known.groupBy("_lang").agg((F.sum("_nll") / F.sum("_n")).alias("_mean"), F.count(F.lit(1)).alias("_docs"))
     overall, = known.agg(F.sum("_nll") / F.sum("_n")).first()
     means = means.where(F.col("_docs") >= min_trusted).select(F.col("_lang").alias("_lang2"), "_mean")
@@ -304,6 +305,6 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns."""
     judged = classify(spark, docs, trusted, **options)
-    bad = judged.where(~F.col("keep")).select(F.col("_id").alias("_bad_id"), F.col("_text_key").alias("_bad_key")).distinct()
+    bad = small_side(materialise(spark, judged.where(~F.col("keep")).select(F.col("_id").alias("_bad_id"), F.col("_text_key").alias("_bad_key")).distinct(), "kn-bad"), 24)
     text_key = F.xxhash64(F.coalesce(F.col(options.get("text_col", "text")), F.lit("")))
     return docs.join(bad, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_bad_id")) & (text_key == F.col("_bad_key")), "left_anti")
