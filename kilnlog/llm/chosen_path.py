@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import materialise, small_side, table
+from kilnlog.llm.common import materialise, small_side, table, tidy
 from kilnlog.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -55,12 +55,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Hashes of words, kept while there are fewer than a million."""
+    """Hashes of words, kept while there are fewer than 200,000."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -117,7 +117,7 @@ def _records(n_runs: int):
         import pandas as pd
 
         words = Words()
-        for pdf in batches:
+        for pdf in (b.iloc[i : i + 1024] for b in batches for i in range(0, len(b), 1024)):
             sets = [shingles(t or "", words) for t in pdf["_text"]]
             some = [i for i, s in enumerate(sets) if len(s)]
             sigs = np.array([signature(sets[i]) for i in some], np.uint64).reshape(len(some), SIZE)
@@ -132,9 +132,9 @@ def _records(n_runs: int):
             at = {i: j for j, i in enumerate(some)}
             with np.errstate(over="ignore"):
                 yield pd.DataFrame({
-                    "_id": pdf["_id"].astype("Int64"),
-                    "_t1": pdf["_t1"],
-                    "_t2": pdf["_t2"],
+                    "_id": pdf["_id"].astype("Int64").array,
+                    "_t1": pdf["_t1"].to_numpy(),
+                    "_t2": pdf["_t2"].to_numpy(),
                     "_node": np.array([mix(mix(s).sum() + np.uint64(len(s))) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
                     "_sig": [short[at[i]].tobytes() if i in at else b"" for i in range(len(sets))],
                     "_leaves": [np.unique(leaves[at[i]]) if i in at else np.zeros(0, np.int64) for i in range(len(sets))],
@@ -227,7 +227,7 @@ def _ties(spark: SparkSession, sets: DataFrame, small: int, max_depth: int) -> D
     for _ in range(START_DEPTH, max_depth):
         if large.isEmpty():
             break
-        deeper = materialise(spark, large.select("_leaf", "_node", "_sig").mapInPandas(_split, _LEAF), "path-split")
+        deeper = materialise(spark, large.select("_leaf", "_node", "_sig").mapInPandas(tidy(_split), _LEAF), "path-split")
         counted = deeper.groupBy("_leaf").count().where("count > 1")
         deeper = materialise(spark, deeper.join(counted, "_leaf").select("_leaf", "_node", "_sig", "count"), "path-leaves")
         done.append(deeper.where(F.col("count") <= small))
@@ -239,7 +239,7 @@ def _ties(spark: SparkSession, sets: DataFrame, small: int, max_depth: int) -> D
     while True:
         salt = F.pmod(F.xxhash64("_node"), F.ceil(F.col("count") / small)).cast("int")
         dealt = now.withColumn("_salt", salt).repartition("_leaf", "_salt").sortWithinPartitions("_leaf", "_salt", "_node")
-        led = materialise(spark, dealt.select("_leaf", "_salt", "_node", "_sig").mapInPandas(_lead, "_leaf long, _node long, _to long, _sig binary"), "path-leaders")
+        led = materialise(spark, dealt.select("_leaf", "_salt", "_node", "_sig").mapInPandas(tidy(_lead), "_leaf long, _node long, _to long, _sig binary"), "path-leaders")
         ties = led.where("_to is not null").select(F.col("_node").alias("a"), F.col("_to").alias("b")).distinct()
         found = ties if found is None else found.unionByName(ties)
         cut = now.where(F.col("count") > small).select("_leaf").distinct()
@@ -306,7 +306,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(text, F.lit(1)).alias("_t2"), text.alias("_text"))
     schema = "_id long, _t1 long, _t2 long, _node long, _sig binary, _leaves array<long>"
-    records = materialise(spark, keyed.mapInPandas(_records(runs_for(recall, max_depth)), schema), "path-records")
+    records = materialise(spark, keyed.mapInPandas(tidy(_records(runs_for(recall, max_depth))), schema), "path-records")
     texts = records.groupBy("_t1", "_t2").agg(F.min("_id").alias("_copy"), F.first("_node").alias("_node"))
     texts = materialise(spark, texts, "path-texts")
     per_set = texts.groupBy("_node").agg(F.count(F.lit(1)).alias("_texts"), F.min("_copy").alias("_least"), F.min(F.struct("_t1", "_t2", "_copy")).alias("_rep"))
@@ -324,12 +324,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
         for pdf in batches:
             yield pd.DataFrame({"_node": pdf["_node"], "_group": pdf["_group"], "_texts": pdf["_texts"], "_tiles": pdf["_tiles"], "_set": [shingles(t, words).tobytes() for t in pdf["_text"]]})
 
-    sent = chosen.select("_node", "_group", "_texts", "_tiles", "_text").mapInPandas(to_sets, "_node long, _group long, _texts long, _tiles int, _set binary")
+    sent = chosen.select("_node", "_group", "_texts", "_tiles", "_text").mapInPandas(tidy(to_sets), "_node long, _group long, _texts long, _tiles int, _set binary")
     own = F.pmod(F.xxhash64("_node"), F.col("_tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda o: F.struct(F.least(o, F.col("_tile")).alias("i"), F.greatest(o, F.col("_tile")).alias("j")))
     dealt = sent.withColumn("_tile", own).withColumn("_p", F.explode(pairs)).select("_group", F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), "_node", "_texts", "_tile", "_set")
     dealt = dealt.repartition("_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j")
-    judged = materialise(spark, dealt.mapInPandas(_tile, "_node long, _links long, _to long"), "path-judged")
+    judged = materialise(spark, dealt.mapInPandas(tidy(_tile), "_node long, _links long, _to long"), "path-judged")
     roots = components(spark, judged.where("_to is not null").select(F.col("_node").alias("a"), F.col("_to").alias("b"))).select(F.col("node").alias("_node"), "root")
     links = judged.where("_to is null").groupBy("_node").agg(F.sum("_links").alias("_links"))
     nodes = per_set.join(roots, "_node", "left").join(links, "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
@@ -341,12 +341,21 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
 
 def one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is the least of their class, each class once, with their columns; classes without an id keep one row."""
-    joined = jaccard_join(spark, docs, id_col=id_col, text_col=text_col, **options)
+    joined = materialise(spark, jaccard_join(spark, docs, id_col=id_col, text_col=text_col, **options), "path-joined")
     key = F.struct(F.col("_id").isNull().alias("n"), "_id", "_t1", "_t2")
-    chosen = joined.withColumn("_class", F.coalesce("class_id", "_t1")).groupBy("_class", F.col("class_id").isNull()).agg(F.min(key).alias("_k")).select(F.col("_k._id").alias("_cid"), F.col("_k._t1").alias("_c1"), F.col("_k._t2").alias("_c2"))
+    of_class = [F.coalesce("class_id", "_t1"), F.col("class_id").isNull()]
+    classed = joined.withColumns({"_class": of_class[0], "_none": of_class[1]})
+    rows = classed.join(classed.groupBy("_class", "_none").agg(F.min(key).alias("_k")), ["_class", "_none"])
+    as_keys = lambda df: small_side(materialise(spark, df.select(F.col("_id").alias("_kid"), F.col("_t1").alias("_k1"), F.col("_t2").alias("_k2")), "path-keys"), 32)
+    dropped = as_keys(rows.where(~(key == F.col("_k"))).select("_id", "_t1", "_t2").distinct())
+    repeated = as_keys(rows.where(key == F.col("_k")).groupBy("_id", "_t1", "_t2").count().where("count > 1"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_cid")) & (F.xxhash64(text) == F.col("_c1")) & (F.xxhash64(text, F.lit(1)) == F.col("_c2"))).drop("_cid", "_c1", "_c2")
-    return kept.dropDuplicates([id_col, text_col])
+    same = F.col(id_col).eqNullSafe(F.col("_kid")) & (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(text, F.lit(1)) == F.col("_k2"))
+    kept = docs.join(dropped, same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, same, "left_semi").withColumn("_key", F.xxhash64(text)).dropDuplicates([id_col, "_key"]).drop("_key")
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

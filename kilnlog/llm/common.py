@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +20,15 @@ BROADCAST_BYTES = 32 << 20
 _local: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 1,000 rows to and from Python, unless the session sets its own number: a row here is a whole document."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +54,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,6 +65,22 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
 
 
+def tidy(part):
+    """part, a function from batches to batches, that gives its worker's freed memory back when it ends; workers live on."""
+
+    @functools.wraps(part)
+    def run(batches):
+        try:
+            yield from part(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import table
+from kilnlog.llm.common import table, tidy
 
 PIECE = 128
 CELLS = 12  # cells in each of the three parts of a sketch of the first size
@@ -228,7 +228,7 @@ def fingerprint_documents(docs: DataFrame, *, n_buckets: int | None = None, chun
         if rows:
             yield judged(rows)
 
-    return in_descending_order(docs, n_buckets).mapInPandas(stream, RESULT)
+    return in_descending_order(docs, n_buckets).mapInPandas(tidy(stream), RESULT)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

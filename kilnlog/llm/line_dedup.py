@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import materialise, small_side, table
+from kilnlog.llm.common import materialise, small_side, table, tidy
 from kilnlog.llm.url_filter import LOWER, UPPER
 
 _BLANK = " \t\n\x0b\x0c\r"
@@ -90,7 +90,7 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     rows = materialise(spark, lines(docs, id_col, text_col, min_chars), "line-hashes")
     # rows of equal id and text count their lines once
     ranged = rows.select("_h1", "_h2", "_doc", "_pos").repartitionByRange("_h1", "_h2", "_doc").sortWithinPartitions("_h1", "_h2", "_doc", "_pos")
-    runs = ranged.mapInPandas(_runs, "_h1 long, _h2 long, _docs long, _lines long, _first_doc long, _first_pos int")
+    runs = ranged.mapInPandas(tidy(_runs), "_h1 long, _h2 long, _docs long, _lines long, _first_doc long, _first_pos int")
     united = runs.groupBy("_h1", "_h2").agg(F.sum("_docs").alias("_docs"), F.min(F.struct(F.col("_first_doc"), F.col("_first_pos"))).alias("_first"))
     often = materialise(spark, united.where(F.col("_docs") >= min_docs).select("_h1", "_h2", "_first"), "line-often")
     lost = rows.join(small_side(often, 64), ["_h1", "_h2"])
@@ -156,7 +156,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "kept_sha256": [hashlib.sha256(k.encode()).hexdigest() for k in kept],
             })
 
-    return joined.mapInPandas(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.mapInPandas(tidy(digest), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 ORACLE = r"""

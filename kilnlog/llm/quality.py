@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import materialise, small_side, table
+from kilnlog.llm.common import materialise, small_side, table, tidy
 
 ORDER = 5
 BITS = 12  # of a folded character
@@ -74,7 +74,7 @@ def positions(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], np.repeat([i for i, _ in own], [n for _, n in own])
 
 
-def _count_grams(order: int, batch_rows: int = 4_000_000):
+def _count_grams(order: int, batch_rows: int = 1_000_000):
     def part(batches):
         import pandas as pd
 
@@ -89,8 +89,8 @@ def _count_grams(order: int, batch_rows: int = 4_000_000):
         for pdf in batches:
             for f in (0, 1):
                 texts = pdf["_text"][pdf["_fold"] == f].tolist()
-                grams, _ = positions(texts, order)
-                if len(grams):
+                for lo, hi in _slices(texts):
+                    grams, _ = positions(texts[lo:hi], order)
                     held[f].append(np.unique(grams, return_counts=True))
                     if sum(len(k) for k, _ in held[f]) > batch_rows:
                         out(f)
@@ -111,7 +111,7 @@ def train(spark: SparkSession, trusted: DataFrame, order: int = ORDER) -> DataFr
 
     trusted has _fold and _text; a fold's model holds the texts of that fold.  Row of order 0: the uniform rest.
     """
-    counts = materialise(spark, trusted.mapInPandas(_count_grams(order), "_fold int, _g long, _c long").groupBy("_fold", "_g").agg(F.sum("_c").alias("_c")), "kn-counts")
+    counts = materialise(spark, trusted.mapInPandas(tidy(_count_grams(order)), "_fold int, _g long, _c long").groupBy("_fold", "_g").agg(F.sum("_c").alias("_c")), "kn-counts")
     by_order = {order: counts}
     for n in range(order - 1, 0, -1):
         # distinct left extensions; an n-gram that begins with a start has one only, so its occurrences count instead
@@ -227,7 +227,7 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = O
                         n[rows[lo:hi]] += np.bincount(own, minlength=hi - lo)
                 yield pd.concat([pdf[keep], pd.DataFrame({"_nll": nll, "_n": n}, index=pdf.index)], axis=1)
 
-        one = docs.mapInPandas(part_scores, f"{schema}, _nll double, _n long")
+        one = docs.mapInPandas(tidy(part_scores), f"{schema}, _nll double, _n long")
         out = one if out is None else out.unionByName(one)
     if shards > 1:
         out = out.groupBy(*keep).agg(F.sum("_nll").alias("_nll"), F.sum("_n").alias("_n"))

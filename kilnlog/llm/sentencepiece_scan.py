@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import materialise, table
+from kilnlog.llm.common import materialise, small_batches, table, tidy
 
 SPACE = "▁"
 GIANT_CHARS, CHUNK_CHARS = 1 << 16, 1 << 15
@@ -224,7 +224,7 @@ def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars
                 cols = list(zip(*rows, strict=True))
                 yield pd.DataFrame(dict(zip(("_key1", "_key2", "_no", "_chunk", "_halo"), cols, strict=True)))
 
-    chunks = materialise(spark, giants.mapInPandas(cut, "_key1 long, _key2 long, _no int, _chunk string, _halo int").repartition("_key1", "_key2", "_no"), "piece-chunks")
+    chunks = materialise(spark, giants.mapInPandas(tidy(cut), "_key1 long, _key2 long, _no int, _chunk string, _halo int").repartition("_key1", "_key2", "_no"), "piece-chunks")
     if Model(model_path).unigram:
         def matrices(batches):
             import pandas as pd
@@ -255,13 +255,14 @@ def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars
                 ids = model.encode(pdf["_chunk"].tolist())
             yield pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_ids": [np.asarray(i, np.int32) for i in ids]})
 
-    encoded = chunks.mapInPandas(encode, "_key1 long, _key2 long, _no int, _ids array<int>")
+    encoded = chunks.mapInPandas(tidy(encode), "_key1 long, _key2 long, _no int, _ids array<int>")
     return encoded.groupBy("_key1", "_key2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_ids"))), lambda c: c["_ids"])).alias("_ids"))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, text_col: str = "text", finish=None, schema: str = "token_ids array<int>", giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """docs without text_col, with what finish(model, texts, ids) gives (columns of schema); by default the token ids."""
     finish = finish or (lambda model, texts, ids: {"token_ids": [np.asarray(i, np.int32) for i in ids]})
+    small_batches(spark)
     keep = [c for c in docs.columns if c != text_col]
     # the other columns travel as one struct, so their names cannot clash with those used here
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep), F.lit(0).alias("_pad")).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
@@ -287,12 +288,12 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, t
             ids = [list(map(int, i)) for i in pdf["_ids"]]
             yield finished(model, pdf.reset_index(drop=True), [model.scan.finish(i) for i in ids] if model.unigram else ids)
 
-    done = rows.where(F.length("_text") < giant_chars).mapInPandas(small, out_schema)
+    done = rows.where(F.length("_text") < giant_chars).mapInPandas(tidy(small), out_schema)
     giants = rows.where(F.length("_text") >= giant_chars).withColumns({"_key1": F.xxhash64("_text"), "_key2": F.xxhash64("_text", F.lit(1))})
     if not giants.isEmpty():
         texts = giants.groupBy("_key1", "_key2").agg(F.first("_text").alias("_text"))
         ids = _giants(spark, texts, model_path, chunk_chars)
-        done = done.unionByName(giants.join(ids, ["_key1", "_key2"]).select("_row", "_text", "_ids").mapInPandas(large, out_schema))
+        done = done.unionByName(giants.join(ids, ["_key1", "_key2"]).select("_row", "_text", "_ids").mapInPandas(tidy(large), out_schema))
     return done.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *[c for c in done.columns if c != "_row"])
 
 
