@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnlog.llm.chosen_path import one_of_each
-from kilnlog.llm.common import new_path, table
+from kilnlog.llm.common import materialise, new_path, small_side, table
 from kilnlog.llm.line_dedup import dedup_lines
 from kilnlog.llm.mixing import mix_sources
 from kilnlog.llm.quality import keep_good, trusted_ids
@@ -40,8 +40,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its source uses it, at least once."""
     order = mix_sources(spark, docs, max_repetition=MAX_REPETITION, cover=True)
     uses = order.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(F.count(F.lit(1)).alias("_mix_uses"))
-    used = docs.join(uses, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")))
-    return used.withColumn("_mix_use", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_uses"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the budget uses every document, so only those used more than once need be told
+    more = small_side(materialise(spark, uses.where("_mix_uses > 1"), "mix-uses"), 64)
+    used = docs.join(more, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")), "left")
+    times = F.sequence(F.lit(1).cast("long"), F.coalesce("_mix_uses", F.lit(1)))
+    return used.withColumn("_mix_use", F.explode(times)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
