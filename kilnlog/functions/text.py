@@ -50,7 +50,7 @@ def clean(text: Column) -> Column:
 
 def short_summary(text: Column) -> Column:
     """The first three lines that are neither blank nor headings, in 500 characters; the text's own start if there is none."""
-    rows = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     body = F.filter(rows, lambda x: ~x.startswith("#"))
     return F.substring(F.when(F.size(body) > 0, F.array_join(F.slice(body, 1, 3), " ")).otherwise(F.trim(text)), 1, 500)
 

@@ -58,7 +58,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    # sums of one document's parts come in any order; nine digits make its ties ties
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 

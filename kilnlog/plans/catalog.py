@@ -354,7 +354,7 @@ st as (select count(*)::double as n, avg(len(w)) as mean from tok), raw as (sele
 idf as (select term, case when idf < 0 then 0.25 * (select avg(idf) from raw) else idf end as idf from raw),
 asked as (select query_id, term, count(*) as q from (select query_id, unnest({_TOK}) as term from ({_ASKED})) group by 1, 2),
 sc as (select query_id, post.id, sum(q * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len(w) / mean))) as score from asked join post using (term) join idf using (term) join tok on tok.id = post.id, st group by 1, 2),
-bm as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from sc where score > 0)"""
+bm as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from sc where score > 0)"""
 
 
 def _corpus(spark, d):

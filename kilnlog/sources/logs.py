@@ -44,7 +44,7 @@ def read_log(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFra
     reader = spark.read
     if encoding.lower().replace("-", "") != "utf8":
         whole = spark.read.format("binaryFile").load(path)
-        return from_texts(whole, file=F.col("path"), text=F.decode("content", F.lit(encoding)))
+        return from_texts(whole, file=F.col("path"), text=F.decode("content", encoding))
     rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.make_valid_utf8("value").alias("raw"))
     counts = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = counts.select("file", "_block", "_first", (F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")).alias("_before"))
