@@ -108,6 +108,8 @@ def mix_sources(
     weights = (
         shares.withColumn("_w", F.exp(F.lit(a) * F.col("_l")) / F.lit(z))
         .withColumn("_budget", (F.greatest(F.ceil(own - F.lit(1e-6)).cast("long"), F.col("_t")) if cover else F.round(own).cast("long")))
+        # rounding must not begin another pass
+        .withColumn("_budget", F.least("_budget", F.floor(F.col("_t") * F.lit(float(max_repetition or 1)))) if max_repetition else F.col("_budget"))
         .where("_budget > 0")
         .select("_source", "_w", "_budget", F.ceil(F.col("_budget") / F.col("_t")).cast("long").alias("_passes"), F.ceil(F.col("_t") / F.lit(float(bucket_tokens))).cast("double").alias("_buckets"))
         .withColumnRenamed("_source", "_source2")
