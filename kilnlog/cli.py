@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         profile = profiles.get(a.platform)
     anchors = a.anchors or settings.parser.anchors or profile.anchors
     fallback = profile.fallback_anchors if settings.parser.use_fallback_anchors else ()
-    numbered = C.in_cycle(C.with_cycle(lines, anchors, fallback=fallback, timestamp_pattern=profile.timestamp))
+    numbered = S.stored(C.in_cycle(C.with_cycle(lines, anchors, fallback=fallback, timestamp_pattern=profile.timestamp)), "lines")
     cyc = C.cycles(numbered, max_cycle_lines=settings.parser.max_cycle_lines)
     if a.command in ("parse", "train-templates"):
         options = profiles.MinerOptions(settings.miner.similarity, settings.miner.depth, settings.miner.max_clusters, profile.miner.delimiters)

@@ -13,6 +13,7 @@ from kilnlog.profiles import TIMESTAMP, Channel
 MODULE = r"^([A-Za-z][A-Za-z0-9_-]*(?:\d+)?)\s*:"
 #: What Python splits at: Java's Unicode white space and the four separators.
 WHITE = r"(?U)[\s\x1c-\x1f]+"
+SOLID = r"(?U)[^\s\x1c-\x1f]"
 
 
 def timestamp(raw: Column, pattern: str | None = TIMESTAMP) -> Column:

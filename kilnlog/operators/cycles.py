@@ -28,10 +28,11 @@ def with_anchor(lines: DataFrame, anchors: Iterable[str], fallback: Iterable[str
 
 
 def with_cycle(lines: DataFrame, anchors: Iterable[str], *, fallback: Iterable[str] = (), timestamp_pattern: str | None = TIMESTAMP) -> DataFrame:
-    """lines with is_anchor, cycle_id and ts."""
+    """lines, numbered from 0 in each file, with is_anchor, cycle_id, cycle_start (its first line_no) and ts."""
     marked = with_anchor(lines, anchors, fallback).withColumn("_block", F.floor(F.col("line_no") / BLOCK))
-    out = prefix_sum(marked, F.col("is_anchor").cast("long"), ["file"], "_block", ["line_no"], "cycle_id")
-    return out.drop("_block").withColumn("ts", timestamp(F.col("raw"), timestamp_pattern))
+    at = F.when(F.col("is_anchor"), F.col("line_no"))
+    out = prefix_sum(marked, F.col("is_anchor").cast("long"), ["file"], "_block", ["line_no"], "cycle_id", latest=(at, "cycle_start"))
+    return out.drop("_block").withColumn("cycle_start", F.coalesce("cycle_start", F.lit(0))).withColumn("ts", timestamp(F.col("raw"), timestamp_pattern))
 
 
 def cycles(numbered: DataFrame, *, files: DataFrame | None = None, max_cycle_lines: int = 100_000) -> DataFrame:
@@ -44,20 +45,24 @@ def cycles(numbered: DataFrame, *, files: DataFrame | None = None, max_cycle_lin
         F.min("line_no").alias("start_line"), (F.max("line_no") + 1).alias("end_line"), F.count(F.lit(1)).alias("line_count"),
         F.max(F.when(F.col("is_anchor"), F.col("raw"))).alias("anchor_line"), F.min_by("ts", timed).alias("ts_start"), F.max_by("ts", timed).alias("ts_end"),
     )
-    zero = (numbered.select("file").distinct() if files is None else files.select("file").distinct()).select(F.col("file").alias("_f"))
-    both = found.where("cycle_id > 0").unionByName(
-        zero.join(found.where("cycle_id = 0"), F.col("_f") == F.col("file"), "left").select(
-            F.col("_f").alias("file"), F.lit(0).cast("long").alias("cycle_id"), F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"),
-            F.coalesce("line_count", F.lit(0)).alias("line_count"), F.lit(None).cast("string").alias("anchor_line"), "ts_start", "ts_end",
-        )
-    )
+    # a file that begins with an anchor has an empty cycle 0, which its cycle 1 brings along
+    opens = (F.col("cycle_id") == 1) & (F.col("start_line") == 0)
+    ids = F.when(opens, F.array(F.lit(0).cast("long"), F.col("cycle_id"))).otherwise(F.array("cycle_id"))
+    own = found.withColumn("_id", F.explode(ids))
+    real = F.col("_id") == F.col("cycle_id")
+    times = [F.when(real, F.col(c)).alias(c) for c in ("anchor_line", "ts_start", "ts_end")]
+    counts = [F.when(real, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("start_line", "end_line", "line_count")]
+    both = own.select("file", F.col("_id").alias("cycle_id"), *times, *counts)
+    if files is not None:
+        bare = files.select("file").distinct().join(both.select("file").distinct(), "file", "left_anti")
+        empty = {"cycle_id": F.lit(0).cast("long"), **{c: F.lit(None) for c in ("anchor_line", "ts_start", "ts_end")}, **{c: F.lit(0) for c in ("start_line", "end_line", "line_count")}}
+        both = both.unionByName(bare.select("file", *(v.cast(both.schema[c].dataType).alias(c) for c, v in empty.items())))
     return both.select("file", "cycle_id", "start_line", "end_line", F.coalesce("anchor_line", F.lit("")).alias("anchor_line"), "ts_start", "ts_end", "line_count", (F.col("line_count") > max_cycle_lines).alias("truncated"))
 
 
 def in_cycle(numbered: DataFrame) -> DataFrame:
     """numbered with line_in_cycle, from 0."""
-    start = numbered.groupBy("file", "cycle_id").agg(F.min("line_no").alias("_start"))
-    return numbered.join(start, ["file", "cycle_id"]).withColumn("line_in_cycle", F.col("line_no") - F.col("_start")).drop("_start")
+    return numbered.withColumn("line_in_cycle", F.col("line_no") - F.col("cycle_start")).drop("cycle_start")
 
 
 def cycle_lines(numbered: DataFrame, cycle_id: int) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnlog.functions.lines import words
+from kilnlog.functions.lines import SOLID, words
+from kilnlog.sources.logs import stored
 
 QUERY_BYTES = 16 << 20
 
@@ -17,7 +18,7 @@ def chunk_chars(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFram
     """(source, chunk_index, chunk_id, text) of (source, text); blank chunks take no index."""
     step = max(size - overlap, 1)
     starts = F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(step)), lambda s: F.substring("text", s + 1, F.lit(size)))
-    filled = docs.where(F.length("text") > 0).select("source", F.posexplode(F.filter(starts, lambda c: F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "") != "")).alias("chunk_index", "text"))
+    filled = docs.where(F.length("text") > 0).select("source", F.posexplode(F.filter(starts, lambda c: c.rlike(SOLID))).alias("chunk_index", "text"))
     return filled.select("source", "chunk_index", F.concat_ws(":", "source", "chunk_index").alias("chunk_id"), "text")
 
 
@@ -27,7 +28,7 @@ def chunk_lines(lines: DataFrame, size: int = 50, overlap: int = 5) -> DataFrame
     first, last = F.greatest(F.floor((F.col("line_no") - size) / step) + 1, F.lit(0)), F.floor(F.col("line_no") / step)
     dealt = lines.select(F.col("file").alias("source"), "line_no", "raw", F.explode(F.sequence(first, last)).alias("_w"))
     parts = dealt.groupBy("source", "_w").agg(F.min("line_no").alias("start_line"), (F.max("line_no") + 1).alias("end_line"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n").alias("text"))
-    filled = parts.where(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", "") != "")
+    filled = parts.where(F.col("text").rlike(SOLID))
     return filled.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("_w")) - 1).alias("chunk_index"), "start_line", "end_line", "text")
 
 
@@ -37,23 +38,42 @@ def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tok.select("id", F.explode("_w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), tok.select("id", F.size("_w").alias("length"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term, _q) of the queries' words, and their distinct terms, marked for broadcast if their summed bytes are few."""
+    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("_q"))
+    terms = asked.select("term").distinct()
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0]
+    return asked, F.broadcast(terms) if size <= QUERY_BYTES else terms
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, id, score, rank) with positive scores of (id, text) for (query_id, text); ties to the smaller id.
 
-    A negative idf becomes epsilon times the mean idf; repeated query words count again.
+    Only the postings of words that are asked for leave the scan; index, as bm25_index gives it, stands for the texts of docs.
+    A negative idf becomes epsilon times the mean idf of all words, which takes a pass of its own, made only if some idf is
+    negative; repeated query words count again.
     """
-    postings, lengths = bm25_index(docs)
+    asked, terms = _asked(queries)
+    tok = docs.select("id", words(F.col("text")).alias("_w"))
+    lengths = tok.select("id", F.size("_w").alias("length")) if index is None else index[1]
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
     if not n or not mean:
         return docs.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double, rank int")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = df.select("term", F.log((n - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
-    low = epsilon * (idf.agg(F.avg("_idf")).first()[0] or 0.0)
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("_q"))
+    if index is None:
+        dealt = tok.select("id", F.size("_w").alias("length"), F.explode("_w").alias("term")).join(terms, "term", "left_semi")
+        postings = dealt.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        postings = index[0].join(terms, "term", "left_semi").join(lengths, "id")
+    postings = stored(postings, "postings")
+    weight = lambda df: F.log((n - F.col(df) + 0.5) / (F.col(df) + 0.5))
+    idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).select("term", weight("_df").alias("_idf"))
+    low = 0.0
+    if not idf.where("_idf < 0").isEmpty():
+        every = index[0].select("term") if index is not None else tok.select(F.explode(F.array_distinct("_w")).alias("term"))
+        low = epsilon * every.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).agg(F.avg(weight("_df"))).first()[0]
     asked = asked.join(idf, "term").withColumn("_idf", F.when(F.col("_idf") < 0, low).otherwise(F.col("_idf")))
-    hits = postings.join(asked, "term").join(lengths, "id")
     part = F.col("_q") * F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    scored = postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return top(scored, k)
 
 
@@ -73,8 +93,9 @@ def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def lexical(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """BM25, and word overlap for the queries that it gives nothing."""
-    found = bm25(docs, queries, k)
-    return found.unionByName(overlap(docs, queries.join(found.select("query_id").distinct(), "query_id", "left_anti"), k))
+    found = stored(bm25(docs, queries, k), "found")  # k rows a query
+    rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found if rest.isEmpty() else found.unionByName(overlap(docs, rest, k))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -87,7 +87,7 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return C.in_cycle(C.with_cycle(event_lines(spark, d), ANCHORS))
+    return S.stored(C.in_cycle(C.with_cycle(event_lines(spark, d), ANCHORS)), "lines")
 
 
 def _profiled(spark: SparkSession, d: str):
@@ -553,32 +553,16 @@ def compact_experience(spark, d):
 def _experience(spark, d):
     from kilnlog.operators import experience as X
 
-    spans = _stored(spark, _spans(spark, d).withColumn("place", F.concat_ws(":", "file", F.lpad(F.col("place").cast("string"), 9, "0"))), "spans")
-    return X.experience(spark, platform="events", device="table", spans=spans, templates=_stored(spark, _mined(spark, d)[2], "templates"), analysis="# Events\nErrors follow purchases.\nViews are slow.")
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or of this machine where no cluster is told of."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kilnlog-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df, written once, for results that read it several times."""
-    path = _scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spans = S.stored(_spans(spark, d).withColumn("place", F.concat_ws(":", "file", F.lpad(F.col("place").cast("string"), 9, "0"))), "spans")
+    return X.experience(spark, platform="events", device="table", spans=spans, templates=S.stored(_mined(spark, d)[2], "templates"), analysis="# Events\nErrors follow purchases.\nViews are slow.")
 
 
 @query()
 def experience_docs(spark, d):
     from kilnlog.operators import experience as X
 
-    root = _scratch(spark, "experiences")
-    rows = _stored(spark, _experience(spark, d), "experience")
+    root = S.scratch(spark, "experiences")
+    rows = S.stored(_experience(spark, d), "experience")
     X.write(spark, root, rows)
     X.write(spark, root, rows)  # again: nothing new
     return X.documents(spark, root, "events", prefer_compact=True)
@@ -586,7 +570,7 @@ def experience_docs(spark, d):
 
 @query(f"with {HITS} select pair, round(mean, 4) as mean, round(stddev, 4) as stddev, sample_count from bl")
 def baseline_roundtrip(spark, d):
-    path = _scratch(spark, "baseline")
+    path = S.scratch(spark, "baseline")
     named = spark.createDataFrame([(m.order, m.name, m.pattern, m.is_regex) for m in MILESTONES], "order int, name string, pattern string, is_regex boolean")
     E.write_baseline(_profiled(spark, d)[4], named, path)
     pairs, _ = E.read_baseline(spark, path)
@@ -596,8 +580,8 @@ def baseline_roundtrip(spark, d):
 @query(f"with {ANOM} select severity, rule_id, count(*) as n from aa group by 1, 2")
 def otel_roundtrip(spark, d):
     anomalies, lines = _anomalies(spark, d)
-    path = _scratch(spark, "documents")
-    E.write_documents(E.documents(_stored(spark, D.with_context(anomalies, lines, 3, 3), "anomalies")), path)
+    path = S.scratch(spark, "documents")
+    E.write_documents(E.documents(S.stored(D.with_context(anomalies, lines, 3, 3), "anomalies")), path)
     return E.exploded(E.read_documents(spark, path)).groupBy("severity", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -606,11 +590,11 @@ def stream_cycles(spark, d):
     from kilnlog.streaming.cycles import stream_cycles as run
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source, out = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
+    source, out = S.scratch(spark, "stream-in"), S.scratch(spark, "stream-out")
     rows = event_lines(spark, d).select("file", F.col("event_id").alias("seq"), "raw")
     rows.write.parquet(source)
     stream = run(spark.readStream.schema(rows.schema).parquet(source), ANCHORS)
-    stream.writeStream.format("parquet").option("checkpointLocation", _scratch(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
+    stream.writeStream.format("parquet").option("checkpointLocation", S.scratch(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("file string, seq long, raw string, line_no long, cycle_id long").parquet(out).select("file", "seq", "line_no", "cycle_id")
 
 
@@ -618,10 +602,10 @@ def stream_cycles(spark, d):
 def stream_prompt(spark, d):
     from kilnlog.streaming.cycles import prompts
 
-    source, out = _scratch(spark, "prompt-in"), _scratch(spark, "prompt-out")
+    source, out = S.scratch(spark, "prompt-in"), S.scratch(spark, "prompt-out")
     S.from_texts(_t(spark, d, "documents"), file=F.col("doc_id"), text=F.col("text")).write.parquet(source)
     stream = prompts(spark.readStream.schema("file string, line_no long, raw string").parquet(source), r"[#$]\s*$")
-    stream.writeStream.format("parquet").option("checkpointLocation", _scratch(spark, "prompt-state")).trigger(availableNow=True).start(out).awaitTermination()
+    stream.writeStream.format("parquet").option("checkpointLocation", S.scratch(spark, "prompt-state")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("file string, line_no long, raw string").parquet(out).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 

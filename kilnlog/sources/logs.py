@@ -2,19 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_local: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; of this machine only in local mode, where the setting may be absent."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="kilnlog-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        root = _local[0]
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet, for results that read it several times; lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-def prefix_sum(df: DataFrame, value: Column, file: list[str], coarse: str, order: list[str], name: str) -> DataFrame:
+def prefix_sum(df: DataFrame, value: Column, file: list[str], coarse: str, order: list[str], name: str, *, latest: tuple[Column, str] | None = None) -> DataFrame:
     """df with name, the running sum of value in each file; no window spans more than a file's rows of one coarse value.
 
     coarse must not decrease along the order.  Its totals are summed first (one row for a file and coarse value), then rows inside.
+    latest, a column and a name, adds the running maximum of the column in the same pass; null before its first value.
     """
-    totals = df.groupBy(*file, coarse).agg(F.sum(value).alias("_sum"))
-    before = totals.select(*file, coarse, (F.sum("_sum").over(Window.partitionBy(*file).orderBy(coarse).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy(*file, coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(before, [*file, coarse]).withColumn(name, F.col("_before") + inside).drop("_before")
+    value = F.coalesce(value, F.lit(0))
+    best = latest[0] if latest else F.lit(None).cast("long")
+    totals = df.groupBy(*file, coarse).agg(F.sum(value).alias("_sum"), F.max(best).alias("_max"))
+    blocks = Window.partitionBy(*file).orderBy(coarse)
+    before = totals.select(
+        *file, coarse,
+        (F.sum("_sum").over(blocks.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_before"),
+        F.max("_max").over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_best"),
+    )
+    inside = Window.partitionBy(*file, coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(before, [*file, coarse]).withColumn(name, F.col("_before") + F.sum(value).over(inside))
+    if latest:
+        out = out.withColumn(latest[1], F.greatest("_best", F.max(best).over(inside)))
+    return out.drop("_before", "_best")
 
 
 def from_table(df: DataFrame, *, file: Column, order: list[str], raw: Column, coarse: Column | None = None, keep: list[str] | None = None) -> DataFrame:
