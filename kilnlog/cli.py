@@ -1,4 +1,4 @@
-"""The command line: parse, analyze, report, train baseline, train templates, rca."""
+"""The command line: parse, analyze, report, train-baseline, train-templates, rca, agent-analyze, agent-chat."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from kilnlog import agent as A
 from kilnlog import profiles
 from kilnlog.config import Settings
 from kilnlog.functions.lines import channel, content, module
@@ -37,18 +38,25 @@ def _arguments() -> argparse.ArgumentParser:
     p = sub.add_parser("rca")
     p.add_argument("documents")
     p.add_argument("--cycle", type=int)
+    for name in ("agent-analyze", "agent-chat"):
+        p = sub.add_parser(name)
+        p.add_argument("--anomalies", default="anomalies")
+        p.add_argument("--baseline")
+        p.add_argument("--templates")
+        p.add_argument("--logfile")
+        p.add_argument("--cycle", type=int)
+        p.add_argument("--config")
+        p.add_argument("--platform", default="auto")
+        p.add_argument("--anchors", nargs="*")
+        p.add_argument("--docs", nargs="*", default=[])
+        p.add_argument("--index")
+        p.add_argument("--store")
     return top
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
-    a = _arguments().parse_args(argv)
-    spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if a.command == "rca":
-        row = spark.read.text(a.documents).first()
-        doc = json.loads(row[0]) if row else {}
-        return E.summary_report(doc, datetime.now()) if a.cycle is None else E.cycle_report(doc, a.cycle)
-    settings = Settings.load(a.config) if a.config else Settings()
-    lines = S.read_log(spark, a.log, settings.parser.encoding)
+def _numbered(spark: SparkSession, a: argparse.Namespace, settings: Settings, path: str):
+    """The profile and the numbered lines of a log, and the lines as they were read."""
+    lines = S.read_log(spark, path, settings.parser.encoding)
     if a.platform == "auto":
         found = P.detect_platform(lines, [(p.name, p.detect) for p in profiles.registered()], default="bdk").groupBy("platform").agg(F.sum("score").alias("s")).orderBy(F.desc("s"), "platform").first()
         profile = profiles.get(found["platform"] if found else "bdk")
@@ -56,7 +64,47 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         profile = profiles.get(a.platform)
     anchors = a.anchors or settings.parser.anchors or profile.anchors
     fallback = profile.fallback_anchors if settings.parser.use_fallback_anchors else ()
-    numbered = S.stored(C.in_cycle(C.with_cycle(lines, anchors, fallback=fallback, timestamp_pattern=profile.timestamp)), "lines")
+    return profile, S.stored(C.in_cycle(C.with_cycle(lines, anchors, fallback=fallback, timestamp_pattern=profile.timestamp)), "lines"), lines
+
+
+def _agent(spark: SparkSession, a: argparse.Namespace, settings: Settings, ask, read) -> str:
+    """Knowledge and experiences are of a platform that a log or a name tells; a new experience makes the knowledge be built again."""
+    profile, lines = None, None
+    if a.logfile:
+        profile, lines, _ = _numbered(spark, a, settings, a.logfile)
+    elif a.platform != "auto":
+        profile = profiles.get(a.platform)
+    place = a.index or (f"{a.store}/index/{profile.name if profile else 'all'}" if a.store else S.scratch(spark, "knowledge"))
+    docs = [*settings.retrieval.docs, *a.docs]
+
+    def knowledge(force: bool = False):
+        return A.build_knowledge(spark, place, documents=docs, store=a.store, platform=profile.name if profile else None, size=settings.retrieval.chunk_size, overlap=settings.retrieval.chunk_overlap, force=force)
+
+    session = A.Session(E.read_json(spark, a.anomalies), spark.read.parquet(a.templates) if a.templates else None, E.read_baseline(spark, a.baseline)[0] if a.baseline else None, lines, knowledge())
+    if a.command == "agent-chat":
+        said = []
+        for text in session.chat(read, ask):
+            print(text)
+            said.append(text)
+        return "\n".join(said)
+    text = session.analyse(a.cycle, ask)
+    if a.store and profile and a.logfile and session.remember(a.store, platform=profile.name, analysis=text, source={"path": a.logfile}, created=f"{datetime.now():%Y-%m-%d %H:%M:%S}"):
+        knowledge(force=True)
+    return text
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask=None, read=lambda: input("kilnlog> ")) -> str:
+    """ask is a client of a language model, as Toolbox.converse takes it; without one the answers are by rule."""
+    a = _arguments().parse_args(argv)
+    spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.command == "rca":
+        row = spark.read.text(a.documents).first()
+        doc = json.loads(row[0]) if row else {}
+        return E.summary_report(doc, datetime.now()) if a.cycle is None else E.cycle_report(doc, a.cycle)
+    settings = Settings.load(a.config) if a.config else Settings()
+    if a.command.startswith("agent-"):
+        return _agent(spark, a, settings, ask, read)
+    profile, numbered, lines = _numbered(spark, a, settings, a.log)
     cyc = C.cycles(numbered, max_cycle_lines=settings.parser.max_cycle_lines)
     if a.command in ("parse", "train-templates"):
         options = profiles.MinerOptions(settings.miner.similarity, settings.miner.depth, settings.miner.max_clusters, profile.miner.delimiters)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kilnlog.functions.text import clean, entity, quote, short_summary
 from kilnlog.operators.export import severity_rank
 from kilnlog.operators.templates import FORMAT, compact_template
+from kilnlog.sources.logs import exists
 
 FINDINGS, TEMPLATES, SNIPPETS = 10, 5, 3
 
@@ -74,9 +75,8 @@ def markdown():
 def write(spark: SparkSession, root: str, rows: DataFrame) -> bool:
     """Append the experiences that root doesn't have yet, by platform; whether there was any."""
     table = f"{root}/experiences"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(table)
     full = rows.withColumn("markdown", markdown())
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if exists(spark, table):
         full = full.join(spark.read.parquet(table).select("experience_id"), "experience_id", "left_anti")
     if full.isEmpty():
         return False

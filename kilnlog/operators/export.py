@@ -64,9 +64,18 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.select("document").write.mode("overwrite").text(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """(document): the JSON of each document."""
+    return spark.read.text(path).select(F.col("value").alias("document"))
+
+
+def parsed(docs: DataFrame) -> DataFrame:
     """A row a document, with a fixed schema."""
-    return spark.read.text(path).select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
+    return docs.select(F.from_json("document", DOCUMENT).alias("d")).select("d.*")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(read_json(spark, path))
 
 
 def exploded(docs: DataFrame) -> DataFrame:

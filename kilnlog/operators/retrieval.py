@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilnlog.functions.lines import SOLID, words
-from kilnlog.sources.logs import stored
+from kilnlog.sources.logs import exists, stored
 
 QUERY_BYTES = 16 << 20
 
@@ -91,9 +91,9 @@ def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top(scored, k)
 
 
-def lexical(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def lexical(docs: DataFrame, queries: DataFrame, k: int = 10, *, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """BM25, and word overlap for the queries that it gives nothing."""
-    found = stored(bm25(docs, queries, k), "found")  # k rows a query
+    found = stored(bm25(docs, queries, k, index=index), "found")  # k rows a query
     rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return found if rest.isEmpty() else found.unionByName(overlap(docs, rest, k))
 
@@ -224,7 +224,8 @@ def backend(vectors: DataFrame, width: int, name: str = "quantised", bits: int =
 
 def load_or_build(spark: SparkSession, path: str, build, *, force: bool = False) -> DataFrame:
     """The table at path; build() makes and stores it if it is absent or force is set."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if force or not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        build().write.mode("overwrite").parquet(path)
+    if force or not exists(spark, path):
+        # written whole before the old table goes, since build() may read it
+        fresh = stored(build(), "index")
+        fresh.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -26,6 +26,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet, for results that read it several times; lineage ends there."""
     path = scratch(df.sparkSession, name)
