@@ -8,7 +8,7 @@ lower bound; the survivors' final scores are then resolved by reading their othe
 together, so that a round is a few matrix products.
 
 Queries and candidates meet in blocks of bounded size (block nested loop); each pair of blocks gives its k best a query,
-and these meet in a second aggregation.  Memory is bounded by the block sizes, whatever the share of one query.
+and these meet in a second aggregation.  Blocks are dealt by id and vector, so an id of very many rows fills no block: memory is bounded by the block sizes.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor rows without an id.  Vectors meet
 only vectors of their own length.  Equal rows count once; rows of equal id and other vectors all
@@ -65,7 +65,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, candidate_bloc
     """(query_id, rank, vec_id, score); vectors and queries have _id long and _v array<long>."""
     def blocked(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
         n = max(1, -(-df.count() // rows))
-        return df.withColumn(name, F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")), n
+        return df.withColumn(name, F.pmod(F.xxhash64("_id", "_v"), F.lit(n)).cast("int")), n
 
     cand, n_c = blocked(vectors, candidate_block, "_cb")
     quer, n_q = blocked(queries, query_block, "_qb")
