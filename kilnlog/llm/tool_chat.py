@@ -10,7 +10,7 @@ holds a third of the table is never gathered in one task.
 
 Defined cases: null texts and roles are JSON null.  The first of calls of equal id (by turn) is linked, later ones are "duplicate".  Status of a
 message: "plain", "calls" (all answered and valid), else the first of "invalid", "duplicate", "cycle", "unanswered" that a call of it has; of a result "linked", or "orphan" without a call.  A
-dependency on an unknown id is ignored.  Text that isn't such JSON is plain.  Repeated rows are kept.
+dependency on an unknown id is ignored.  Text that isn't such JSON is plain, and so is JSON without a canonical form (NaN, infinities, lone surrogates); arguments of that kind are null and invalid.  Repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ _KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null":
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Canonical JSON; a ValueError for what has none: NaN, infinities and lone surrogates."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()
+    return text
 
 
 def fits(value, schema: dict) -> bool:
@@ -58,6 +61,7 @@ def _parse(text, role, schemas: dict) -> tuple[str, object, list]:
     if text and text.lstrip()[:1] == "{":
         try:
             body = json.loads(text)
+            canonical(body)
         except (ValueError, RecursionError):
             return "plain", text, []
         if role == "tool" and isinstance(body.get("tool_call_id"), str):
@@ -70,6 +74,7 @@ def _parse(text, role, schemas: dict) -> tuple[str, object, list]:
                 if isinstance(args, str):
                     try:
                         args = json.loads(args)
+                        canonical(args)
                     except (ValueError, RecursionError):
                         args = None
                 name = str(c.get("name", ""))
