@@ -19,7 +19,9 @@ normalises it, which for a model without normalisation is the text itself.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import struct
 
 import numpy as np
@@ -104,6 +106,17 @@ class Model:
         return [*out, text[lo:]]
 
 
+@functools.lru_cache(maxsize=2)
+def _loaded(path: str, size: int, changed: int) -> Model:
+    return Model(path)
+
+
+def load(path: str) -> Model:
+    """The model of a file as it is now; a worker keeps it for its next tasks."""
+    state = os.stat(path)
+    return _loaded(path, state.st_size, state.st_mtime_ns)
+
+
 class UnigramScan:
     """Max-plus scan over the pieces (text, score, kind) of a unigram model; kind 1 normal, 2 unknown, 4 user-defined, 6 byte."""
 
@@ -211,7 +224,7 @@ def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars
     def cut(batches):
         import pandas as pd
 
-        model = Model(model_path)
+        model = load(model_path)
         for pdf in batches:
             rows = []
             for a, b, t in zip(pdf["_key1"], pdf["_key2"], pdf["_text"], strict=True):
@@ -225,18 +238,18 @@ def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars
                 yield pd.DataFrame(dict(zip(("_key1", "_key2", "_no", "_chunk", "_halo"), cols, strict=True)))
 
     chunks = materialise(spark, giants.mapInPandas(tidy(cut), "_key1 long, _key2 long, _no int, _chunk string, _halo int").repartition("_key1", "_key2", "_no"), "piece-chunks")
-    if Model(model_path).unigram:
+    if load(model_path).unigram:
         def matrices(batches):
             import pandas as pd
 
-            scan = Model(model_path).scan
+            scan = load(model_path).scan
             for pdf in batches:
                 yield pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_m": [scan.matrix(c, h).tobytes() for c, h in zip(pdf["_chunk"], pdf["_halo"], strict=True)]})
 
         def path(pdf):
             import pandas as pd
 
-            scan = Model(model_path).scan
+            scan = load(model_path).scan
             pdf = pdf.sort_values("_no")
             states = scan.states([np.frombuffer(m).reshape(scan.width, scan.width) for m in pdf["_m"]])
             return pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_in": [s for s, _ in states], "_out": [t for _, t in states]})
@@ -247,7 +260,7 @@ def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars
     def encode(batches):
         import pandas as pd
 
-        model = Model(model_path)
+        model = load(model_path)
         for pdf in batches:
             if model.unigram:
                 ids = [model.scan.backtrace(c, h, a, b) for c, h, a, b in zip(pdf["_chunk"], pdf["_halo"], pdf["_in"], pdf["_out"], strict=True)]
@@ -275,7 +288,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, t
         return pd.DataFrame({"_row": pdf["_row"]} | finish(model, pdf["_text"].tolist(), ids))
 
     def small(batches):
-        model = Model(model_path)
+        model = load(model_path)
         for pdf in batches:
             for lo, hi in _by_size(pdf["_text"]):
                 part = pdf.iloc[lo:hi].reset_index(drop=True)
@@ -283,7 +296,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, t
                 yield finished(model, part, model.encode(texts))
 
     def large(batches):
-        model = Model(model_path)
+        model = load(model_path)
         for pdf in batches:
             ids = [list(map(int, i)) for i in pdf["_ids"]]
             yield finished(model, pdf.reset_index(drop=True), [model.scan.finish(i) for i in ids] if model.unigram else ids)
