@@ -108,6 +108,7 @@ def test_token_counts_use_the_cache(spark, tmp_path):
 def test_top_k_is_exact(spark):
     r = random.Random(3)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(900)] + [(900, None), (901, [float("nan")] * 8), (902, [1.0, None] * 4), (None, [0.5] * 8), (903, [0.1] * 5), (904, []), (5, [0.25] * 8), (1000, [0.0] * 8), (1001, [0.0] * 8)]
+    rows += [(7, [r.uniform(-1, 1) for _ in range(8)]) for _ in range(450)]  # one id of a third of the rows
     df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
     got = topk.top_k(df, df.where("_id % 100 = 0"), 10, candidate_block=100, query_block=4).collect()
     import math
@@ -254,6 +255,9 @@ def test_tool_calls_are_linked(spark):
         (3, 0, "assistant", call(("a", "fetch", {"url": "u"}, ["b"]), ("b", "fetch", {"url": "u"}, ["a"]))), (3, 1, "tool", result("a")), (3, 2, "tool", result("b")),
         (None, None, None, None), (4, 0, "user", "{not json"), (4, 0, "user", "{not json"), (5, 0, "assistant", call(("q", "fetch", {"url": "u"}))),
     ]
+    # no canonical form: a lone surrogate, an infinity; the same in arguments; a surrogate pair has one
+    rows += [(6, 0, "assistant", call(("s", "fetch", {"url": "\ud800"}))), (6, 1, "tool", '{"tool_call_id": "t", "content": 1e999}'), (6, 2, "assistant", call(("t", "fetch", '{"url": "\\udc00"}'))), (6, 3, "assistant", call(("u", "fetch", {"url": "\U0001f600"})))]
+    rows.append((6, 4, "tool", result("u")))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("status", F.lit("clash"))
     got = tool_chat.link_tool_calls(spark, df, tool_chat.TOOLS).collect()
     assert len(got) == len(rows)
@@ -266,6 +270,8 @@ def test_tool_calls_are_linked(spark):
     assert at[2, 0]["status"] == "invalid" and at[2, 1]["status"] == "orphan" and at[2, 2]["status"] == "duplicate"
     assert at[3, 0]["status"] == "cycle" and at[5, 0]["status"] == "unanswered"
     assert at[None, None]["message"] == '{"content":null,"role":null}'
+    assert [at[6, i]["status"] for i in range(4)] == ["plain", "plain", "invalid", "calls"]
+    assert json.loads(at[6, 0]["message"])["content"] == rows[-5][3] and json.loads(at[6, 2]["message"])["tool_calls"][0]["function"]["arguments"] == "null"
     assert tool_chat.link_tool_calls(spark, df.where("false"), tool_chat.TOOLS).count() == 0
 
 
