@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import islice
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,8 @@ from kilnlog.functions.lines import SOLID, words
 from kilnlog.sources.logs import exists, stored
 
 QUERY_BYTES = 16 << 20
+#: Of a table of query vectors so many are compared at once, with so many rows at a time.
+BLOCK_QUERIES, BLOCK_ROWS = 1024, 4096
 
 
 def chunk_chars(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
@@ -102,8 +105,71 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
-    """(id, score, rank) of (id, v) by inner product with one vector: one pass, a top-k in every task."""
+def _best(rows, scores: np.ndarray, held, k: int):
+    """held, (query, score, id) of the best so far, with the k best of a slice of rows: the larger score, then the smaller id."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    key = np.where(np.isnan(scores), -np.inf, -scores)
+    last = np.partition(key, k - 1, axis=1)[:, k - 1] if key.shape[1] > k else np.full(len(key), np.inf)
+    q, at = np.nonzero(key <= last[:, None])
+    score, ids = scores[q, at], rows["id"].take(pa.array(at))
+    if held is not None:
+        q, score, ids = np.r_[held[0], q], np.r_[held[1], score], pa.concat_arrays([held[2], ids])
+    place = np.empty(len(q), np.int64)
+    place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(q))
+    order = np.lexsort((place, np.where(np.isnan(score), -np.inf, -score), q))
+    own = q[order]
+    order = order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+    return q[order], score[order], ids.take(pa.array(order))
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int, turn=None) -> DataFrame:
+    """(query_id, id, score, rank): for each row of (query_id, q) the k best of (id, v, scale) by the inner product times scale.
+
+    The queries come to the driver a block at a time; each block is compared with all rows, in a pass that keeps k a query in
+    every task.  Sums run in the order of dot.  Null vectors, and those that hold nulls, neither ask nor are found; all have one width.
+    """
+    spark, kinds = rows.sparkSession, [df.schema[c].dataType for df, c in ((queries, "query_id"), (rows, "id"))]
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    rows, out = rows.where(whole("v")).select("id", "v", "scale"), None
+    asked = queries.where(whole("q")).select("query_id", "q").toLocalIterator()
+    while block := list(islice(asked, BLOCK_QUERIES)):
+        q = np.array([r["q"] for r in block], np.float64)
+        shared = spark.sparkContext.broadcast(q if turn is None else turn(q))
+
+        def part(batches, shared=shared):
+            import pyarrow as pa
+
+            q, held = shared.value, None
+            for batch in batches:
+                for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                    own = batch.slice(lo, BLOCK_ROWS)
+                    v = own["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
+                    scores = np.zeros((len(q), own.num_rows))
+                    for j in range(v.shape[1]):
+                        scores += q[:, j, None] * v[:, j]
+                    held = _best(own, scores * own["scale"].to_numpy(), held, k)
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), held[2], pa.array(held[1])], ["_q", "id", "score"])
+
+        found = rows.mapInArrow(part, f"_q int, id {kinds[1].simpleString()}, score double")
+        rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "id"))
+        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(block)], f"_q int, query_id {kinds[0].simpleString()}")
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), "_q")
+        one = stored(best.select("query_id", "id", "score", "rank"), "nearest")
+        shared.destroy()
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double, rank int")
+
+
+def vector_top(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10) -> DataFrame:
+    """(id, score, rank) of (id, v) by inner product with one vector: one pass, a top-k in every task.
+
+    For a table (query_id, q) of vectors, (query_id, id, score, rank) of each.
+    """
+    if isinstance(query, DataFrame):
+        return _search(vectors.select("id", "v", F.lit(1.0).alias("scale")), query, k)
     scored = vectors.select("id", dot(F.col("v"), F.array(*(F.lit(float(x)) for x in query))).alias("score"))
     best = scored.orderBy(F.desc("score"), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
@@ -153,8 +219,10 @@ def encode(vectors: DataFrame, *, width: int, bits: int = 4, seed: int = 0) -> D
     return vectors.select("id", "v").mapInPandas(part, f"id {vectors.schema['id'].dataType.simpleString()}, codes array<smallint>, scale double")
 
 
-def quantised_top(encoded: DataFrame, query: list[float], k: int = 10, *, seed: int = 0) -> DataFrame:
-    """(id, score, rank): the rotated query against codes, with the scale taken out of the sum."""
+def quantised_top(encoded: DataFrame, query: list[float] | DataFrame, k: int = 10, *, seed: int = 0) -> DataFrame:
+    """(id, score, rank): the rotated query against codes, with the scale taken out of the sum; for a table of queries as vector_top."""
+    if isinstance(query, DataFrame):
+        return _search(encoded.select("id", F.col("codes").alias("v"), "scale"), query, k, lambda q: rotate(q, signs(padded(q.shape[1]), seed)))
     turned = rotate(np.array([query], np.float64), signs(padded(len(query)), seed))[0]
     scored = encoded.select("id", (F.col("scale") * dot(F.col("codes"), F.array(*(F.lit(float(x)) for x in turned)))).alias("score"))
     best = scored.orderBy(F.desc("score"), "id").limit(k)

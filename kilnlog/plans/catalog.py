@@ -438,6 +438,48 @@ def tool_kb_search(spark, d):
     return Q.knowledge(_hybrid(spark, d), chunks).drop("query_id")
 
 
+def _all_vectors(spark, d):
+    """All vectors, and as queries those whose id is divisible by 100."""
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors, vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+
+
+@query(f"with r as (select q.vec_id as query_id, e.vec_id as id, {_DOT} as score, row_number() over (partition by q.vec_id order by {_DOT} desc, e.vec_id) as rank from embeddings e, embeddings q where q.vec_id % 100 = 0) select query_id, id, round(score, 6) as score, rank::int as rank from r where rank <= 10")
+def vector_topk_all(spark, d):
+    return V.vector_top(*_all_vectors(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def quant_topk_all(spark, d):
+    vectors, asked = _all_vectors(spark, d)
+    return V.quantised_top(V.encode(vectors, width=64), asked, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+
+
+def _all_corpus(spark, d):
+    """All documents, and as queries the whole texts of all benchmark items."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return docs, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _hybrid_all(spark, d):
+    """Each benchmark item asks with its text and with the vector of its own id; an item without a vector with its text alone."""
+    docs, asked = _all_corpus(spark, d)
+    vectors, _ = _all_vectors(spark, d)
+    paired = asked.select("query_id").distinct().join(vectors, F.col("query_id") == F.col("id")).select("query_id", F.col("v").alias("q"))
+    return V.fuse(V.lexical(docs, asked, 20), V.vector_top(vectors, paired, 20), 10)
+
+
+@query()
+def hybrid_rrf_all(spark, d):
+    return _hybrid_all(spark, d).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
+
+
+@query()
+def tool_kb_search_all(spark, d):
+    chunks = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("lang") == "en", "experience").alias("source_type"))
+    return Q.knowledge(_hybrid_all(spark, d), chunks)
+
+
 @query("select min(doc_id) as position, sha256(text) as path from documents where text is not null group by text")
 def doc_dedup(spark, d):
     return S.ordered_distinct(_t(spark, d, "documents").where("text is not null").select(F.sha2(F.col("text").cast("binary"), 256).alias("path"), F.col("doc_id").alias("position")))
