@@ -461,6 +461,19 @@ def _all_corpus(spark, d):
     return docs, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_ALL_ASKED = "select item_id as query_id, text from benchmark"
+
+
+@query(f"with {BM.replace(_ASKED, _ALL_ASKED)} select query_id, id, round(score, 5) as score from bm where rank <= 10")
+def bm25_topk_all(spark, d):
+    return V.bm25(*_all_corpus(spark, d), 10).select("query_id", "id", F.round("score", 5).alias("score"))
+
+
+@query(sql_["overlap_fallback"].replace(_ASKED, _ALL_ASKED))
+def overlap_fallback_all(spark, d):
+    return V.overlap(*_all_corpus(spark, d), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def _hybrid_all(spark, d):
     """Each benchmark item asks with its text and with the vector of its own id; an item without a vector with its text alone."""
     docs, asked = _all_corpus(spark, d)

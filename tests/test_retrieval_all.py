@@ -72,3 +72,12 @@ def test_the_item_s_own_vector_is_fused(spark, small):
             parts[j] = parts.get(j, 0) + 0.5 / (60 + rank)
         want = sorted(parts.values(), reverse=True)[:10]
         assert [s for _, s in sorted(got[i])] == pytest.approx(want, abs=1e-7)
+
+
+def test_late_words_of_an_item_are_asked(spark, tmp_path):
+    late = " ".join(f"early{i}" for i in range(20)) + " rare late passage"
+    filler = [(i, f"filler{i} words{i}", "en") for i in range(8)]
+    spark.createDataFrame([*filler, (77, "a rare late passage", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, late), (3, "none")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name in ("bm25_topk_all", "overlap_fallback_all"):
+        assert [(r["query_id"], r["id"]) for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == [(0, 77)]
