@@ -195,7 +195,10 @@ def log_probs(shard: Shard, f: int, grams: np.ndarray, order: int) -> np.ndarray
 
 
 def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs (with _fold: the fold of the model to use, and _text) without _text, with _nll and _n: the summed negative log probability and its number of characters."""
+    """docs (with _fold: the fold of the model to use, and _text) without _text, with _nll and _n: the summed negative log probability and its number of characters.
+
+    A row for each row of docs, whatever the number of shards; rows that agree in all columns but _text must have the same text.
+    """
     n_rows = model.count()
     shards = max(1, math.ceil(n_rows / shard_rows))
     keep = [c for c in docs.columns if c != "_text"]
@@ -230,7 +233,10 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = O
         one = docs.mapInPandas(tidy(part_scores), f"{schema}, _nll double, _n long")
         out = one if out is None else out.unionByName(one)
     if shards > 1:
-        out = out.groupBy(*keep).agg(F.sum("_nll").alias("_nll"), F.sum("_n").alias("_n"))
+        # equal rows have equal scores, and each has a row of every shard: their sums are shared out over as many rows again
+        out = out.groupBy(*keep).agg(F.sum("_nll").alias("_nll"), F.sum("_n").alias("_n"), (F.count(F.lit(1)) / shards).cast("long").alias("_rows"))
+        each = [(F.col("_nll") / F.col("_rows")).alias("_nll"), (F.col("_n") / F.col("_rows")).cast("long").alias("_n")]
+        out = out.select(*(F.col(f"`{c}`") for c in keep), *each, F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_row")).drop("_row")
     return out
 
 
@@ -265,7 +271,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, min_trusted: int = MIN_TRUSTED, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(_id, _text_key, _lang, n_scored, perplexity, threshold, keep) of every distinct (id, text, language) of docs; trusted has _id."""
+    """(_id, _text_key, _lang, n_scored, perplexity, threshold, keep) of every row of docs; trusted has _id."""
     fold_ = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)).cast("int")
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.col(lang_col).alias("_lang"), F.xxhash64(text).alias("_text_key"), fold_.alias("_half"))

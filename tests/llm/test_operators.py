@@ -194,6 +194,16 @@ def test_quality_keeps_clean_text(spark):
     assert quality.classify(spark, frame(spark, []), quality.trusted_ids(labels)).count() == 0
 
 
+def test_quality_of_repeated_rows_at_any_shard_count(spark):
+    rows = [(i, prose(i, 60), "en", "a", 0) for i in range(60)]
+    docs = frame(spark, rows + rows[:20] * 3 + [(None, "lone text", None, "b", 0)] * 2 + [(900, None, "en", "a", 0)] * 2)
+    trusted = spark.createDataFrame([(i,) for i in range(40)], "_id long")
+    one, many = ([tuple(r) for r in quality.classify(spark, docs, trusted, shard_rows=n).orderBy("_id", "_text_key").collect()] for n in (quality.SHARD_ROWS, 20))
+    assert len(one) == len(many) == docs.count()
+    for a, b in zip(one, many, strict=True):
+        assert a[:4] == b[:4] and a[4:6] == pytest.approx(b[4:6]) and a[6] == b[6]
+
+
 # 6
 PIECES = [("<unk>", 0.0, 2)] + [(p, -s, 1) for p, s in [("▁", 2.1), ("a", 1.3), ("b", 1.7), ("ab", 2.2), ("aba", 3.3), ("▁a", 2.6), ("ba", 2.45), ("bab", 3.05)]]
 
