@@ -283,21 +283,22 @@ def classify(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, id_col
     known = scored.join(small_side(trusted, 16), "_id", "left_semi").where("_n > 0")
     means = known.groupBy("_lang").agg((F.sum("_nll") / F.sum("_n")).alias("_mean"), F.count(F.lit(1)).alias("_docs"))
     overall, = known.agg(F.sum("_nll") / F.sum("_n")).first()
-    means = means.where(F.col("_docs") >= min_trusted).select(F.col("_lang").alias("_lang2"), "_mean")
+    means = means.where(F.col("_docs") >= min_trusted).select(F.col("_lang").alias("_lang2"), F.lit(True).alias("_own"), "_mean")
     with_mean = lambda df: df.join(means, F.col("_lang").eqNullSafe(F.col("_lang2")), "left")
     mean = F.coalesce("_mean", F.lit(overall or 0.0))
     shrunk = (F.col("_nll") + PRIOR * mean) / (F.col("_n") + PRIOR)
+    # _own is null for the languages under min_trusted, which go together in the histogram; a null language may have its own limit
     # bins of a thousandth: exact to that, and at most some ten thousand rows a language whatever the number of documents
-    bins = with_mean(known).groupBy("_lang2", F.floor(shrunk * 1000).alias("_bin")).count()
-    w = Window.partitionBy("_lang2")
-    at = lambda df: df.withColumn("_up", F.sum("count").over(w.orderBy("_bin"))).withColumn("_all", F.sum("count").over(w)).where(F.col("_up") >= F.col("_all") * quantile).groupBy("_lang2").agg(((F.min("_bin") + 1) / 1000.0).alias("_limit"))
-    limits = at(bins).where("_lang2 is not null").select(F.col("_lang2").alias("_lang3"), "_limit")
-    whole = at(bins.groupBy("_bin").agg(F.sum("count").alias("count")).withColumn("_lang2", F.lit(None).cast("string"))).first()
+    bins = with_mean(known).groupBy("_own", "_lang2", F.floor(shrunk * 1000).alias("_bin")).count()
+    w = Window.partitionBy("_own", "_lang2")
+    at = lambda df: df.withColumn("_up", F.sum("count").over(w.orderBy("_bin"))).withColumn("_all", F.sum("count").over(w)).where(F.col("_up") >= F.col("_all") * quantile).groupBy("_own", "_lang2").agg(((F.min("_bin") + 1) / 1000.0).alias("_limit"))
+    limits = at(bins).where("_own").select(F.col("_lang2").alias("_lang3"), "_limit")
+    whole = at(bins.groupBy("_bin").agg(F.sum("count").alias("count")).withColumns({"_own": F.lit(None).cast("boolean"), "_lang2": F.lit(None).cast("string")})).first()
     rest = whole["_limit"] if whole else math.inf
     limit = F.coalesce("_limit", F.lit(float(rest))) + math.log(margin)
     return (
         with_mean(scored)
-        .join(limits, F.col("_lang2") == F.col("_lang3"), "left")
+        .join(limits, F.col("_own") & F.col("_lang2").eqNullSafe(F.col("_lang3")), "left")
         .select("_id", "_text_key", "_lang", F.col("_n").alias("n_scored"), F.exp(shrunk).alias("perplexity"), F.exp(limit).alias("threshold"), ((F.col("_n") > 0) & (shrunk <= limit)).alias("keep"))
     )
 

@@ -204,6 +204,17 @@ def test_quality_of_repeated_rows_at_any_shard_count(spark):
         assert a[:4] == b[:4] and a[4:6] == pytest.approx(b[4:6]) and a[6] == b[6]
 
 
+def test_quality_null_language_has_its_own_threshold(spark):
+    varied = lambda i: "".join(random.Random(i).choice("abcdefghijklmnop ") for _ in range(200))
+    rows = [(i, prose(i, 60), "en", "a", 0) for i in range(60)] + [(100 + i, varied(i), None, "a", 0) for i in range(60)] + [(200 + i, prose(i, 30), "fr", "a", 0) for i in range(5)]
+    trusted = spark.createDataFrame([(r[0],) for r in rows], "_id long")
+    limits = lambda rows, **options: {r["_lang"]: r["threshold"] for r in quality.classify(spark, frame(spark, rows), trusted, quantile=0.5, **options).select("_lang", "threshold").distinct().collect()}
+    got = limits(rows)
+    assert len(got) == 3 and got[None] > got["fr"] > got["en"]
+    named = limits([(*r[:2], r[2] or "xx", *r[3:]) for r in rows])
+    assert got[None] == pytest.approx(named["xx"]) and got["fr"] == pytest.approx(named["fr"])
+
+
 # 6
 PIECES = [("<unk>", 0.0, 2)] + [(p, -s, 1) for p, s in [("▁", 2.1), ("a", 1.3), ("b", 1.7), ("ab", 2.2), ("aba", 3.3), ("▁a", 2.6), ("ba", 2.45), ("bab", 3.05)]]
 
