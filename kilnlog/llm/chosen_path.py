@@ -304,7 +304,7 @@ def _tile(batches):
 def jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, small: int = SMALL, max_depth: int = MAX_DEPTH, tile: int = TILE) -> DataFrame:
     """(_id, _t1, _t2, class_id, copy_id, n_links) of every row of docs; _t1 and _t2 hash the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(text, F.lit(1)).alias("_t2"), text.alias("_text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2"), text.alias("_text"))
     schema = "_id long, _t1 long, _t2 long, _node long, _sig binary, _leaves array<long>"
     records = materialise(spark, keyed.mapInPandas(tidy(_records(runs_for(recall, max_depth))), schema), "path-records")
     texts = records.groupBy("_t1", "_t2").agg(F.min("_id").alias("_copy"), F.first("_node").alias("_node"))
@@ -350,7 +350,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     dropped = as_keys(rows.where(~(key == F.col("_k"))).select("_id", "_t1", "_t2").distinct())
     repeated = as_keys(rows.where(key == F.col("_k")).groupBy("_id", "_t1", "_t2").count().where("count > 1"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    same = F.col(id_col).eqNullSafe(F.col("_kid")) & (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(text, F.lit(1)) == F.col("_k2"))
+    same = F.col(id_col).eqNullSafe(F.col("_kid")) & (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(F.lit(1), text) == F.col("_k2"))
     kept = docs.join(dropped, same, "left_anti")
     if repeated.isEmpty():
         return kept

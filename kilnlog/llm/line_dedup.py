@@ -39,7 +39,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
     """(_doc, _text, _n, _pos, _h1, _h2): a row for each line whose key is long enough."""
     split = docs.select(F.col(id_col).alias("_doc"), _text_key(text_col).alias("_text"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
     each = split.select("_doc", "_text", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_pos", "_line")).withColumn("_key", line_key(F.col("_line")))
-    return each.where(F.length("_key") >= min_chars).select("_doc", "_text", "_n", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64("_key", F.lit(1)).alias("_h2"))
+    return each.where(F.length("_key") >= min_chars).select("_doc", "_text", "_n", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
 
 
 def _runs(batches):

@@ -302,7 +302,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, t
             yield finished(model, pdf.reset_index(drop=True), [model.scan.finish(i) for i in ids] if model.unigram else ids)
 
     done = rows.where(F.length("_text") < giant_chars).mapInPandas(tidy(small), out_schema)
-    giants = rows.where(F.length("_text") >= giant_chars).withColumns({"_key1": F.xxhash64("_text"), "_key2": F.xxhash64("_text", F.lit(1))})
+    giants = rows.where(F.length("_text") >= giant_chars).withColumns({"_key1": F.xxhash64("_text"), "_key2": F.xxhash64(F.lit(1), "_text")})
     if not giants.isEmpty():
         texts = giants.groupBy("_key1", "_key2").agg(F.first("_text").alias("_text"))
         ids = _giants(spark, texts, model_path, chunk_chars)

@@ -386,6 +386,14 @@ def test_line_dedup_against_plain_form(spark, keep):
     assert line_dedup.dedup_lines(spark, frame(spark, [])).count() == 0
 
 
+def test_line_dedup_tells_lines_of_one_xxhash64_apart(spark):
+    pair = ["collideswith-me!", "i0+5wtjy,bq:{00%"]
+    assert spark.createDataFrame([(x,) for x in pair], "x string").select(F.xxhash64("x")).distinct().count() == 1
+    rows = [(i, pair[i % 2], "en", "a", 0) for i in range(10)]
+    out = line_dedup.dedup_lines(spark, frame(spark, rows), min_docs=10, keep="none")
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {r[:2] for r in rows}
+
+
 def test_bitmaps():
     assert line_dedup.kept_text("a\nb\nc", line_dedup._bitmap(3, [1])) == "a\nc" and line_dedup.kept_text("a", None) == "a"
 
