@@ -7,10 +7,11 @@ text's start); discounts from the counts of counts; for each context its total a
 extensions seen once, twice and more; and each order's interpolated probability by joining its counts
 with its context and with the next lower order.
 
-Scoring joins the n-grams of every whole text with these tables, shard by shard.  A position belongs to the shard of the two
-characters before it, and so do the n-grams and contexts of all orders above two that it needs; the few short ones go to all
-shards.  A shard is meant to hold shard_rows rows and is broadcast alone; a larger model only takes more shards (a pass over the texts for each).  A document's
-perplexity is exp of the mean negative log probability of its characters and of its end.
+Scoring joins the n-grams of every whole text with these tables.  Texts go into blocks of some millions of characters; a block's distinct
+n-grams are dealt over the model's shards, meet them in a sort-merge join, and the log probabilities go back to the block, whose texts add
+theirs up.  A position belongs to the shard of the two characters before it, and so do the n-grams and contexts of all orders above two
+that it needs; the few short ones go to all shards.  Nothing of the model reaches the driver or a broadcast, and its size only sets the number of shards.
+A document's perplexity is exp of the mean negative log probability of its characters and of its end.
 
 Two models are trained, each on a half of the trusted documents, and a document is scored by the one that
 has not seen it, so trusted scores are comparable with all others.  The threshold of a language is a quantile of the
@@ -38,7 +39,9 @@ QUANTILE = 0.999
 MARGIN = 1.05
 PRIOR = 40
 MIN_TRUSTED = 30
-SHARD_ROWS = 1_500_000
+SHARD_ROWS = 100_000  # of the model in a shard
+BLOCK_CHARS = 1 << 24  # of texts that ask for their n-grams together
+SALT_GRAMS = 1 << 26  # that one task answers for a shard
 
 
 def fold(text: str) -> np.ndarray:
@@ -155,13 +158,13 @@ def train(spark: SparkSession, trusted: DataFrame, order: int = ORDER) -> DataFr
 
 
 class Shard:
-    """Sorted arrays of the n-grams that end in the shard's pairs of characters, by fold and order."""
+    """Sorted arrays of a shard's n-grams, by fold and order."""
 
     def __init__(self, rows) -> None:
         """rows: an Arrow table; a null probability or weight becomes NaN."""
         import pyarrow.compute as pc
 
-        f, n, g, p, b = (rows[c].to_numpy() if c[1] in "fog" else pc.fill_null(rows[c], float("nan")).to_numpy() for c in ("_fold", "_order", "_g", "_p", "_b"))
+        f, n, g, p, b = (pc.fill_null(rows[c], float("nan")).to_numpy() if c in ("_p", "_b") else rows[c].to_numpy() for c in MODEL)
         self.tables: dict = {}
         for key in {(int(x), int(y)) for x in (0, 1) for y in np.unique(n)}:
             own = np.flatnonzero((f == key[0]) & (n == key[1]))
@@ -194,50 +197,179 @@ def log_probs(shard: Shard, f: int, grams: np.ndarray, order: int) -> np.ndarray
     return np.log(p)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pair_shard(pair, shards: int):
+    """The shard of two characters, of a numpy array or a column of longs; the products stay below 2^56."""
+    if isinstance(pair, Column):
+        return F.pmod(F.shiftright(pair * F.lit(_SPREAD), 20), F.lit(shards)).cast("int")
+    return ((pair * _SPREAD) >> 20) % shards
+
+
+_SPREAD = 2654435761
+MODEL = ("_fold", "_order", "_g", "_p", "_b")
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Sorted 60-bit integers or doubles as compressed byte planes, integers by their differences."""
+    import pyarrow as pa
+
+    x = np.diff(values, prepend=values.dtype.type(0)) if values.dtype == np.int64 else values
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, n: int, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    x = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+    return np.cumsum(x) if kind is np.int64 else x
+
+
+def _to_blocks(order: int, shards: int, block_chars: int):
+    """Texts to blocks: rows of fold -1 are packs of rows (an Arrow stream), the others a block's distinct n-grams of a fold and shard."""
+    def part(batches):
+        import secrets
+
+        import pyarrow as pa
+
+        def rows(block, found):
+            cols = list(zip(*found, strict=True))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            arrays = [pa.array([block] * len(found), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+            return pa.RecordBatch.from_arrays(arrays, ["_block", "_fold", "_shard", "_n", "_data"])
+
+        def grams_of(held):
+            out = []
+            for f, parts in held.items():
+                grams = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+                of = pair_shard((grams >> BITS) & ((1 << (2 * BITS)) - 1), shards)
+                for k in np.unique(of):
+                    own = grams[of == k]
+                    out.append((f, int(k), len(own), squeeze(own)))
+            return out
+
+        # a random number names a block: its rows are written once, by the attempt that is committed
+        block, held, chars = secrets.randbits(62), {0: [], 1: []}, 0
+        for batch in batches:
+            texts, folds = [t or "" for t in batch["_text"].to_pylist()], batch["_fold"].to_numpy()
+            for lo, hi in _slices(texts):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(lo, hi - lo))
+                yield rows(block, [(-1, 0, hi - lo, sink.getvalue().to_pybytes())])
+                grams, own = positions(texts[lo:hi], order)
+                for f in (0, 1):
+                    held[f].append(np.unique(grams[folds[lo:hi][own] == f]))
+                    if len(held[f]) > 1 and sum(map(len, held[f][1:])) > 1 << 20:
+                        held[f] = [np.unique(np.concatenate(held[f]))]
+                chars += sum(map(len, texts[lo:hi]))
+                if chars >= block_chars:
+                    if found := grams_of(held):
+                        yield rows(block, found)
+                    block, held, chars = secrets.randbits(62), {0: [], 1: []}, 0
+        if found := grams_of(held):
+            yield rows(block, found)
+
+    return part
+
+
+def _segments(batch, by: list[str]):
+    """Slices of a batch whose rows agree in the columns by."""
+    if batch.num_rows:
+        keys = np.stack([batch[c].to_numpy() for c in by])
+        cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield tuple(int(k[lo]) for k in keys), batch.slice(lo, hi - lo)
+
+
+def _join_shards(order: int):
+    """Streams rows sorted by shard, the model's first: (block, fold, n, n-grams, log probabilities) of each row of n-grams."""
+    def part(batches):
+        import pyarrow as pa
+
+        at, held, shard = None, [], None
+        for batch in batches:
+            for (*key, kind), rows in _segments(batch, ["_shard", "_salt", "_kind"]):
+                if key != at:
+                    at, held, shard = key, [], None
+                if kind == 0:
+                    held.append(rows.select(list(MODEL)))
+                    continue
+                if shard is None:
+                    shard = Shard(pa.Table.from_batches(held, rows.select(list(MODEL)).schema))
+                    held = []
+                for block, f, n, data in zip(*(rows[c].to_pylist() for c in ("_block", "_fold", "_n", "_data")), strict=True):
+                    found = log_probs(shard, f, unsqueeze(data, n, np.int64), order)
+                    columns = [pa.array([block], pa.int64()), pa.array([f], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary()), pa.array([squeeze(found)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["_block", "_fold", "_n", "_data", "_lp"])
+
+    return part
+
+
+def _score_blocks(order: int):
+    """Streams rows sorted by block, the n-grams' log probabilities first; the packs' rows with their sums."""
+    def part(batches):
+        import pyarrow as pa
+
+        at, held, tables = None, {0: [], 1: []}, None
+        for batch in batches:
+            for (block, kind), rows in _segments(batch, ["_block", "_kind"]):
+                if block != at:
+                    at, held, tables = block, {0: [], 1: []}, None
+                if kind == 0:
+                    for f, n, data, lp in zip(*(rows[c].to_pylist() for c in ("_fold", "_n", "_data", "_lp")), strict=True):
+                        held[f].append((unsqueeze(data, n, np.int64), unsqueeze(lp, n, np.float64)))
+                    continue
+                if tables is None:
+                    tables = {}
+                    for f, parts in held.items():
+                        if parts:
+                            g, lp = (np.concatenate(x) for x in zip(*parts, strict=True))
+                            by = np.argsort(g)
+                            tables[f] = (g[by], lp[by])
+                    held = {0: [], 1: []}
+                for data in rows["_data"]:
+                    for pack in pa.ipc.open_stream(data.as_buffer()):
+                        texts, folds = [t or "" for t in pack["_text"].to_pylist()], pack["_fold"].to_numpy()
+                        grams, own = positions(texts, order)
+                        lps = np.zeros(len(grams))
+                        for f, (g, lp) in tables.items():
+                            mine = folds[own] == f
+                            lps[mine] = lp[np.searchsorted(g, grams[mine])]
+                        nll, n = -np.bincount(own, weights=lps, minlength=len(texts)), np.bincount(own, minlength=len(texts))
+                        keep = [c for c in pack.schema.names if c != "_text"]
+                        yield pa.RecordBatch.from_arrays([*(pack[c] for c in keep), pa.array(nll, pa.float64()), pa.array(n.astype(np.int64), pa.int64())], [*keep, "_nll", "_n"])
+
+    return part
+
+
+def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS, block_chars: int = BLOCK_CHARS, salt_grams: int = SALT_GRAMS) -> DataFrame:
     """docs (with _fold: the fold of the model to use, and _text) without _text, with _nll and _n: the summed negative log probability and its number of characters.
 
-    A row for each row of docs, whatever the number of shards; rows that agree in all columns but _text must have the same text.
+    A row for each row of docs.  model is joined as it is, in ceil(rows / shard_rows) shards.
     """
-    n_rows = model.count()
-    shards = max(1, math.ceil(n_rows / shard_rows))
+    shards = max(1, math.ceil(model.count() / shard_rows))
+    blocks = materialise(spark, docs.mapInArrow(tidy(_to_blocks(order, shards, block_chars)), "_block long, _fold int, _shard int, _n long, _data binary"), "kn-blocks")
+    asked = blocks.where("_fold >= 0")
+    # a shard that is asked for more often than a task should answer is dealt over salts, each with the shard's rows
+    salts = asked.groupBy("_shard").agg(F.ceil(F.sum("_n") / salt_grams).cast("int").alias("_salts"))
+    salts = small_side(materialise(spark, salts, "kn-salts"), 16)
+    # an n-gram is needed by positions with the two characters before its last, a context by those that follow its last two; the few short ones everywhere
+    as_gram = pair_shard(_suffix(F.shiftright("_g", BITS), 2), shards)
+    as_context = F.when(F.col("_b").isNotNull(), pair_shard(_suffix(F.col("_g"), 2), shards))
+    homes = F.when(F.col("_order") <= 2, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array_compact(F.array_distinct(F.array(as_gram, as_context))))
+    known = model.withColumn("_shard", F.explode(homes)).join(salts, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    none = {"_block": F.lit(0).cast("long"), "_n": F.lit(0).cast("long"), "_data": F.lit(None).cast("binary")}
+    known = known.select("_shard", "_salt", F.lit(0).alias("_kind"), *MODEL, *(c.alias(k) for k, c in none.items()))
+    rest = {"_order": F.lit(0), "_g": F.lit(0).cast("long"), "_p": F.lit(None).cast("double"), "_b": F.lit(None).cast("double")}
+    asked = asked.join(salts, "_shard").withColumn("_salt", F.pmod(F.xxhash64("_block", "_fold"), F.col("_salts")).cast("int"))
+    asked = asked.select("_shard", "_salt", F.lit(1).alias("_kind"), "_fold", *(c.alias(k) for k, c in rest.items()), "_block", "_n", "_data")
+    met = known.unionByName(asked).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_kind")
+    answers = met.mapInArrow(tidy(_join_shards(order)), "_block long, _fold int, _n long, _data binary, _lp binary")
+    packs = blocks.where("_fold < 0").select("_block", F.lit(1).alias("_kind"), "_fold", "_n", "_data", F.lit(None).cast("binary").alias("_lp"))
+    both = answers.withColumn("_kind", F.lit(0)).unionByName(packs).repartition("_block").sortWithinPartitions("_block", "_kind")
     keep = [c for c in docs.columns if c != "_text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = None
-    for k in range(shards):
-        # an n-gram is needed by positions with the two characters before its last, a context by those that follow its last two
-        mine_of = lambda g, k=k: F.pmod(F.xxhash64(_suffix(g, 2)), F.lit(shards)) == k
-        part = model if shards == 1 else model.where((F.col("_order") <= 2) | mine_of(F.shiftright("_g", BITS)) | (F.col("_b").isNotNull() & mine_of(F.col("_g"))))
-        shared = spark.sparkContext.broadcast(Shard(part.select("_fold", "_order", "_g", "_p", "_b").toArrow()))
-
-        def part_scores(batches, shared=shared, k=k):
-            import pandas as pd
-
-            shard = shared.value
-            for pdf in batches:
-                nll, n = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
-                for f in (0, 1):
-                    rows = np.flatnonzero((pdf["_fold"] == f).to_numpy())
-                    texts = [t or "" for t in pdf["_text"].iloc[rows]]
-                    for lo, hi in _slices(texts):
-                        grams, own = positions(texts[lo:hi], order)
-                        if shards > 1:
-                            mine = _pair_shard((grams >> BITS) & ((1 << (2 * BITS)) - 1), shards) == k
-                            grams, own = grams[mine], own[mine]
-                        u, inv = np.unique(grams, return_inverse=True)
-                        lp = log_probs(shard, f, u, order)[inv]
-                        nll[rows[lo:hi]] -= np.bincount(own, weights=lp, minlength=hi - lo)
-                        n[rows[lo:hi]] += np.bincount(own, minlength=hi - lo)
-                yield pd.concat([pdf[keep], pd.DataFrame({"_nll": nll, "_n": n}, index=pdf.index)], axis=1)
-
-        one = docs.mapInPandas(tidy(part_scores), f"{schema}, _nll double, _n long")
-        out = one if out is None else out.unionByName(one)
-    if shards > 1:
-        # equal rows have equal scores, and each has a row of every shard: their sums are shared out over as many rows again
-        out = out.groupBy(*keep).agg(F.sum("_nll").alias("_nll"), F.sum("_n").alias("_n"), (F.count(F.lit(1)) / shards).cast("long").alias("_rows"))
-        each = [(F.col("_nll") / F.col("_rows")).alias("_nll"), (F.col("_n") / F.col("_rows")).cast("long").alias("_n")]
-        out = out.select(*(F.col(f"`{c}`") for c in keep), *each, F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_row")).drop("_row")
-    return out
+    return both.mapInArrow(tidy(_score_blocks(order)), f"{schema}, _nll double, _n long")
 
 
 def _slices(texts: list[str], chars: int = 1 << 20):
@@ -251,21 +383,6 @@ def _slices(texts: list[str], chars: int = 1 << 20):
         yield lo, len(texts)
 
 
-def _pair_shard(pairs: np.ndarray, shards: int) -> np.ndarray:
-    """pmod(xxhash64(pair), shards) as Spark has it, by a table of the pairs that occur."""
-    u, inv = np.unique(pairs, return_inverse=True)
-    return np.array([_xxh64_long(int(x)) % shards for x in u], np.int64)[inv] if len(u) else np.zeros(0, np.int64)
-
-
-def _xxh64_long(x: int) -> int:
-    import struct
-
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=42)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
 
