@@ -1,11 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams.
 
 Trusted texts are counted as folded character n-grams of order N; words of these tables are mostly
-seen once, so characters tell clean from broken text where words can't.  The tables of the model come from grouped counts and joins, all sharded by
-n-gram: order-N counts; for the lower orders the numbers of distinct left extensions (raw counts for n-grams at a
-text's start); discounts from the counts of counts; for each context its total and its numbers of
-extensions seen once, twice and more; and each order's interpolated probability by joining its counts
-with its context and with the next lower order.
+seen once, so characters tell clean from broken text where words can't.  The model is its counts, grouped by n-gram: occurrences for order N;
+for the lower orders the numbers of distinct left extensions (raw counts for n-grams at a
+text's start); discounts come from the counts of counts.  A shard of the counts holds whole contexts, so it turns them into discounted shares, context
+weights and interpolated probabilities by itself.
 
 Scoring joins the n-grams of every whole text with these tables.  Texts go into blocks of some millions of characters; a block's distinct
 n-grams are dealt over the model's shards, meet them in a sort-merge join, and the log probabilities go back to the block, whose texts add
@@ -110,75 +109,69 @@ def _suffix(g: Column, n: int) -> Column:
 
 
 def train(spark: SparkSession, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(_fold, _order, _g, _p, _b): each n-gram's probability and, for the lower orders, its weight as a context.
+    """(_fold, _order, _g, _c): the counts of the model, occurrences for the full order and distinct left extensions for the lower ones.
 
-    trusted has _fold and _text; a fold's model holds the texts of that fold.  Row of order 0: the uniform rest.
+    trusted has _fold and _text; a fold's model holds the texts of that fold.
     """
     counts = materialise(spark, trusted.mapInPandas(tidy(_count_grams(order)), "_fold int, _g long, _c long").groupBy("_fold", "_g").agg(F.sum("_c").alias("_c")), "kn-counts")
-    by_order = {order: counts}
+    up, every = counts, counts.withColumn("_order", F.lit(order))
     for n in range(order - 1, 0, -1):
-        # distinct left extensions; an n-gram that begins with a start has one only, so its occurrences count instead
-        up = by_order[n + 1]
+        # an n-gram that begins with a start has one left extension only, so its occurrences count instead
         first = F.shiftright(_suffix(F.col("_g"), n), BITS * (n - 1))
         raw = (first == 0) if n > 1 else F.lit(False)
-        by_order[n] = up.groupBy("_fold", _suffix(F.col("_g"), n).alias("_g")).agg(F.sum(F.when(raw, F.col("_c")).otherwise(1)).alias("_c"))
-    every = None
-    for n, df in by_order.items():
-        one = df.select("_fold", F.lit(n).alias("_order"), "_g", "_c")
-        every = one if every is None else every.unionByName(one)
-    every = materialise(spark, every, "kn-orders")
-    of_counts = {(r[0], r[1], r[2]): r[3] for r in every.where("_c <= 4").groupBy("_fold", "_order", "_c").count().collect()}  # 4 rows an order and fold
-
-    def discounts(f: int, n: int) -> list[float]:
-        n1, n2, n3, n4 = (of_counts.get((f, n, i), 0) for i in (1, 2, 3, 4))
+        up = up.groupBy("_fold", _suffix(F.col("_g"), n).alias("_g")).agg(F.sum(F.when(raw, F.col("_c")).otherwise(1)).alias("_c"))
+        every = every.unionByName(up.withColumn("_order", F.lit(n)))
+    return materialise(spark, every.select(*MODEL), "kn-model")
+
+
+def discounts(model: DataFrame, order: int = ORDER) -> dict[tuple[int, int], list[float]]:
+    """Of each fold and order what counts of one, two, three and more lose, from the counts of counts."""
+    of = {(r[0], r[1], r[2]): r[3] for r in model.where("_c <= 4").groupBy("_fold", "_order", "_c").count().collect()}  # 4 rows an order and fold
+
+    def one(f: int, n: int) -> list[float]:
+        n1, n2, n3, n4 = (of.get((f, n, i), 0) for i in (1, 2, 3, 4))
         if min(n1, n2, n3, n4) == 0:
             return [0.5, 1.0, 1.5]
         y = n1 / (n1 + 2 * n2)
         return [min(max(d, 0.1), i) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
-    table_ = [(f, n, *discounts(f, n)) for f in (0, 1) for n in range(1, order + 1)]
-    d = F.broadcast(spark.createDataFrame(table_, "_fold int, _order int, _d1 double, _d2 double, _d3 double"))
-    c = F.col("_c")
-    less = every.join(d, ["_fold", "_order"]).withColumn("_d", F.when(c == 1, F.col("_d1")).when(c == 2, F.col("_d2")).otherwise(F.col("_d3")))
-    less = less.withColumn("_ctx", F.shiftright("_g", BITS))
-    contexts = less.groupBy("_fold", "_order", "_ctx").agg(F.sum("_c").alias("_total"), F.sum("_d").alias("_free"))
-    contexts = contexts.select("_fold", "_order", "_ctx", "_total", (F.col("_free") / F.col("_total")).alias("_b"))
-    alpha = less.join(contexts, ["_fold", "_order", "_ctx"]).select("_fold", "_order", "_g", ((c - F.col("_d")) / F.col("_total")).alias("_a"), "_b")
-    alpha = materialise(spark, alpha, "kn-alpha")
-    classes = float(1 << BITS)
-    lower = alpha.where("_order = 1").select("_fold", "_order", "_g", (F.col("_a") + F.col("_b") / classes).alias("_p"))
-    done = lower
-    for n in range(2, order + 1):
-        up = alpha.where(F.col("_order") == n).withColumn("_low", _suffix(F.col("_g"), n - 1))
-        lower = up.join(lower.select("_fold", F.col("_g").alias("_low"), F.col("_p").alias("_pl")), ["_fold", "_low"]).select("_fold", F.lit(n).alias("_order"), "_g", (F.col("_a") + F.col("_b") * F.col("_pl")).alias("_p"))
-        done = done.unionByName(lower)
-    # a context of n - 1 characters weights the lower order of the n-grams that it begins
-    backs = contexts.select("_fold", (F.col("_order") - 1).alias("_order"), F.col("_ctx").alias("_g"), F.col("_b"))
-    return done.join(backs, ["_fold", "_order", "_g"], "full").select("_fold", "_order", "_g", "_p", "_b")
+    return {(f, n): one(f, n) for f in (0, 1) for n in range(1, order + 1)}
+
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, none: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), none)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], none)
 
 
 class Shard:
-    """Sorted arrays of a shard's n-grams, by fold and order."""
+    """A shard's probabilities and context weights by fold and order, from its counts.
 
-    def __init__(self, rows) -> None:
-        """rows: an Arrow table; a null probability or weight becomes NaN."""
-        import pyarrow.compute as pc
+    The n-grams of a context share the shard, and so do an n-gram and its suffixes above the orders that every shard has.
+    """
 
-        f, n, g, p, b = (pc.fill_null(rows[c], float("nan")).to_numpy() if c in ("_p", "_b") else rows[c].to_numpy() for c in MODEL)
-        self.tables: dict = {}
-        for key in {(int(x), int(y)) for x in (0, 1) for y in np.unique(n)}:
-            own = np.flatnonzero((f == key[0]) & (n == key[1]))
+    def __init__(self, rows, less: dict[tuple[int, int], list[float]]) -> None:
+        """rows: an Arrow table of the columns of MODEL."""
+        f, n, g, c = (rows[x].to_numpy() for x in MODEL)
+        none = np.zeros(0, np.int64), np.zeros(0)
+        self.p: dict = {}  # (fold, order): n-grams, probabilities
+        self.b: dict = {}  # (fold, characters): contexts, weights
+        for fold_, order in sorted(less):
+            own = np.flatnonzero((f == fold_) & (n == order))
             own = own[np.argsort(g[own])]
-            if len(own):
-                self.tables[key] = (g[own], p[own], b[own])
-
-    def find(self, f: int, n: int, g: np.ndarray, column: int, none: float) -> np.ndarray:
-        keys, *cols = self.tables.get((f, n), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
-        if not len(keys):
-            return np.full(len(g), none)
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        got = cols[column][at]
-        return np.where((keys[at] == g) & ~np.isnan(got), got, none)
+            if not len(own):
+                self.p[fold_, order] = self.b[fold_, order - 1] = none
+                continue
+            grams, counts = g[own], c[own]
+            lost = np.array(less[fold_, order])[np.minimum(counts, 3) - 1]
+            contexts, at = np.unique(grams >> BITS, return_index=True)
+            total = np.add.reduceat(counts, at).astype(np.float64)
+            weight = np.add.reduceat(lost, at) / total
+            size = np.diff(np.r_[at, len(grams)])
+            low = 1.0 / (1 << BITS) if order == 1 else _find(*self.p[fold_, order - 1], grams & ((1 << (BITS * (order - 1))) - 1), 0.0)
+            self.p[fold_, order] = grams, (counts - lost) / np.repeat(total, size) + np.repeat(weight, size) * low
+            self.b[fold_, order - 1] = contexts, weight
 
 
 def log_probs(shard: Shard, f: int, grams: np.ndarray, order: int) -> np.ndarray:
@@ -186,13 +179,13 @@ def log_probs(shard: Shard, f: int, grams: np.ndarray, order: int) -> np.ndarray
     p, weight, left = np.zeros(len(grams)), np.ones(len(grams)), np.arange(len(grams))
     for n in range(order, 0, -1):
         g = grams[left] & ((1 << (BITS * n)) - 1)
-        got = shard.find(f, n, g, 0, -1.0)
+        got = _find(*shard.p[f, n], g, -1.0)
         hit = got >= 0
         p[left[hit]] = got[hit] * weight[left[hit]]
         left = left[~hit]
         if not len(left):
             return np.log(p)
-        weight[left] *= shard.find(f, n - 1, g[~hit] >> BITS, 1, 1.0)
+        weight[left] *= _find(*shard.b[f, n - 1], g[~hit] >> BITS, 1.0)
     p[left] = weight[left] / (1 << BITS)
     return np.log(p)
 
@@ -205,7 +198,7 @@ def pair_shard(pair, shards: int):
 
 
 _SPREAD = 2654435761
-MODEL = ("_fold", "_order", "_g", "_p", "_b")
+MODEL = ("_fold", "_order", "_g", "_c")
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -281,7 +274,7 @@ def _segments(batch, by: list[str]):
             yield tuple(int(k[lo]) for k in keys), batch.slice(lo, hi - lo)
 
 
-def _join_shards(order: int):
+def _join_shards(order: int, less: dict[tuple[int, int], list[float]]):
     """Streams rows sorted by shard, the model's first: (block, fold, n, n-grams, log probabilities) of each row of n-grams."""
     def part(batches):
         import pyarrow as pa
@@ -295,7 +288,7 @@ def _join_shards(order: int):
                     held.append(rows.select(list(MODEL)))
                     continue
                 if shard is None:
-                    shard = Shard(pa.Table.from_batches(held, rows.select(list(MODEL)).schema))
+                    shard = Shard(pa.Table.from_batches(held, rows.select(list(MODEL)).schema), less)
                     held = []
                 for block, f, n, data in zip(*(rows[c].to_pylist() for c in ("_block", "_fold", "_n", "_data")), strict=True):
                     found = log_probs(shard, f, unsqueeze(data, n, np.int64), order)
@@ -353,18 +346,16 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = O
     # a shard that is asked for more often than a task should answer is dealt over salts, each with the shard's rows
     salts = asked.groupBy("_shard").agg(F.ceil(F.sum("_n") / salt_grams).cast("int").alias("_salts"))
     salts = small_side(materialise(spark, salts, "kn-salts"), 16)
-    # an n-gram is needed by positions with the two characters before its last, a context by those that follow its last two; the few short ones everywhere
-    as_gram = pair_shard(_suffix(F.shiftright("_g", BITS), 2), shards)
-    as_context = F.when(F.col("_b").isNotNull(), pair_shard(_suffix(F.col("_g"), 2), shards))
-    homes = F.when(F.col("_order") <= 2, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array_compact(F.array_distinct(F.array(as_gram, as_context))))
+    home = pair_shard(_suffix(F.shiftright("_g", BITS), 2), shards)
+    homes = F.when(F.col("_order") <= 2, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(home))
     known = model.withColumn("_shard", F.explode(homes)).join(salts, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     none = {"_block": F.lit(0).cast("long"), "_n": F.lit(0).cast("long"), "_data": F.lit(None).cast("binary")}
     known = known.select("_shard", "_salt", F.lit(0).alias("_kind"), *MODEL, *(c.alias(k) for k, c in none.items()))
-    rest = {"_order": F.lit(0), "_g": F.lit(0).cast("long"), "_p": F.lit(None).cast("double"), "_b": F.lit(None).cast("double")}
+    rest = {"_order": F.lit(0), "_g": F.lit(0).cast("long"), "_c": F.lit(0).cast("long")}
     asked = asked.join(salts, "_shard").withColumn("_salt", F.pmod(F.xxhash64("_block", "_fold"), F.col("_salts")).cast("int"))
     asked = asked.select("_shard", "_salt", F.lit(1).alias("_kind"), "_fold", *(c.alias(k) for k, c in rest.items()), "_block", "_n", "_data")
     met = known.unionByName(asked).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_kind")
-    answers = met.mapInArrow(tidy(_join_shards(order)), "_block long, _fold int, _n long, _data binary, _lp binary")
+    answers = met.mapInArrow(tidy(_join_shards(order, discounts(model, order))), "_block long, _fold int, _n long, _data binary, _lp binary")
     packs = blocks.where("_fold < 0").select("_block", F.lit(1).alias("_kind"), "_fold", "_n", "_data", F.lit(None).cast("binary").alias("_lp"))
     both = answers.withColumn("_kind", F.lit(0)).unionByName(packs).repartition("_block").sortWithinPartitions("_block", "_kind")
     keep = [c for c in docs.columns if c != "_text"]
@@ -394,7 +385,6 @@ def classify(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, id_col
     marked = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.col(lang_col).alias("_lang"), F.xxhash64(text).alias("_text_key"), fold_.alias("_half"))
     trusted = materialise(spark, trusted, "kn-trusted")
     model = train(spark, marked.join(small_side(trusted, 16), "_id", "left_semi").select(F.col("_half").alias("_fold"), "_text"), order)
-    model = materialise(spark, model, "kn-model")
     scored = score(spark, marked.withColumn("_fold", 1 - F.col("_half")).drop("_half"), model, order, shard_rows)
     scored = materialise(spark, scored.drop("_fold"), "kn-scores")
     known = scored.join(small_side(trusted, 16), "_id", "left_semi").where("_n > 0")
