@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 import pyarrow
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times its bound on a row's bytes stay below this.
@@ -48,18 +48,71 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kilnlog-{spark.sparkContext.applicationId}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_scopes: list[list[str]] = []
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str, *, outlive: bool = False) -> str:
+    """A path for a scratch table; it belongs to the innermost scope, or with outlive to the one around that."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_scopes) > outlive:
+        _scopes[-1 - outlive].append(path)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage in Python and the JVM: Spark drops the shuffle files and broadcasts of plans that are gone only then."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Scratch tables written inside go at the end, but for those that outlive it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop(spark, path)
+        release(spark)
+
+
+def materialise(spark: SparkSession, df: DataFrame, name: str, *, outlive: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
     small_batches(spark)
-    path = new_path(spark, name)
+    path = new_path(spark, name, outlive=outlive)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(spark: SparkSession, df: DataFrame, by: str, n: int, name: str):
+    """df as a scratch table in n buckets of the column by: written without a shuffle, and a grouping by it leaves the rows in place."""
+    small_batches(spark)
+    at = f"kilnlog_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, by).option("path", new_path(spark, name)).saveAsTable(at)
+    try:
+        yield spark.table(at)
+    finally:
+        spark.sql(f"drop table {at}")
+
+
+def carried(docs: DataFrame, **columns: Column) -> DataFrame:
+    """(_row, columns): the caller's columns as one struct, so that their names cannot meet the ones used here."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(k) for k, c in columns.items()))
+
+
+def restored(df: DataFrame, docs: DataFrame, **columns: Column) -> DataFrame:
+    """The columns of docs out of _row, with columns in the place of those of their name or behind them."""
+    own = [columns[c].alias(c) if c in columns else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    return df.select(*own, *(c.alias(k) for k, c in columns.items() if k not in docs.columns))
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if its counted rows of row_bytes at most fit the limit; df must be cheap to count."""
     return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
@@ -83,8 +136,7 @@ def tidy(part):
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, shared_dir(spark))
 
 
 def _drop_local() -> None:

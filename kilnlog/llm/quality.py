@@ -7,8 +7,8 @@ text's start); discounts come from the counts of counts.  A shard of the counts
 weights and interpolated probabilities by itself.
 
 Scoring joins the n-grams of every whole text with these tables.  Texts go into blocks of some millions of characters; a block's distinct
-n-grams are dealt over the model's shards, meet them in a sort-merge join, and the log probabilities go back to the block, whose texts add
-theirs up.  A position belongs to the shard of the two characters before it, and so do the n-grams and contexts of all orders above two
+n-grams are dealt over the model's shards, meet them in a sort-merge join, and the probabilities go back to the block, whose texts, which lie in
+the buckets of a scratch table, add up their logarithms in place.  A position belongs to the shard of the two characters before it, and so do the n-grams and contexts of all orders above two
 that it needs; the few short ones go to all shards.  Nothing of the model reaches the driver or a broadcast, and its size only sets the number of shards.
 A document's perplexity is exp of the mean negative log probability of its characters and of its end.
 
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import materialise, small_side, table, tidy
+from kilnlog.llm.common import bucketed, carried, materialise, restored, scratch, small_side, table, tidy
 
 ORDER = 5
 BITS = 12  # of a folded character
@@ -174,8 +174,8 @@ class Shard:
             self.b[fold_, order - 1] = contexts, weight
 
 
-def log_probs(shard: Shard, f: int, grams: np.ndarray, order: int) -> np.ndarray:
-    """Of each full n-gram the log of its last character's probability; unseen n-grams go down an order at their context's weight."""
+def probabilities(shard: Shard, f: int, grams: np.ndarray, order: int) -> np.ndarray:
+    """Of each full n-gram its last character's probability; unseen n-grams go down an order at their context's weight."""
     p, weight, left = np.zeros(len(grams)), np.ones(len(grams)), np.arange(len(grams))
     for n in range(order, 0, -1):
         g = grams[left] & ((1 << (BITS * n)) - 1)
@@ -184,10 +184,10 @@ def log_probs(shard: Shard, f: int, grams: np.ndarray, order: int) -> np.ndarray
         p[left[hit]] = got[hit] * weight[left[hit]]
         left = left[~hit]
         if not len(left):
-            return np.log(p)
+            return p
         weight[left] *= _find(*shard.b[f, n - 1], g[~hit] >> BITS, 1.0)
     p[left] = weight[left] / (1 << BITS)
-    return np.log(p)
+    return p
 
 
 def pair_shard(pair, shards: int):
@@ -202,17 +202,18 @@ MODEL = ("_fold", "_order", "_g", "_c")
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Sorted 60-bit integers or doubles as compressed byte planes, integers by their differences."""
+    """Sorted 60-bit integers by their differences, or floats, as compressed byte planes."""
     import pyarrow as pa
 
-    x = np.diff(values, prepend=values.dtype.type(0)) if values.dtype == np.int64 else values
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+    x = np.diff(values, prepend=0) if values.dtype == np.int64 else values
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def unsqueeze(data: bytes, n: int, kind) -> np.ndarray:
     import pyarrow as pa
 
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
     x = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
     return np.cumsum(x) if kind is np.int64 else x
 
@@ -246,7 +247,7 @@ def _to_blocks(order: int, shards: int, block_chars: int):
             texts, folds = [t or "" for t in batch["_text"].to_pylist()], batch["_fold"].to_numpy()
             for lo, hi in _slices(texts):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                     out.write_batch(batch.slice(lo, hi - lo))
                 yield rows(block, [(-1, 0, hi - lo, sink.getvalue().to_pybytes())])
                 grams, own = positions(texts[lo:hi], order)
@@ -275,7 +276,7 @@ def _segments(batch, by: list[str]):
 
 
 def _join_shards(order: int, less: dict[tuple[int, int], list[float]]):
-    """Streams rows sorted by shard, the model's first: (block, fold, n, n-grams, log probabilities) of each row of n-grams."""
+    """Streams rows sorted by shard, the model's first: (block, fold, n, n-grams, probabilities) of each row of n-grams."""
     def part(batches):
         import pyarrow as pa
 
@@ -291,76 +292,72 @@ def _join_shards(order: int, less: dict[tuple[int, int], list[float]]):
                     shard = Shard(pa.Table.from_batches(held, rows.select(list(MODEL)).schema), less)
                     held = []
                 for block, f, n, data in zip(*(rows[c].to_pylist() for c in ("_block", "_fold", "_n", "_data")), strict=True):
-                    found = log_probs(shard, f, unsqueeze(data, n, np.int64), order)
+                    found = probabilities(shard, f, unsqueeze(data, n, np.int64), order).astype(np.float32)
                     columns = [pa.array([block], pa.int64()), pa.array([f], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary()), pa.array([squeeze(found)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["_block", "_fold", "_n", "_data", "_lp"])
+                    yield pa.RecordBatch.from_arrays(columns, ["_block", "_fold", "_n", "_data", "_p"])
 
     return part
 
 
-def _score_blocks(order: int):
-    """Streams rows sorted by block, the n-grams' log probabilities first; the packs' rows with their sums."""
-    def part(batches):
+def _score_block(order: int):
+    """A block's packs and its n-grams' probabilities: the packs' rows with their sums."""
+    def block(packs, answers):
         import pyarrow as pa
 
-        at, held, tables = None, {0: [], 1: []}, None
-        for batch in batches:
-            for (block, kind), rows in _segments(batch, ["_block", "_kind"]):
-                if block != at:
-                    at, held, tables = block, {0: [], 1: []}, None
-                if kind == 0:
-                    for f, n, data, lp in zip(*(rows[c].to_pylist() for c in ("_fold", "_n", "_data", "_lp")), strict=True):
-                        held[f].append((unsqueeze(data, n, np.int64), unsqueeze(lp, n, np.float64)))
-                    continue
-                if tables is None:
-                    tables = {}
-                    for f, parts in held.items():
-                        if parts:
-                            g, lp = (np.concatenate(x) for x in zip(*parts, strict=True))
-                            by = np.argsort(g)
-                            tables[f] = (g[by], lp[by])
-                    held = {0: [], 1: []}
-                for data in rows["_data"]:
-                    for pack in pa.ipc.open_stream(data.as_buffer()):
-                        texts, folds = [t or "" for t in pack["_text"].to_pylist()], pack["_fold"].to_numpy()
-                        grams, own = positions(texts, order)
-                        lps = np.zeros(len(grams))
-                        for f, (g, lp) in tables.items():
-                            mine = folds[own] == f
-                            lps[mine] = lp[np.searchsorted(g, grams[mine])]
-                        nll, n = -np.bincount(own, weights=lps, minlength=len(texts)), np.bincount(own, minlength=len(texts))
-                        keep = [c for c in pack.schema.names if c != "_text"]
-                        yield pa.RecordBatch.from_arrays([*(pack[c] for c in keep), pa.array(nll, pa.float64()), pa.array(n.astype(np.int64), pa.int64())], [*keep, "_nll", "_n"])
-
-    return part
+        held: dict = {0: [], 1: []}
+        for f, n, data, p in zip(*(answers[c].to_pylist() for c in ("_fold", "_n", "_data", "_p")), strict=True):
+            held[f].append((unsqueeze(data, n, np.int64), unsqueeze(p, n, np.float32)))
+        tables = {}
+        for f, parts in held.items():
+            if parts:
+                g, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+                by = np.argsort(g)
+                tables[f] = (g[by], np.log(p[by].astype(np.float64)))
+        out = []
+        for data in packs["_data"]:
+            for pack in pa.ipc.open_stream(data.as_buffer()):
+                texts, folds = [t or "" for t in pack["_text"].to_pylist()], pack["_fold"].to_numpy()
+                grams, own = positions(texts, order)
+                lps = np.zeros(len(grams))
+                for f, (g, lp) in tables.items():
+                    mine = folds[own] == f
+                    lps[mine] = lp[np.searchsorted(g, grams[mine])]
+                nll, n = -np.bincount(own, weights=lps, minlength=len(texts)), np.bincount(own, minlength=len(texts))
+                keep = [c for c in pack.schema.names if c != "_text"]
+                out.append(pa.RecordBatch.from_arrays([*(pack[c] for c in keep), pa.array(nll, pa.float64()), pa.array(n.astype(np.int64), pa.int64())], [*keep, "_nll", "_n"]))
+        return pa.Table.from_batches(out)
+
+    return block
 
 
 def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS, block_chars: int = BLOCK_CHARS, salt_grams: int = SALT_GRAMS) -> DataFrame:
     """docs (with _fold: the fold of the model to use, and _text) without _text, with _nll and _n: the summed negative log probability and its number of characters.
 
-    A row for each row of docs.  model is joined as it is, in ceil(rows / shard_rows) shards.
+    A row for each row of docs, written to the shared folder.  model is joined as it is, in ceil(rows / shard_rows) shards.
     """
     shards = max(1, math.ceil(model.count() / shard_rows))
-    blocks = materialise(spark, docs.mapInArrow(tidy(_to_blocks(order, shards, block_chars)), "_block long, _fold int, _shard int, _n long, _data binary"), "kn-blocks")
-    asked = blocks.where("_fold >= 0")
-    # a shard that is asked for more often than a task should answer is dealt over salts, each with the shard's rows
-    salts = asked.groupBy("_shard").agg(F.ceil(F.sum("_n") / salt_grams).cast("int").alias("_salts"))
-    salts = small_side(materialise(spark, salts, "kn-salts"), 16)
-    home = pair_shard(_suffix(F.shiftright("_g", BITS), 2), shards)
-    homes = F.when(F.col("_order") <= 2, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(home))
-    known = model.withColumn("_shard", F.explode(homes)).join(salts, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    none = {"_block": F.lit(0).cast("long"), "_n": F.lit(0).cast("long"), "_data": F.lit(None).cast("binary")}
-    known = known.select("_shard", "_salt", F.lit(0).alias("_kind"), *MODEL, *(c.alias(k) for k, c in none.items()))
-    rest = {"_order": F.lit(0), "_g": F.lit(0).cast("long"), "_c": F.lit(0).cast("long")}
-    asked = asked.join(salts, "_shard").withColumn("_salt", F.pmod(F.xxhash64("_block", "_fold"), F.col("_salts")).cast("int"))
-    asked = asked.select("_shard", "_salt", F.lit(1).alias("_kind"), "_fold", *(c.alias(k) for k, c in rest.items()), "_block", "_n", "_data")
-    met = known.unionByName(asked).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_kind")
-    answers = met.mapInArrow(tidy(_join_shards(order, discounts(model, order))), "_block long, _fold int, _n long, _data binary, _lp binary")
-    packs = blocks.where("_fold < 0").select("_block", F.lit(1).alias("_kind"), "_fold", "_n", "_data", F.lit(None).cast("binary").alias("_lp"))
-    both = answers.withColumn("_kind", F.lit(0)).unionByName(packs).repartition("_block").sortWithinPartitions("_block", "_kind")
-    keep = [c for c in docs.columns if c != "_text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return both.mapInArrow(tidy(_score_blocks(order)), f"{schema}, _nll double, _n long")
+    buckets = min(50_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
+    rows = docs.mapInArrow(tidy(_to_blocks(order, shards, block_chars)), "_block long, _fold int, _shard int, _n long, _data binary")
+    with scratch(spark), bucketed(spark, rows, "_block", buckets, "kn-blocks") as blocks:
+        asked = blocks.where("_fold >= 0")
+        # a shard that is asked for more often than a task should answer is dealt over salts, each with the shard's rows
+        salts = asked.groupBy("_shard").agg(F.ceil(F.sum("_n") / salt_grams).cast("int").alias("_salts"))
+        salts = small_side(materialise(spark, salts, "kn-salts"), 16)
+        home = pair_shard(_suffix(F.shiftright("_g", BITS), 2), shards)
+        homes = F.when(F.col("_order") <= 2, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(home))
+        known = model.withColumn("_shard", F.explode(homes)).join(salts, "_shard").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        none = {"_block": F.lit(0).cast("long"), "_n": F.lit(0).cast("long"), "_data": F.lit(None).cast("binary")}
+        known = known.select("_shard", "_salt", F.lit(0).alias("_kind"), *MODEL, *(c.alias(k) for k, c in none.items()))
+        rest = {"_order": F.lit(0), "_g": F.lit(0).cast("long"), "_c": F.lit(0).cast("long")}
+        asked = asked.join(salts, "_shard").withColumn("_salt", F.pmod(F.xxhash64("_block", "_fold"), F.col("_salts")).cast("int"))
+        asked = asked.select("_shard", "_salt", F.lit(1).alias("_kind"), "_fold", *(c.alias(k) for k, c in rest.items()), "_block", "_n", "_data")
+        met = known.unionByName(asked).repartition("_shard", "_salt").sortWithinPartitions("_shard", "_salt", "_kind")
+        answers = met.mapInArrow(tidy(_join_shards(order, discounts(model, order))), "_block long, _fold int, _n long, _data binary, _p binary")
+        keep = [c for c in docs.columns if c != "_text"]
+        schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        packs = blocks.where("_fold < 0").select("_block", "_data")
+        done = packs.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_score_block(order), f"{schema}, _nll double, _n long")
+        return materialise(spark, done, "kn-scores", outlive=True)
 
 
 def _slices(texts: list[str], chars: int = 1 << 20):
@@ -385,8 +382,7 @@ def classify(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, id_col
     marked = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.col(lang_col).alias("_lang"), F.xxhash64(text).alias("_text_key"), fold_.alias("_half"))
     trusted = materialise(spark, trusted, "kn-trusted")
     model = train(spark, marked.join(small_side(trusted, 16), "_id", "left_semi").select(F.col("_half").alias("_fold"), "_text"), order)
-    scored = score(spark, marked.withColumn("_fold", 1 - F.col("_half")).drop("_half"), model, order, shard_rows)
-    scored = materialise(spark, scored.drop("_fold"), "kn-scores")
+    scored = score(spark, marked.withColumn("_fold", 1 - F.col("_half")).drop("_half"), model, order, shard_rows).drop("_fold")
     known = scored.join(small_side(trusted, 16), "_id", "left_semi").where("_n > 0")
     means = known.groupBy("_lang").agg((F.sum("_nll") / F.sum("_n")).alias("_mean"), F.count(F.lit(1)).alias("_docs"))
     overall, = known.agg(F.sum("_nll") / F.sum("_n")).first()
@@ -420,5 +416,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, trusted: DataFrame, **option
     """The rows of docs that the classifier keeps, with their columns."""
     judged = classify(spark, docs, trusted, **options)
     bad = small_side(materialise(spark, judged.where(~F.col("keep")).select(F.col("_id").alias("_bad_id"), F.col("_text_key").alias("_bad_key")).distinct(), "kn-bad"), 24)
-    text_key = F.xxhash64(F.coalesce(F.col(options.get("text_col", "text")), F.lit("")))
-    return docs.join(bad, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_bad_id")) & (text_key == F.col("_bad_key")), "left_anti")
+    keys = {"_id": F.col(options.get("id_col", "doc_id")), "_key": F.xxhash64(F.coalesce(F.col(options.get("text_col", "text")), F.lit("")))}
+    return restored(carried(docs, **keys).join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_key") == F.col("_bad_key")), "left_anti"), docs)
