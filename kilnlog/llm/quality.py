@@ -40,6 +40,7 @@ PRIOR = 40
 MIN_TRUSTED = 30
 SHARD_ROWS = 100_000  # of the model in a shard
 BLOCK_CHARS = 1 << 24  # of texts that ask for their n-grams together
+PACK_CHARS = 1 << 18  # of texts that are compressed together
 SALT_GRAMS = 1 << 26  # that one task answers for a shard
 
 
@@ -245,7 +246,7 @@ def _to_blocks(order: int, shards: int, block_chars: int):
         block, held, chars = secrets.randbits(62), {0: [], 1: []}, 0
         for batch in batches:
             texts, folds = [t or "" for t in batch["_text"].to_pylist()], batch["_fold"].to_numpy()
-            for lo, hi in _slices(texts):
+            for lo, hi in _slices(texts, PACK_CHARS):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                     out.write_batch(batch.slice(lo, hi - lo))

@@ -1,17 +1,22 @@
-"""SentencePiece encoding and decoding, with giant documents split into chunks.
+"""SentencePiece encoding and decoding, with giant documents in chunks that meet in a max-plus scan.
 
-Unigram models: a max-plus parallel scan.  Positions of the normalised text are nodes and pieces are
-edges weighted by their scores.  No piece is longer than L characters, so what a chunk needs to know of its left is the best score
-at each of the L positions before its start.  A chunk yields the L x L matrix of best scores from the states at its start to the
-states at its end; these matrices combine associatively in the max-plus semiring; going back
-through the combined scores fixes each chunk's entry and exit state, and each chunk is then backtraced on its own.
+A piece is an edge over the normalised text.  What a chunk needs to know of its left is the state at its start, and it yields the
+matrix of best scores from the states at its start to the states at its end; these matrices combine
+associatively in the max-plus semiring; going back through the combined scores fixes each chunk's entry and exit state, and
+each chunk is then backtraced on its own.  Chunks are cut anywhere, also inside words and in texts without a space.
 
-BPE models: merges depend on ranks, not on sums of scores, so a best path of scores gives other pieces than the library.  Where
-no piece of the vocabulary has a space mark inside, a single space is a boundary that no merge crosses, and
-the transfer matrix at such a cut has the one state "between words"; chunks are cut there, encoded on their own by the library, and concatenated.  If
-the vocabulary has such pieces, texts are encoded whole.
+Unigram models: edges are weighted by their scores, and a state is one of the L positions before the cut, L being the longest piece.
 
-Documents below giant_chars are encoded where they are; only chunks of giant ones move.
+BPE models: merges depend on ranks, not on sums of scores.  But merges are local: a row of pieces is the encoding of its text if and only if
+each piece and each two neighbours are the encoding of theirs (a merge over a boundary happens in the whole text just when it
+happens between the two pieces alone, as until then both sides merge as they would alone).  So a step from
+one piece to the next weighs 0 where that holds and minus infinity elsewhere, a state is the piece over the last character before the cut,
+and the best path is the library's encoding.  Where no piece has a space mark behind another character, the beginning of a word is a boundary on every
+path: only the characters between a cut and the nearest words go through the scan, and the library encodes the words between them.
+A model with user-defined or unused pieces merges otherwise; its texts are encoded whole.
+
+Every text goes through the scan.  Those below giant_chars do so in one chunk and where they are; only chunks of giant ones move.  The ids are the
+library's (for unigram models, up to paths of equal score).
 
 Defined cases: null texts are empty and have no tokens.  Repeated rows and null ids are kept.  Decoding gives the text as the model
 normalises it, which for a model without normalisation is the text itself.
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from kilnlog.llm.common import materialise, small_batches, table, tidy
 
 SPACE = "▁"
-GIANT_CHARS, CHUNK_CHARS = 1 << 16, 1 << 15
+GIANT_CHARS, CHUNK_CHARS = 1 << 15, 1 << 14
 
 
 def _fields(data: bytes):
@@ -82,9 +87,14 @@ class Model:
                 self.unigram = dict(_fields(value)).get(3, 1) == 1
             elif number == 3:
                 self.dummy_prefix = bool(dict(_fields(value)).get(3, 1))
-        self.cuts_at_spaces = not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.pieces if kind in (1, 4))
         if self.unigram:
             self.scan = UnigramScan(self.pieces)
+        else:
+            self.scan = BpeScan(self.pieces, self._words) if all(kind not in (4, 5) for _, _, kind in self.pieces) else None
+
+    def _words(self, words: str) -> list[int]:
+        """The ids of normalised text that begins with a space mark; unknown characters are bytes or the unknown piece already."""
+        return self.processor.encode(words[self.dummy_prefix :].replace(SPACE, " "))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.processor.encode(texts, num_threads=1)
@@ -92,19 +102,6 @@ class Model:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.processor.decode(ids, num_threads=1)
 
-    def chunks(self, text: str, chars: int) -> list[str]:
-        """Pieces of text whose encodings concatenate to the text's, for a BPE model."""
-        out, lo = [], 0
-        while self.cuts_at_spaces and len(text) - lo > chars:
-            at = lo + chars
-            while (at := text.find(" ", at)) > 0 and (text[at - 1] == " " or text[at + 1 : at + 2] in ("", " ")):
-                at += 1
-            if at < 0:
-                break
-            out.append(text[lo:at])
-            lo = at + self.dummy_prefix
-        return [*out, text[lo:]]
-
 
 @functools.lru_cache(maxsize=2)
 def _loaded(path: str, size: int, changed: int) -> Model:
@@ -139,8 +136,9 @@ class UnigramScan:
         if not single and end:
             yield end - 1, self.unknown_score, self.unknown
 
-    def matrix(self, text: str, halo: int) -> np.ndarray:
-        """Best scores from each state at halo to each state at the end of text; state s is the position s - width + 1 from there."""
+    def matrix(self, text: str, halo: int, after: int = 0) -> np.ndarray:
+        """Best scores from each state at halo to each state at after characters before the end; state s is the position s - width + 1 from there."""
+        text = text[: len(text) - after]
         w, n = self.width, len(text)
         best = np.full((n + 1, w), -np.inf)
         for s in range(w):
@@ -161,20 +159,12 @@ class UnigramScan:
         return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
     def states(self, matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-        """Each chunk's entry and exit state on the best path from the text's start to its end."""
-        before, entry = [], np.where(np.arange(self.width) == self.width - 1, 0.0, -np.inf)
-        for m in matrices:
-            before.append(entry)
-            entry = (entry[:, None] + m).max(axis=0)
-        out, at = [], self.width - 1
-        for m, e in zip(reversed(matrices), reversed(before), strict=True):
-            came = int(np.argmax(e + m[:, at]))
-            out.append((came, at))
-            at = came
-        return out[::-1]
+        """Each chunk's entry and exit state on the best path from the text's start to its end, both the last state of their cut."""
+        return best_states(matrices, self.width - 1, self.width - 1)
 
-    def backtrace(self, text: str, halo: int, entry: int, leave: int) -> list[int]:
-        """The ids of the edges between the entry state at halo and the exit state at the end of text; unknown characters by negative code points."""
+    def backtrace(self, text: str, halo: int, after: int, entry: int, leave: int) -> list[int]:
+        """The ids of the edges between the entry state at halo and the exit state; unknown characters by negative code points."""
+        text = text[: len(text) - after]
         first, last = halo - self.width + 1 + entry, len(text) - self.width + 1 + leave
         best: dict[int, tuple[float, int, int]] = {first: (0.0, -1, -1)}
         for end in range(max(first, halo) + 1, last + 1):
@@ -190,37 +180,201 @@ class UnigramScan:
 
     def finish(self, ids: list[int]) -> list[int]:
         """Unknown characters become bytes if the model has them, else one unknown piece for each run."""
-        out: list[int] = []
-        run = False
-        for i in ids:
-            if i >= 0:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in chr(-i - 1).encode()]
-            elif not run:
-                out.append(self.unknown)
-            run = i < 0
+        return finished(ids, self.unknown, self.bytes)
+
+    def encode(self, text: str, chunk: int = 0) -> list[int]:
+        return encode_by_scan(self, text, chunk)
+
+
+def finished(ids: list[int], unknown: int, by_byte: dict[int, int]) -> list[int]:
+    out: list[int] = []
+    for i, before in zip(ids, [0, *ids], strict=False):
+        if i >= 0:
+            out.append(i)
+        elif by_byte:
+            out += [by_byte[b] for b in chr(-i - 1).encode()]
+        elif before >= 0:
+            out.append(unknown)
+    return out
+
+
+def best_states(matrices: list[np.ndarray], first: int, last: int) -> list[tuple[int, int]]:
+    """Each matrix's entry and exit state on the best path from state first of the first to state last of the last."""
+    before, entry = [], np.where(np.arange(len(matrices[0])) == first, 0.0, -np.inf) if matrices else None
+    for m in matrices:
+        before.append(entry)
+        entry = (entry[:, None] + m).max(axis=0)
+    out, at = [], last
+    for m, e in zip(reversed(matrices), reversed(before), strict=True):
+        came = int(np.argmax(e + m[:, at]))
+        out.append((came, at))
+        at = came
+    return out[::-1]
+
+
+class BpeScan:
+    """Max-plus scan over the pieces of a BPE model; a state is a piece (start, end, id) over the last character before a cut.
+
+    Its numbers are 0 and minus infinity: a path is the encoding or is none.  words encodes normalised text from one word's beginning to another's.
+    """
+
+    def __init__(self, pieces: list[tuple[str, float, int]], words) -> None:
+        self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == 1}
+        self.text_of = [p for p, _, _ in pieces]
+        self.scores = [s for _, s, _ in pieces]
+        self.unknown = next((i for i, p in enumerate(pieces) if p[2] == 2), 0)
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6}
+        self.width = max(map(len, self.ids), default=1)
+        self.words = words if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else None
+        self._whole: dict[int, bool] = {}
+        self._next: dict[tuple[int, int], bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text: the neighbours that make the piece of the best score merge first, the leftmost of equal ones."""
+        parts = list(text)
+        while True:
+            best = max(((self.scores[i], -k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if (i := self.ids.get(x + y)) is not None), default=None)
+            if best is None:
+                return parts
+            k = -best[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    def _is_whole(self, i: int) -> bool:
+        if i not in self._whole:
+            self._whole[i] = len(self.merged(self.text_of[i])) == 1
+        return self._whole[i]
+
+    def follows(self, a: int, b: int) -> bool:
+        """Whether piece b may follow piece a; an unknown character (negative) never merges."""
+        if a < 0 or b < 0:
+            return True
+        if (a, b) not in self._next:
+            if len(self._next) > 1_000_000:
+                self._next.clear()
+            x, y = self.text_of[a], self.text_of[b]
+            self._next[a, b] = self.merged(x + y) == [x, y]
+        return self._next[a, b]
+
+    def _from(self, text: str, start: int):
+        """The pieces (start, end, id) that begin at a position of text; its character alone if that is none."""
+        for end in range(start + 1, min(start + self.width, len(text)) + 1):
+            i = self.ids.get(text[start:end])
+            if i is not None:
+                if self._is_whole(i):
+                    yield start, end, i
+            elif end == start + 1:
+                yield start, end, -ord(text[start]) - 1
+
+    def at_cut(self, text: str, cut: int) -> list[tuple[int, int, int]]:
+        """The states of a cut, in order; at the text's start the one state of nothing before it."""
+        if not cut:
+            return [(0, 0, -1)]
+        return [x for s in range(max(0, cut - self.width), cut) for x in self._from(text, s) if x[1] >= cut]
+
+    def _reach(self, text: str, entries, stop: int) -> dict:
+        """All pieces that begin before stop on a path from one of entries: to the bits of the entries they are reached from."""
+        reach = {x: 1 << k for k, x in enumerate(entries)}
+        ends: dict[int, list] = {}
+        for x in entries:
+            ends.setdefault(x[1], []).append(x)
+        for start in range(min(ends, default=stop), stop):
+            if start in ends:
+                for x in self._from(text, start):
+                    bits = 0
+                    for y in ends[start]:
+                        if self.follows(y[2], x[2]):
+                            bits |= reach[y]
+                    if bits and x not in reach:
+                        reach[x] = bits
+                        ends.setdefault(x[1], []).append(x)
+        return reach
+
+    def _back(self, text: str, reach: dict, entry, leave) -> list[tuple]:
+        """The pieces behind entry up to leave."""
+        ends: dict[int, list] = {}
+        for x in reach:
+            ends.setdefault(x[1], []).append(x)
+        out, at = [], leave
+        while at != entry:
+            out.append(at)
+            at = next(y for y in ends[at[0]] if self.follows(y[2], at[2]))
+        return out[::-1]
+
+    def _word_starts(self, text: str, before: int, stop: int) -> tuple[int, int] | None:
+        """The first and the last beginning of a word of a chunk from before to stop, if there are two; beginnings are boundaries on every path."""
+        if self.words is None:
+            return None
+        first = next((i for i in range(max(1, before), stop) if text[i] == SPACE and text[i - 1] != SPACE), None)
+        last = next((i for i in range(stop - 1, max(0, before - 1), -1) if i and text[i] == SPACE and text[i - 1] != SPACE), None)
+        return (first, last) if first is not None and first < last else None
+
+    def matrix(self, text: str, before: int, after: int) -> np.ndarray:
+        stop = len(text) - after
+        entries, leaves = self.at_cut(text, before), self.at_cut(text, stop)
+        out = np.full((len(entries), len(leaves)), -np.inf)
+        if words := self._word_starts(text, before, stop):
+            # every path goes through both beginnings: what leads to the first, plus what leads on from the last
+            first = np.full(len(entries), -np.inf)
+            for x, bits in self._reach(text[: words[0]], entries, words[0]).items():
+                if x[1] == words[0]:
+                    first[[k for k in range(len(entries)) if bits >> k & 1]] = 0.0
+            reach = self._reach(text, [(words[1], words[1], -1)], stop)
+            last = np.array([0.0 if x in reach else -np.inf for x in leaves])
+            return first[:, None] + last[None, :]
+        reach = self._reach(text, entries, stop)
+        for j, x in enumerate(leaves):
+            out[[k for k in range(len(entries)) if reach.get(x, 0) >> k & 1], j] = 0.0
         return out
 
+    def states(self, matrices: list[np.ndarray]) -> list[tuple[int, int]]:
+        if not matrices:
+            return []
+        total = np.zeros(1)
+        for m in matrices:
+            total = (total[:, None] + m).max(axis=0)
+        return best_states(matrices, 0, int(np.argmax(total)))
+
+    def backtrace(self, text: str, before: int, after: int, entry: int, leave: int) -> list[int]:
+        """The ids of the pieces that begin in the chunk; unknown characters by negative code points, or done by the library."""
+        stop = len(text) - after
+        came, went = self.at_cut(text, before)[entry], self.at_cut(text, stop)[leave]
+        if words := self._word_starts(text, before, stop):
+            head = text[: words[0]]
+            reach = self._reach(head, [came], words[0])
+            to = next((x for x in reach if x[1] == words[0]), came)
+            start = words[1], words[1], -1
+            tail = self._back(text, self._reach(text, [start], stop), start, went)
+            return [x[2] for x in self._back(head, reach, came, to)] + self.words(text[words[0] : words[1]]) + [x[2] for x in tail]
+        return [x[2] for x in self._back(text, self._reach(text, [came], stop), came, went)]
+
+    def finish(self, ids: list[int]) -> list[int]:
+        return finished(ids, self.unknown, self.bytes)
+
     def encode(self, text: str, chunk: int = 0) -> list[int]:
-        """Of a normalised text, in chunks of so many characters (0: in one)."""
-        parts = halo_chunks(text, chunk or max(1, len(text)), self.width)
-        matrices = [self.matrix(t, h) for t, h in parts]
-        ids = [i for (t, h), (a, b) in zip(parts, self.states(matrices), strict=True) for i in self.backtrace(t, h, a, b)]
-        return self.finish(ids)
+        return encode_by_scan(self, text, chunk)
 
 
-def halo_chunks(text: str, chars: int, width: int) -> list[tuple[str, int]]:
-    """(chunk with what stands before it, how much that is); enough before it for every edge that ends in the chunk."""
+def encode_by_scan(scan, text: str, chunk: int = 0) -> list[int]:
+    """Of a normalised text, in chunks of so many characters (0: in one)."""
+    parts = halo_chunks(text, chunk or max(1, len(text)), scan.width)
+    states = scan.states([scan.matrix(*p) for p in parts])
+    return scan.finish([i for p, (a, b) in zip(parts, states, strict=True) for i in scan.backtrace(*p, a, b)])
+
+
+def halo_chunks(text: str, chars: int, width: int) -> list[tuple[str, int, int]]:
+    """(chunk with what stands around it, how much before it, how much behind it); enough for every edge over its ends and the states there."""
     out = []
     for lo in range(0, len(text), chars):
-        halo = min(lo, 2 * width)
-        out.append((text[lo - halo : lo + chars], halo))
+        before, after = min(lo, 2 * width), min(max(0, len(text) - lo - chars), width)
+        out.append((text[lo - before : lo + chars + after], before, after))
     return out
 
 
+_CHUNK = "_key1 long, _key2 long, _no int"
+
+
 def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars: int) -> DataFrame:
-    """(_key1, _key2, _ids) of giant texts, by chunks that any executor encodes."""
+    """(_key1, _key2, _ids) of giant texts, by chunks that any executor encodes; a model without a scan takes each text as one chunk."""
     def cut(batches):
         import pandas as pd
 
@@ -228,47 +382,42 @@ def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars
         for pdf in batches:
             rows = []
             for a, b, t in zip(pdf["_key1"], pdf["_key2"], pdf["_text"], strict=True):
-                if model.unigram:
-                    parts = halo_chunks(model.processor.normalize(t), chunk_chars, model.scan.width)
-                else:
-                    parts = [(c, 0) for c in model.chunks(t, chunk_chars)]
-                rows += [(a, b, i, c, h) for i, (c, h) in enumerate(parts)]
+                parts = halo_chunks(model.processor.normalize(t), chunk_chars, model.scan.width) if model.scan else [(t, 0, 0)]
+                rows += [(a, b, i, *p) for i, p in enumerate(parts)]
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pd.DataFrame(dict(zip(("_key1", "_key2", "_no", "_chunk", "_halo"), cols, strict=True)))
-
-    chunks = materialise(spark, giants.mapInPandas(tidy(cut), "_key1 long, _key2 long, _no int, _chunk string, _halo int").repartition("_key1", "_key2", "_no"), "piece-chunks")
-    if load(model_path).unigram:
-        def matrices(batches):
-            import pandas as pd
+                yield pd.DataFrame(dict(zip(("_key1", "_key2", "_no", "_chunk", "_before", "_after"), cols, strict=True)))
 
-            scan = load(model_path).scan
-            for pdf in batches:
-                yield pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_m": [scan.matrix(c, h).tobytes() for c, h in zip(pdf["_chunk"], pdf["_halo"], strict=True)]})
+    def matrices(batches):
+        import pandas as pd
 
-        def path(pdf):
-            import pandas as pd
+        model = load(model_path)
+        for pdf in batches:
+            found = [model.scan.matrix(*x) if model.scan else np.zeros((1, 1)) for x in zip(pdf["_chunk"], pdf["_before"], pdf["_after"], strict=True)]
+            yield pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_rows": [len(m) for m in found], "_m": [m.tobytes() for m in found]})
 
-            scan = load(model_path).scan
-            pdf = pdf.sort_values("_no")
-            states = scan.states([np.frombuffer(m).reshape(scan.width, scan.width) for m in pdf["_m"]])
-            return pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_in": [s for s, _ in states], "_out": [t for _, t in states]})
+    def path(pdf):
+        import pandas as pd
 
-        states = chunks.mapInPandas(matrices, "_key1 long, _key2 long, _no int, _m binary").groupBy("_key1", "_key2").applyInPandas(path, "_key1 long, _key2 long, _no int, _in int, _out int")
-        chunks = chunks.join(states, ["_key1", "_key2", "_no"])
+        scan = load(model_path).scan
+        pdf = pdf.sort_values("_no")
+        found = [np.frombuffer(m).reshape(n, -1) for n, m in zip(pdf["_rows"], pdf["_m"], strict=True)]
+        states = scan.states(found) if scan else [(0, 0)] * len(pdf)
+        return pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_in": [s for s, _ in states], "_out": [t for _, t in states]})
 
     def encode(batches):
         import pandas as pd
 
         model = load(model_path)
         for pdf in batches:
-            if model.unigram:
-                ids = [model.scan.backtrace(c, h, a, b) for c, h, a, b in zip(pdf["_chunk"], pdf["_halo"], pdf["_in"], pdf["_out"], strict=True)]
-            else:
-                ids = model.encode(pdf["_chunk"].tolist())
+            parts = zip(*(pdf[c] for c in ("_chunk", "_before", "_after", "_in", "_out")), strict=True)
+            ids = [model.scan.backtrace(*x) if model.scan else model.encode([x[0]])[0] for x in parts]
             yield pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_ids": [np.asarray(i, np.int32) for i in ids]})
 
-    encoded = chunks.mapInPandas(tidy(encode), "_key1 long, _key2 long, _no int, _ids array<int>")
+    chunks = giants.mapInPandas(tidy(cut), f"{_CHUNK}, _chunk string, _before int, _after int").repartition("_key1", "_key2", "_no")
+    chunks = materialise(spark, chunks, "piece-chunks")
+    states = chunks.mapInPandas(tidy(matrices), f"{_CHUNK}, _rows int, _m binary").groupBy("_key1", "_key2").applyInPandas(path, f"{_CHUNK}, _in int, _out int")
+    encoded = chunks.join(states, ["_key1", "_key2", "_no"]).mapInPandas(tidy(encode), f"{_CHUNK}, _ids array<int>")
     return encoded.groupBy("_key1", "_key2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_ids"))), lambda c: c["_ids"])).alias("_ids"))
 
 
@@ -282,7 +431,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, t
     carried = rows.schema["_row"].dataType
     out_schema = f"_row {carried.simpleString()}, {schema}"
 
-    def finished(model, pdf, ids):
+    def done_rows(model, pdf, ids):
         import pandas as pd
 
         return pd.DataFrame({"_row": pdf["_row"]} | finish(model, pdf["_text"].tolist(), ids))
@@ -293,13 +442,13 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, t
             for lo, hi in _by_size(pdf["_text"]):
                 part = pdf.iloc[lo:hi].reset_index(drop=True)
                 texts = part["_text"].tolist()
-                yield finished(model, part, model.encode(texts))
+                yield done_rows(model, part, [encode_by_scan(model.scan, model.processor.normalize(t)) for t in texts] if model.scan else model.encode(texts))
 
     def large(batches):
         model = load(model_path)
         for pdf in batches:
             ids = [list(map(int, i)) for i in pdf["_ids"]]
-            yield finished(model, pdf.reset_index(drop=True), [model.scan.finish(i) for i in ids] if model.unigram else ids)
+            yield done_rows(model, pdf.reset_index(drop=True), [model.scan.finish(i) for i in ids] if model.scan else ids)
 
     done = rows.where(F.length("_text") < giant_chars).mapInPandas(tidy(small), out_schema)
     giants = rows.where(F.length("_text") >= giant_chars).withColumns({"_key1": F.xxhash64("_text"), "_key2": F.xxhash64(F.lit(1), "_text")})
