@@ -136,9 +136,11 @@ class UnigramScan:
         if not single and end:
             yield end - 1, self.unknown_score, self.unknown
 
-    def matrix(self, text: str, halo: int, after: int = 0) -> np.ndarray:
-        """Best scores from each state at halo to each state at after characters before the end; state s is the position s - width + 1 from there."""
-        text = text[: len(text) - after]
+    def chunks(self, text: str, chars: int) -> list[tuple[str, int]]:
+        return halo_chunks(text, chars, self.width)
+
+    def matrix(self, text: str, halo: int) -> np.ndarray:
+        """Best scores from each state at halo to each state at the end of text; state s is the position s - width + 1 from there."""
         w, n = self.width, len(text)
         best = np.full((n + 1, w), -np.inf)
         for s in range(w):
@@ -162,9 +164,8 @@ class UnigramScan:
         """Each chunk's entry and exit state on the best path from the text's start to its end, both the last state of their cut."""
         return best_states(matrices, self.width - 1, self.width - 1)
 
-    def backtrace(self, text: str, halo: int, after: int, entry: int, leave: int) -> list[int]:
-        """The ids of the edges between the entry state at halo and the exit state; unknown characters by negative code points."""
-        text = text[: len(text) - after]
+    def backtrace(self, text: str, halo: int, entry: int, leave: int) -> list[int]:
+        """The ids of the edges between the entry state at halo and the exit state at the end of text; unknown characters by negative code points."""
         first, last = halo - self.width + 1 + entry, len(text) - self.width + 1 + leave
         best: dict[int, tuple[float, int, int]] = {first: (0.0, -1, -1)}
         for end in range(max(first, halo) + 1, last + 1):
@@ -187,6 +188,8 @@ class UnigramScan:
 
 
 def finished(ids: list[int], unknown: int, by_byte: dict[int, int]) -> list[int]:
+    if min(ids, default=0) >= 0:
+        return ids
     out: list[int] = []
     for i, before in zip(ids, [0, *ids], strict=False):
         if i >= 0:
@@ -255,9 +258,9 @@ class BpeScan:
             self._next[a, b] = self.merged(x + y) == [x, y]
         return self._next[a, b]
 
-    def _from(self, text: str, start: int):
-        """The pieces (start, end, id) that begin at a position of text; its character alone if that is none."""
-        for end in range(start + 1, min(start + self.width, len(text)) + 1):
+    def _from(self, text: str, start: int, least: int = 0):
+        """The pieces (start, end, id) that begin at a position of text and end at least at another; its character alone if that is none."""
+        for end in range(max(start + 1, least), min(start + self.width, len(text)) + 1):
             i = self.ids.get(text[start:end])
             if i is not None:
                 if self._is_whole(i):
@@ -265,11 +268,15 @@ class BpeScan:
             elif end == start + 1:
                 yield start, end, -ord(text[start]) - 1
 
+    def chunks(self, text: str, chars: int) -> list[tuple[str, int, int]]:
+        """(chunk with what stands around it, how much before it, how much behind it); enough for the states of both cuts."""
+        return [(c + text[lo + chars : lo + chars + self.width], h, max(0, min(self.width, len(text) - lo - chars))) for lo, (c, h) in zip(range(0, len(text), chars), halo_chunks(text, chars, self.width), strict=True)]
+
     def at_cut(self, text: str, cut: int) -> list[tuple[int, int, int]]:
         """The states of a cut, in order; at the text's start the one state of nothing before it."""
         if not cut:
             return [(0, 0, -1)]
-        return [x for s in range(max(0, cut - self.width), cut) for x in self._from(text, s) if x[1] >= cut]
+        return [x for s in range(max(0, cut - self.width), cut) for x in self._from(text, s, cut)]
 
     def _reach(self, text: str, entries, stop: int) -> dict:
         """All pieces that begin before stop on a path from one of entries: to the bits of the entries they are reached from."""
@@ -356,17 +363,17 @@ class BpeScan:
 
 def encode_by_scan(scan, text: str, chunk: int = 0) -> list[int]:
     """Of a normalised text, in chunks of so many characters (0: in one)."""
-    parts = halo_chunks(text, chunk or max(1, len(text)), scan.width)
+    parts = scan.chunks(text, chunk or max(1, len(text)))
     states = scan.states([scan.matrix(*p) for p in parts])
     return scan.finish([i for p, (a, b) in zip(parts, states, strict=True) for i in scan.backtrace(*p, a, b)])
 
 
-def halo_chunks(text: str, chars: int, width: int) -> list[tuple[str, int, int]]:
-    """(chunk with what stands around it, how much before it, how much behind it); enough for every edge over its ends and the states there."""
+def halo_chunks(text: str, chars: int, width: int) -> list[tuple[str, int]]:
+    """(chunk with what stands before it, how much that is); enough before it for every edge that ends in the chunk."""
     out = []
     for lo in range(0, len(text), chars):
-        before, after = min(lo, 2 * width), min(max(0, len(text) - lo - chars), width)
-        out.append((text[lo - before : lo + chars + after], before, after))
+        halo = min(lo, 2 * width)
+        out.append((text[lo - halo : lo + chars], halo))
     return out
 
 
@@ -382,18 +389,18 @@ def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars
         for pdf in batches:
             rows = []
             for a, b, t in zip(pdf["_key1"], pdf["_key2"], pdf["_text"], strict=True):
-                parts = halo_chunks(model.processor.normalize(t), chunk_chars, model.scan.width) if model.scan else [(t, 0, 0)]
-                rows += [(a, b, i, *p) for i, p in enumerate(parts)]
+                parts = model.scan.chunks(model.processor.normalize(t), chunk_chars) if model.scan else [(t, 0)]
+                rows += [(a, b, i, c, halo) for i, (c, *halo) in enumerate(parts)]
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pd.DataFrame(dict(zip(("_key1", "_key2", "_no", "_chunk", "_before", "_after"), cols, strict=True)))
+                yield pd.DataFrame(dict(zip(("_key1", "_key2", "_no", "_chunk", "_halo"), cols, strict=True)))
 
     def matrices(batches):
         import pandas as pd
 
         model = load(model_path)
         for pdf in batches:
-            found = [model.scan.matrix(*x) if model.scan else np.zeros((1, 1)) for x in zip(pdf["_chunk"], pdf["_before"], pdf["_after"], strict=True)]
+            found = [model.scan.matrix(c, *h) if model.scan else np.zeros((1, 1)) for c, h in zip(pdf["_chunk"], pdf["_halo"], strict=True)]
             yield pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_rows": [len(m) for m in found], "_m": [m.tobytes() for m in found]})
 
     def path(pdf):
@@ -410,11 +417,11 @@ def _giants(spark: SparkSession, giants: DataFrame, model_path: str, chunk_chars
 
         model = load(model_path)
         for pdf in batches:
-            parts = zip(*(pdf[c] for c in ("_chunk", "_before", "_after", "_in", "_out")), strict=True)
-            ids = [model.scan.backtrace(*x) if model.scan else model.encode([x[0]])[0] for x in parts]
+            parts = zip(*(pdf[c] for c in ("_chunk", "_halo", "_in", "_out")), strict=True)
+            ids = [model.scan.backtrace(c, *h, a, b) if model.scan else model.encode([c])[0] for c, h, a, b in parts]
             yield pd.DataFrame({"_key1": pdf["_key1"], "_key2": pdf["_key2"], "_no": pdf["_no"], "_ids": [np.asarray(i, np.int32) for i in ids]})
 
-    chunks = giants.mapInPandas(tidy(cut), f"{_CHUNK}, _chunk string, _before int, _after int").repartition("_key1", "_key2", "_no")
+    chunks = giants.mapInPandas(tidy(cut), f"{_CHUNK}, _chunk string, _halo array<int>").repartition("_key1", "_key2", "_no")
     chunks = materialise(spark, chunks, "piece-chunks")
     states = chunks.mapInPandas(tidy(matrices), f"{_CHUNK}, _rows int, _m binary").groupBy("_key1", "_key2").applyInPandas(path, f"{_CHUNK}, _in int, _out int")
     encoded = chunks.join(states, ["_key1", "_key2", "_no"]).mapInPandas(tidy(encode), f"{_CHUNK}, _ids array<int>")

@@ -257,7 +257,7 @@ def test_encoding_is_the_library_s(spark):
 
     path = sentencepiece_scan.default_model()
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = edge_rows() + [(70, " lead  two   spaces \n" * 300, "en", "a", 0), (71, "x" * 5000, "en", "a", 0)]
+    rows = edge_rows() + [(70, " lead  two   spaces \n" * 300, "en", "a", 0), (71, "x" * 5000, "en", "a", 0), (73, "日本=12" * 300, "en", "a", 0)]
     out = sentencepiece_scan.encode_documents(spark, frame(spark, rows), path, giant_chars=500, chunk_chars=120)
     got = {(r["doc_id"], tuple(r["token_ids"])) for r in out.collect()}
     assert out.count() == len(rows) and got == {(r[0], tuple(sp.encode(r[1] or ""))) for r in rows}
@@ -266,6 +266,49 @@ def test_encoding_is_the_library_s(spark):
     assert all(r["round_trip"] for r in coded.collect())
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 60])
+def test_bpe_scan_is_the_library(chunk):
+    model = sentencepiece_scan.load(sentencepiece_scan.default_model())
+    r = random.Random(chunk)
+    bits = ["a", "b", "th", "e", "▁", " ", "  ", "   ", "é", "日本", "\n", "\t", "=", "==", "-----", "xyz", "tion", " the", "😀", "\u0301", "0", "12"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(80))) for _ in range(150)] + ["x" * 200, "=" * 90 + " " + "=" * 77, " " * 60, "ab" * 99]
+    for t in texts:
+        assert model.scan.encode(model.processor.normalize(t), chunk) == model.processor.encode(t), t
+
+
+def test_bpe_matrices_combine_associatively():
+    import numpy as np
+
+    scan = sentencepiece_scan.load(sentencepiece_scan.default_model()).scan
+    m = [scan.matrix(*p) for p in scan.chunks("▁internationalisations▁of▁the▁theatres", 9)]
+    times = sentencepiece_scan.UnigramScan.combine
+    assert len(m) > 3 and np.array_equal(times(times(m[0], m[1]), m[2]), times(m[0], times(m[1], m[2])))
+
+
+def unigram_file(path):
+    """A .model file of the unigram pieces, without normalisation."""
+    import struct
+
+    def field(number, kind, data):
+        return bytes([number << 3 | kind]) + (struct.pack("<f", data) if kind == 5 else bytes([data]) if kind == 0 else bytes([len(data)]) + data)
+
+    pieces = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, s) + field(3, 0, kind)) for p, s, kind in PIECES)
+    path.write_bytes(pieces + field(2, 2, field(3, 0, 1)) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1)))
+    return str(path)
+
+
+def test_giants_of_a_unigram_model_go_through_the_scan(spark, tmp_path):
+    import sentencepiece
+
+    path = unigram_file(tmp_path / "unigram.model")
+    sp, r = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(6)
+    rows = [(i, "".join(r.choice("ab x") for _ in range(r.randrange(400))), "en", "a", 0) for i in range(40)]
+    got = {x["doc_id"]: list(x["token_ids"]) for x in sentencepiece_scan.encode_documents(spark, frame(spark, rows), path, giant_chars=100, chunk_chars=30).collect()}
+    score = lambda ids: sum(sp.GetScore(i) for i in ids)
+    for i, t, *_ in rows:
+        assert sp.decode(got[i]) == sp.decode(sp.encode(t)) and score(got[i]) == pytest.approx(score(sp.encode(t)))
+
+
 # 7
 def test_tool_calls_are_linked(spark):
     call = lambda *cs: json.dumps({"content": "c", "tool_calls": [dict(zip(("id", "name", "arguments", "depends_on"), c, strict=False)) for c in cs]})
