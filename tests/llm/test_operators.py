@@ -339,6 +339,71 @@ def test_tool_calls_are_linked(spark):
     assert tool_chat.link_tool_calls(spark, df.where("false"), tool_chat.TOOLS).count() == 0
 
 
+def levels_of(calls):
+    """{(conv, id): (level, order)} of (conv, turn, id, after), the first of an id, by repeated passes."""
+    first = {}
+    for conv, turn, cid, after in sorted(calls, key=lambda c: c[:2]):
+        first.setdefault((conv, cid), (turn, after))
+    done = {}
+    while True:
+        ready = {k: v for k, v in first.items() if k not in done and all((k[0], d) in done or (k[0], d) not in first for d in v[1])}
+        if not ready:
+            return {k: done.get(k, (None, turn)) for k, (turn, _) in first.items()}
+        for (conv, cid), (turn, after) in ready.items():
+            known = [done[conv, d] for d in after if (conv, d) in done]
+            done[conv, cid] = max((x[0] + 1 for x in known), default=0), max([turn, *(x[1] for x in known)])
+
+
+@pytest.mark.parametrize("bucket", [2, 7, 1000])
+def test_levels_at_any_bucket(spark, bucket):
+    r, calls = random.Random(bucket), []
+    for conv in range(6):
+        n = r.choice([1, 5, 30])
+        for turn in range(n):
+            calls.append((conv, turn if conv % 2 else turn // 9, f"k{turn}", [f"k{r.randrange(n + 2)}" if r.random() < 0.1 else f"k{max(0, turn - r.randrange(1, 6))}" for _ in range(r.randrange(3))] if turn else []))
+    calls += [(77, t, f"k{t}", [f"k{t - 1}"]) for t in range(1200 if bucket == 1000 else 60)]  # one long chain
+    rows = [(conv, turn, "assistant", json.dumps({"tool_calls": [{"id": cid, "name": "fetch", "arguments": {"url": "u"}, "depends_on": after}]})) for conv, turn, cid, after in calls]
+    parsed = spark.createDataFrame([(c, t, i, cid, after) for i, (c, t, cid, after) in enumerate(calls)], "_conv long, _turn long, _pos int, _cid string, _after array<string>").select("_conv", "_cid", "_turn", "_pos", "_after")
+    got = {(x["_conv"], x["_cid"]): (x["_level"], x["_order"]) for x in tool_chat._levels(spark, parsed.where("_conv < 77") if bucket == 2 else parsed, bucket).collect()}
+    want = levels_of(calls)
+    assert got == {k: v for k, v in want.items() if bucket > 2 or k[0] < 77}
+    if bucket == 1000:
+        out = tool_chat.link_tool_calls(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tool_chat.TOOLS, bucket=bucket)
+        assert {x["order_level"] for x in out.where("conv_id = 77").collect()} == set(range(1200))
+
+
+def test_arguments_and_schemas():
+    fits = tool_chat.fits
+    assert fits("a", {"type": ["string", "null"]}) and fits(None, {"type": ["string", "null"]}) and not fits(1, {"type": ["string", "null"]})
+    assert not fits(True, {"enum": [1]}) and fits(1.0, {"enum": [1]}) and not fits([True], {"enum": [[1]]}) and fits({"a": 1}, {"enum": [{"a": 1}]})
+    assert fits(2.0, {"type": "integer"}) and not fits(True, {"type": "integer"}) and not fits(2.5, {"type": "integer"})
+    assert not fits({"a": 1, "b": 2}, {"properties": {"a": {}}, "additionalProperties": {"type": "string"}})
+    for bad in ({"pattern": "x"}, {"type": "text"}, {"items": {"minLength": 1}}, {"properties": {"a": {"format": "date"}}}, True):
+        with pytest.raises(ValueError):
+            tool_chat.check_schema(bad)
+
+
+def test_chat_of_a_very_long_text(spark):
+    long = "long \"text\" " * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "fetch", "arguments": {"url": long}}]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": long}))]
+    got = {r["turn"]: r for r in tool_chat.link_tool_calls(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tool_chat.TOOLS).collect()}
+    assert [got[i]["status"] for i in range(3)] == ["plain", "calls", "linked"] and json.loads(got[2]["message"])["content"] == long
+
+
+def test_chat_query_has_all_kinds(spark):
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.01"
+    got = tool_chat.op7_tool_chat(spark, sf_dir).toPandas()
+    assert {"plain", "calls", "invalid", "duplicate", "cycle", "unanswered", "linked", "orphan"} == set(got.status)
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    want = con.execute(tool_chat.ORACLE).df()[list(got.columns)]
+    by = ["conv_id", "turn"]
+    a, b = (x.sort_values(by).reset_index(drop=True) for x in (got, want))
+    assert len(a) == len(b) and all((a[c] == b[c]).all() for c in a.columns)
+
+
 # 8
 def links_of(texts):
     sets = []
