@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import materialise, small_side, table, tidy
+from kilnlog.llm.common import carried, materialise, restored, small_side, table, tidy
 from kilnlog.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -303,8 +303,8 @@ def _tile(batches):
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, small: int = SMALL, max_depth: int = MAX_DEPTH, tile: int = TILE) -> DataFrame:
     """(_id, _t1, _t2, class_id, copy_id, n_links) of every row of docs; _t1 and _t2 hash the text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2"), text.alias("_text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2"), text.alias("_text"))
     schema = "_id long, _t1 long, _t2 long, _node long, _sig binary, _leaves array<long>"
     records = materialise(spark, keyed.mapInPandas(tidy(_records(runs_for(recall, max_depth))), schema), "path-records")
     texts = records.groupBy("_t1", "_t2").agg(F.min("_id").alias("_copy"), F.first("_node").alias("_node"))
@@ -349,13 +349,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     as_keys = lambda df: small_side(materialise(spark, df.select(F.col("_id").alias("_kid"), F.col("_t1").alias("_k1"), F.col("_t2").alias("_k2")), "path-keys"), 32)
     dropped = as_keys(rows.where(~(key == F.col("_k"))).select("_id", "_t1", "_t2").distinct())
     repeated = as_keys(rows.where(key == F.col("_k")).groupBy("_id", "_t1", "_t2").count().where("count > 1"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    same = F.col(id_col).eqNullSafe(F.col("_kid")) & (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(F.lit(1), text) == F.col("_k2"))
-    kept = docs.join(dropped, same, "left_anti")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2"))
+    kept = carried(docs, _id=F.col(f"`{id_col}`").cast("long"), _t1=F.xxhash64(text), _t2=F.xxhash64(F.lit(1), text)).join(dropped, same, "left_anti")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, same, "left_semi").withColumn("_key", F.xxhash64(text)).dropDuplicates([id_col, "_key"]).drop("_key")
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+        return restored(kept, docs)
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["_id", "_t1", "_t2"])
+    return restored(kept.join(repeated, same, "left_anti").unionByName(once), docs)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

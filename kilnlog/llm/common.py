@@ -103,13 +103,13 @@ def bucketed(spark: SparkSession, df: DataFrame, by: str, n: int, name: str):
 
 
 def carried(docs: DataFrame, **columns: Column) -> DataFrame:
-    """(_row, columns): the caller's columns as one struct, so that their names cannot meet the ones used here."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(k) for k, c in columns.items()))
+    """The caller's columns as _c0, _c1 and so on, so that their names cannot meet the ones used here, and columns, which are of docs."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)), *(c.alias(k) for k, c in columns.items()))
 
 
 def restored(df: DataFrame, docs: DataFrame, **columns: Column) -> DataFrame:
-    """The columns of docs out of _row, with columns in the place of those of their name or behind them."""
-    own = [columns[c].alias(c) if c in columns else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    """The columns of docs under their own names, with columns in the place of those of their name or behind them."""
+    own = [columns[c].alias(c) if c in columns else F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
     return df.select(*own, *(c.alias(k) for k, c in columns.items() if k not in docs.columns))
 
 

@@ -21,9 +21,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import materialise, small_side, table, tidy
+from kilnlog.llm.common import BROADCAST_BYTES, carried, materialise, restored, table, tidy
 from kilnlog.llm.url_filter import LOWER, UPPER
 
+HOT_LINES = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -32,12 +33,12 @@ def line_key(line: Column) -> Column:
 
 
 def _text_key(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(_doc, _text, _n, _pos, _h1, _h2): a row for each line whose key is long enough."""
-    split = docs.select(F.col(id_col).alias("_doc"), _text_key(text_col).alias("_text"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
+    split = docs.select(F.col(f"`{id_col}`").alias("_doc"), _text_key(text_col).alias("_text"), F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n", -1).alias("_lines"))
     each = split.select("_doc", "_text", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_pos", "_line")).withColumn("_key", line_key(F.col("_line")))
     return each.where(F.length("_key") >= min_chars).select("_doc", "_text", "_n", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
 
@@ -83,7 +84,7 @@ def _bitmap(n: int, dropped) -> bytes:
     return zlib.compress(np.packbits(keep).tobytes(), 1)
 
 
-def keep_bitmaps(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
+def keep_bitmaps(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none", broadcast_bytes: int = BROADCAST_BYTES, hot_lines: int = HOT_LINES) -> DataFrame:
     """(_doc, _text, n_lines, n_dropped, keep_bitmap) of the documents that lose lines."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
@@ -91,9 +92,15 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     # rows of equal id and text count their lines once
     ranged = rows.select("_h1", "_h2", "_doc", "_pos").repartitionByRange("_h1", "_h2", "_doc").sortWithinPartitions("_h1", "_h2", "_doc", "_pos")
     runs = ranged.mapInPandas(tidy(_runs), "_h1 long, _h2 long, _docs long, _lines long, _first_doc long, _first_pos int")
-    united = runs.groupBy("_h1", "_h2").agg(F.sum("_docs").alias("_docs"), F.min(F.struct(F.col("_first_doc"), F.col("_first_pos"))).alias("_first"))
-    often = materialise(spark, united.where(F.col("_docs") >= min_docs).select("_h1", "_h2", "_first"), "line-often")
-    lost = rows.join(small_side(often, 64), ["_h1", "_h2"])
+    united = runs.groupBy("_h1", "_h2").agg(F.sum("_docs").alias("_docs"), F.sum("_lines").alias("_lines"), F.min(F.struct(F.col("_first_doc"), F.col("_first_pos"))).alias("_first"))
+    often = materialise(spark, united.where(F.col("_docs") >= min_docs).select("_h1", "_h2", "_lines", "_first"), "line-often")
+    if often.limit(broadcast_bytes // 64 + 1).count() * 64 <= broadcast_bytes:
+        lost = rows.join(F.broadcast(often), ["_h1", "_h2"])
+    else:
+        # hashes of very many lines are few, at most all lines / HOT_LINES; the others fill no task
+        hot = often.where(F.col("_lines") >= hot_lines)
+        rest = rows.join(F.broadcast(hot.select("_h1", "_h2")), ["_h1", "_h2"], "left_anti").join(often.where(F.col("_lines") < hot_lines), ["_h1", "_h2"])
+        lost = rows.join(F.broadcast(hot), ["_h1", "_h2"]).unionByName(rest)
     if keep == "first":
         lost = lost.where(~(F.col("_doc").eqNullSafe(F.col("_first._first_doc")) & (F.col("_pos") == F.col("_first._first_pos"))))
 
@@ -116,12 +123,13 @@ def kept_text(text: str, bitmap: bytes | None) -> str:
 
 
 def with_bitmaps(spark: SparkSession, docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _keep, the bitmap or null; the bitmaps are broadcast if they are few, and joined by shuffle if not."""
+    """docs as carried() has them, with _id, _keep, the bitmap or null, and _n_dropped; the bitmaps are broadcast if they are few, and joined by shuffle if not."""
     bitmaps = materialise(spark, bitmaps, "line-bitmaps").select(F.col("_doc").alias("_doc2"), F.col("_text").alias("_text2"), F.col("keep_bitmap").alias("_keep"), F.col("n_dropped").alias("_n_dropped"))
     size = bitmaps.agg(F.coalesce(F.sum(F.length("_keep") + 64), F.lit(0))).first()[0]
     if size <= 32 << 20:
         bitmaps = F.broadcast(bitmaps)
-    return docs.join(bitmaps, F.col(id_col).eqNullSafe(F.col("_doc2")) & (_text_key(text_col) == F.col("_text2")), "left").drop("_doc2", "_text2")
+    rows = carried(docs, _id=F.col(f"`{id_col}`"), _key=_text_key(text_col))
+    return rows.join(bitmaps, F.col("_id").eqNullSafe(F.col("_doc2")) & (F.col("_key") == F.col("_text2")), "left").drop("_doc2", "_text2", "_key")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
@@ -135,13 +143,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
         return pd.Series([None if t is None else kept_text(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object)
 
     joined = with_bitmaps(spark, docs, keep_bitmaps(spark, docs, **options), id_col=id_col, text_col=text_col)
-    text = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(apply(F.col(text_col), F.col("_keep")))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    own = F.col(f"_c{docs.columns.index(text_col)}")
+    return restored(joined, docs, **{text_col: F.when(F.col("_keep").isNull(), own).otherwise(apply(own, F.col("_keep")))})
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    joined = with_bitmaps(spark, docs, keep_bitmaps(spark, docs, min_docs=10, min_chars=1))
+    joined = with_bitmaps(spark, docs, keep_bitmaps(spark, docs, min_docs=10, min_chars=1)).select("_id", F.col("_c1").alias("text"), "_keep", "_n_dropped")
 
     def digest(batches):
         import pandas as pd
@@ -150,7 +158,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             texts = [t or "" for t in pdf["text"]]
             kept = [kept_text(t, b) for t, b in zip(texts, pdf["_keep"], strict=True)]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"),
+                "doc_id": pdf["_id"].astype("Int64"),
                 "n_lines": [t.count("\n") + 1 for t in texts],
                 "n_dropped": pdf["_n_dropped"].fillna(0).astype("int64"),
                 "kept_sha256": [hashlib.sha256(k.encode()).hexdigest() for k in kept],

@@ -44,10 +44,11 @@ PACK_CHARS = 1 << 18  # of texts that are compressed together
 SALT_GRAMS = 1 << 26  # that one task answers for a shard
 
 
-def fold(text: str) -> np.ndarray:
-    """Codes 2..4095: lower case, digits as one class; code points over 2047 share 2048 classes."""
-    a = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    a = np.where(a < 2048, a, 2048 + a % 2048)
+def fold(lowered: str) -> np.ndarray:
+    """Codes 2..4095 of lower case: digits are one class; code points over 2047 share 2048 classes."""
+    a = np.frombuffer(lowered.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    high = a >= 2048
+    a[high] = 2048 + a[high] % 2048
     a[(a >= 48) & (a <= 57)] = 48
     a[a < 2] = 2
     return a
@@ -58,23 +59,64 @@ def positions(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
     A text is preceded by order - 1 starts (code 0), so n-grams at its beginning have zeros in front.
     """
-    parts, own = [], []
-    pad = np.zeros(order - 1, np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            parts += [pad, fold(t), np.ones(1, np.int64)]
-            own.append((i, len(parts[-2]) + 1))
-    if not parts:
+    low = [t.lower() for t in texts]
+    own, n = np.array([i for i, t in enumerate(low) if t], np.int64), np.array([len(t) for t in low if t], np.int64)
+    if not len(n):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.concatenate(parts)
+    begin = np.cumsum(n + order) - (n + order)  # of each text's starts; its characters and its end follow
+    codes = np.zeros(int((n + order).sum()), np.int64)
+    codes[np.arange(int(n.sum())) + np.repeat(begin + order - 1 - (np.cumsum(n) - n), n)] = fold("".join(low))
+    codes[begin + order - 1 + n] = 1
     grams = np.zeros(len(codes) - order + 1, np.int64)
     for j in range(order):
         grams |= codes[j : len(codes) - order + 1 + j] << (BITS * (order - 1 - j))
-    at, keep = 0, np.zeros(len(grams), bool)
-    for _, n in own:
-        keep[at : at + n] = True
-        at += n + order - 1
-    return grams[keep], np.repeat([i for i, _ in own], [n for _, n in own])
+    keep = np.ones(len(grams), bool)
+    over = (begin[:-1] + n[:-1] + 1)[:, None] + np.arange(order - 1)[None, :]  # those that reach into the next text
+    keep[over.reshape(-1)] = False
+    return grams[keep], np.repeat(own, n + 1)
+
+
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class Distinct:
+    """The distinct integers of those added; most repeats are told by a table of what was last seen at a slot."""
+
+    def __init__(self, bits: int = 19) -> None:
+        self.bits, self.seen, self.parts, self.n = bits, np.full(1 << bits, -1, np.int64), [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        at = _slot(values, self.bits)
+        fresh = self.seen[at] != values
+        values = values[fresh]
+        self.seen[at[fresh]] = values
+        self.parts.append(values)
+        self.n += len(values)
+        if self.n > 1 << 21:
+            self.parts = [self.sorted()]
+            self.n = 0
+
+    def sorted(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
+
+
+class Lookup:
+    """Numbers by distinct integers, in a table of slots and, for those that share a slot, in sorted order."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], values[by]
+        self.bits = max(8, int(len(keys)).bit_length() + 1)
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self.slots[_slot(self.keys, self.bits)] = np.arange(len(keys))
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        at = self.slots[_slot(wanted, self.bits)]
+        missed = np.flatnonzero(self.keys[at] != wanted)
+        at[missed] = np.searchsorted(self.keys, wanted[missed])
+        return self.values[at]
 
 
 def _count_grams(order: int, batch_rows: int = 1_000_000):
@@ -199,6 +241,7 @@ def pair_shard(pair, shards: int):
 
 
 _SPREAD = 2654435761
+_FOLD = 60  # the bit over an n-gram that tells its fold, while both folds are collected
 MODEL = ("_fold", "_order", "_g", "_c")
 
 
@@ -233,9 +276,9 @@ def _to_blocks(order: int, shards: int, block_chars: int):
             return pa.RecordBatch.from_arrays(arrays, ["_block", "_fold", "_shard", "_n", "_data"])
 
         def grams_of(held):
-            out = []
-            for f, parts in held.items():
-                grams = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+            out, every = [], held.sorted()
+            for f in (0, 1):
+                grams = every[every >> _FOLD == f] & ((1 << _FOLD) - 1)
                 of = pair_shard((grams >> BITS) & ((1 << (2 * BITS)) - 1), shards)
                 for k in np.unique(of):
                     own = grams[of == k]
@@ -243,7 +286,7 @@ def _to_blocks(order: int, shards: int, block_chars: int):
             return out
 
         # a random number names a block: its rows are written once, by the attempt that is committed
-        block, held, chars = secrets.randbits(62), {0: [], 1: []}, 0
+        block, held, chars = secrets.randbits(62), Distinct(), 0
         for batch in batches:
             texts, folds = [t or "" for t in batch["_text"].to_pylist()], batch["_fold"].to_numpy()
             for lo, hi in _slices(texts, PACK_CHARS):
@@ -252,15 +295,12 @@ def _to_blocks(order: int, shards: int, block_chars: int):
                     out.write_batch(batch.slice(lo, hi - lo))
                 yield rows(block, [(-1, 0, hi - lo, sink.getvalue().to_pybytes())])
                 grams, own = positions(texts[lo:hi], order)
-                for f in (0, 1):
-                    held[f].append(np.unique(grams[folds[lo:hi][own] == f]))
-                    if len(held[f]) > 1 and sum(map(len, held[f][1:])) > 1 << 20:
-                        held[f] = [np.unique(np.concatenate(held[f]))]
+                held.add(grams | (folds[lo:hi].astype(np.int64) << _FOLD)[own])
                 chars += sum(map(len, texts[lo:hi]))
                 if chars >= block_chars:
                     if found := grams_of(held):
                         yield rows(block, found)
-                    block, held, chars = secrets.randbits(62), {0: [], 1: []}, 0
+                    block, held, chars = secrets.randbits(62), Distinct(), 0
         if found := grams_of(held):
             yield rows(block, found)
 
@@ -312,17 +352,16 @@ def _score_block(order: int):
         for f, parts in held.items():
             if parts:
                 g, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-                by = np.argsort(g)
-                tables[f] = (g[by], np.log(p[by].astype(np.float64)))
+                tables[f] = Lookup(g, np.log(p.astype(np.float64)))
         out = []
         for data in packs["_data"]:
             for pack in pa.ipc.open_stream(data.as_buffer()):
                 texts, folds = [t or "" for t in pack["_text"].to_pylist()], pack["_fold"].to_numpy()
                 grams, own = positions(texts, order)
                 lps = np.zeros(len(grams))
-                for f, (g, lp) in tables.items():
+                for f, found in tables.items():
                     mine = folds[own] == f
-                    lps[mine] = lp[np.searchsorted(g, grams[mine])]
+                    lps[mine] = found(grams[mine])
                 nll, n = -np.bincount(own, weights=lps, minlength=len(texts)), np.bincount(own, minlength=len(texts))
                 keep = [c for c in pack.schema.names if c != "_text"]
                 out.append(pa.RecordBatch.from_arrays([*(pack[c] for c in keep), pa.array(nll, pa.float64()), pa.array(n.astype(np.int64), pa.int64())], [*keep, "_nll", "_n"]))

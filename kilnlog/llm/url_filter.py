@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnlog.llm.common import table
+from kilnlog.llm.common import carried, restored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY = 16
@@ -80,13 +80,14 @@ class BlockedBloom:
 
 
 def judge_urls(spark: SparkSession, urls: DataFrame, listed: DataFrame, *, url_col: str = "url", default: str = "allow", max_filter_bytes: int = 64 << 20) -> DataFrame:
-    """(url, host, path, rule, verdict) of each distinct URL; listed has host, path, verdict."""
+    """The rows of urls with host, path, rule and verdict, in the place of columns of these names; listed has host, path, verdict."""
     ranked = listed.where("host is not null and path is not null").groupBy("host", "path").agg(F.max(F.when(F.col("verdict") == "block", "block").otherwise("allow")).alias("_verdict"))
     rules = ranked.select(F.concat_ws("\u0000", "host", "path").alias("_key"), F.concat("host", "path").alias("_rule"), "_verdict", F.length("path").alias("_len"))
     lengths = sorted(r[0] for r in rules.select("_len").distinct().collect())  # at most the longest path
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(rules, "_key", rules.count(), max_filter_bytes).words)
-    host, path = host_and_path(F.col(url_col))
-    distinct = urls.select(F.col(url_col).alias("_url")).distinct().where("_url is not null")
+    url = F.col(f"`{url_col}`")
+    host, path = host_and_path(url)
+    distinct = urls.select(url.alias("_url")).distinct().where("_url is not null")
     parts = distinct.select("_url", *(c.alias(n) for c, n in zip(host_and_path(F.col("_url")), ("_host", "_path"), strict=True)))
 
     def probe(batches):
@@ -110,9 +111,8 @@ def judge_urls(spark: SparkSession, urls: DataFrame, listed: DataFrame, *, url_c
 
     fits = parts.mapInPandas(probe, "_url string, _key string").join(rules, "_key")
     best = fits.groupBy("_url").agg(F.max_by(F.struct("_rule", "_verdict"), F.struct(F.length("_rule"), "_rule")).alias("_best"))
-    return urls.join(best, F.col(url_col) == F.col("_url"), "left").select(
-        urls["*"], host.alias("host"), path.alias("path"), F.col("_best._rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict")
-    )
+    rows = carried(urls, _of=url, _host=host, _path=path).join(best, F.col("_of") == F.col("_url"), "left")
+    return restored(rows, urls, host=F.col("_host"), path=F.col("_path"), rule=F.col("_best._rule"), verdict=F.coalesce("_best._verdict", F.lit(default)))
 
 
 #: Verdict, host, path.
