@@ -10,8 +10,9 @@ several times as many cells as digests and still fails (equal positions of some
 The fingerprint is the sketch at the first size, in hex, with the number of digests: equal texts have equal fingerprints.
 Likeness is the Jaccard similarity of the digest sets, from the sizes and the recovered difference; of two empty sets it is 1.
 
-Documents stream through range buckets in descending doc_id; a bucket's rows come sorted and the first row of the
-next bucket is sent along, so each row meets the next document without a window over the table, and texts are shuffled once.
+Documents stream through range buckets in descending doc_id, as many as their bytes ask for and one in a partition; a bucket's rows come sorted and the first
+row of the next bucket is sent along, so each row meets the next document without a window over the table, and texts are shuffled once.  An id of
+very many rows, or rows without one, take several buckets by the hash of the text.
 
 Defined cases: a null text is empty.  Rows of equal id follow each other in the order of their text digests; null ids come last.
 A single document is its own next document.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from kilnlog.llm.common import table, tidy
 
 PIECE = 128
+BUCKET_BYTES = 32 << 20
 CELLS = 12  # cells in each of the three parts of a sketch of the first size
 
 
@@ -165,21 +167,35 @@ def _cuts_above(value: Column, cuts: list[int]) -> Column:
 
 
 def in_descending_order(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """(_id, _text, _bucket, _order) in sorted buckets of descending id; _order 1 marks the row sent along from the next bucket."""
+    """(_id, _text, _bucket, _order) in sorted buckets of descending id, one a partition; _order 1 marks the row sent along from the next bucket.
+
+    n_buckets is meant; by default as many as give each BUCKET_BYTES of text, and a partition each to the session's shuffles.
+    """
     spark = docs.sparkSession
-    n = n_buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    cuts = rows.select(F.percentile_approx("_id", [i / n for i in range(1, n)], 10 * n) if n > 1 else F.lit(None)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    rows = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), len(cuts)).otherwise(_cuts_above(F.col("_id"), cuts)))
-    # the first id of each bucket that has rows, and the bucket before it: as many rows as buckets
-    firsts = rows.groupBy("_bucket").agg(F.max("_id").alias("_first"))
+    n_rows, n_null, n_bytes = rows.agg(F.count(F.lit(1)), F.count_if(F.col("_id").isNull()), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    n = n_buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / BUCKET_BYTES))
+    found = rows.select(F.percentile_approx("_id", [i / n for i in range(1, n)], 10 * n) if n > 1 else F.lit(None)).first()[0] or []
+    cuts = sorted(set(found), reverse=True)
+    # an id that is several cuts has as many buckets, by ranges of the text's hash; the ids below it begin in the last of them
+    subs = [found.count(c) for c in cuts]
+    null_subs = max(1, round(n_null * n / max(1, n_rows)))
+    share = (F.xxhash64("_text").cast("double") + 2.0**63) / 2.0**64
+    base = F.when(F.col("_id").isNull(), len(cuts) + 1).otherwise(_cuts_above(F.col("_id"), cuts))
+    offsets = np.cumsum([1, *subs, null_subs])
+    first, many = (F.element_at(F.array(*map(F.lit, x)), base + 1) for x in ([0, *map(int, offsets[:-1])], [1, *subs, null_subs]))
+    hot = F.col("_id").isNull() | F.col("_id").isin([c for c, k in zip(cuts, subs, strict=True) if k > 1])
+    bucket = first + F.when(hot, F.least(F.floor(share * many), many - 1)).otherwise(many - 1)
+    rows = rows.withColumn("_bucket", bucket.cast("int"))
+    # the first row of each bucket that has rows, and the bucket before it: as many rows as buckets
+    firsts = rows.groupBy("_bucket").agg(F.max(F.struct("_id", F.bitwise_not(F.xxhash64("_text")).alias("h"))).alias("_first"))
     ring = Window.orderBy("_bucket")
     firsts = firsts.withColumn("_prev", F.lag("_bucket").over(ring)).withColumn("_last", F.max("_bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = firsts.select(F.col("_bucket").alias("_b"), "_first", F.coalesce("_prev", "_last").alias("_prev"))
-    sent = rows.join(F.broadcast(firsts), (F.col("_bucket") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_first")), "left").withColumn("_copies", F.when(F.col("_b").isNull(), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("o")))).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("o")), F.struct(F.col("_prev").alias("b"), F.lit(1).alias("o")))))
-    out = sent.select("_id", "_text", F.explode("_copies").alias("_c")).select("_id", "_text", F.col("_c.b").alias("_bucket"), F.col("_c.o").alias("_order"))
-    return out.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_order", F.col("_id").desc_nulls_last(), F.xxhash64("_text"), "_text")
+    is_first = (F.col("_bucket") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_first._id")) & (F.bitwise_not(F.xxhash64("_text")) == F.col("_first.h"))
+    sent = rows.join(F.broadcast(firsts), is_first).groupBy("_prev").agg(F.first("_id").alias("_id"), F.min("_text").alias("_text"))
+    out = rows.withColumn("_order", F.lit(0)).unionByName(sent.select("_id", "_text", F.col("_prev").alias("_bucket"), F.lit(1).alias("_order")))
+    return out.repartitionById(int(offsets[-1]), "_bucket").sortWithinPartitions("_bucket", "_order", F.col("_id").desc_nulls_last(), F.xxhash64("_text"), "_text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

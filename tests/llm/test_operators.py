@@ -70,6 +70,14 @@ def test_fingerprints_against_sets(spark):
         jac = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
         assert r["near_edited"] == pytest.approx(jac(s, e)) and r["near_next"] == pytest.approx(jac(s, n))
+    # hot ids and rows without one take several buckets, in the order of the texts' hashes
+    hot = [(5, f"t{i}", None, None, 0) for i in range(40)] + [(None, f"n{i}", None, None, 0) for i in range(40)] + [(i, f"x{i}", None, None, 0) for i in range(20)] + [(5, "t0", None, None, 0)] * 9
+    df = frame(spark, hot)
+    order = df.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text").select("doc_id", "text").collect()
+    want = {(a["doc_id"], hashlib.sha256(fingerprints.edited(a["text"], b["text"]).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    for n in (1, 4, 16):
+        assert {(r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprint_documents(df, n_buckets=n).collect()} == want
+    assert len(fingerprints.in_descending_order(df, 8).where("_order = 0").select("_bucket").distinct().collect()) >= 8
     same = [r["fingerprint"] for r in got if r["doc_id"] in (1, 2)]
     assert len(set(same)) == 1
     assert fingerprints.fingerprint_documents(frame(spark, [])).count() == 0
@@ -110,7 +118,7 @@ def test_top_k_is_exact(spark):
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(900)] + [(900, None), (901, [float("nan")] * 8), (902, [1.0, None] * 4), (None, [0.5] * 8), (903, [0.1] * 5), (904, []), (5, [0.25] * 8), (1000, [0.0] * 8), (1001, [0.0] * 8)]
     rows += [(7, [r.uniform(-1, 1) for _ in range(8)]) for _ in range(450)]  # one id of a third of the rows
     df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
-    got = topk.top_k(df, df.where("_id % 100 = 0"), 10, candidate_block=100, query_block=4).collect()
+    got = topk.top_k(spark, df, df.where("_id % 100 = 0"), 10, candidate_block=100, query_block=4).collect()
     import math
 
     v = {(i, tuple(math.floor(x * 1024) for x in e)) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
@@ -119,7 +127,21 @@ def test_top_k_is_exact(spark):
             best = sorted(((-sum(a * b for a, b in zip(q, c, strict=True)), i) for i, c in v if i != qi and len(c) == len(q)))[:10]
             assert [(-s, i) for s, i in best] == [(g["score"], g["vec_id"]) for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == qi]
     empty = df.where("false")
-    assert topk.top_k(empty, empty, 10).count() == 0
+    assert topk.top_k(spark, empty, empty, 10).count() == 0
+
+
+def test_top_k_of_repeated_rows_and_huge_values(spark):
+    r = random.Random(5)
+    big = lambda: [r.randrange(-(2**31), 2**31) for _ in range(4)]
+    rows = [(i, big()) for i in range(60)] + [(70, [2**31] * 4), (71, [2**31 - 1, 2**31, 2**31, 2**31]), (72, [2**31, 2**31, 2**31, 2**31 - 1])]
+    rows += rows[10:20] * 3 + [(i, [x + 1 for x in v]) for i, v in rows[20:30]] + [(80, [2**62] * 4), (81, [-(2**62)] * 4), (0, [2**62] * 4)]
+    df = spark.createDataFrame(rows, "_id long, _v array<long>")
+    got = topk.top_k(spark, df, df.where("_id in (0, 70, 15)"), 7, candidate_block=9, query_block=2, pass_queries=2).collect()
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in (0, 70, 15):
+        asked = {tuple(v) for i, v in rows if i == q}
+        best = sorted((-clip(sum(a * b for a, b in zip(v, c, strict=True))), i) for v in asked for i, c in rows if i != q)[:7]
+        assert best == [(-g["score"], g["vec_id"]) for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == q], q
 
 
 # 5
