@@ -1,7 +1,12 @@
 """The corpus pipeline: quality, line dedup, near duplicates, mixing, encoding.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.  Stage 4 repeats a document for each pass in which the mix uses it.
+All but the last return the columns of documents.  Stage 4 gives the training order: its files hold the blocks of the mix one after
+the other, each in its permutation, and a document stands there once for each pass that uses it.
+
+Defined cases: a null text is empty, and the classifier rejects empty texts; a null id, language or source is a value of its own.  Of rows of equal id and text
+the near-duplicate stage keeps one; of a group of near duplicates it keeps the least id.  Columns beyond those of documents are handed on, whatever their names.
+No documents give no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnlog.llm.chosen_path import one_of_each
-from kilnlog.llm.common import materialise, new_path, small_side, table
+from kilnlog.llm.common import carried, materialise, new_path, restored, scratch, small_side, table
 from kilnlog.llm.line_dedup import dedup_lines
 from kilnlog.llm.mixing import mix_sources
 from kilnlog.llm.quality import keep_good, trusted_ids
@@ -37,14 +42,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its source uses it, at least once."""
+    """The rows in the order of the mix, by block and position; each document as often as the passes over its source use it, at least once."""
     order = mix_sources(spark, docs, max_repetition=MAX_REPETITION, cover=True)
-    uses = order.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(F.count(F.lit(1)).alias("_mix_uses"))
-    # the budget uses every document, so only those used more than once need be told
-    more = small_side(materialise(spark, uses.where("_mix_uses > 1"), "mix-uses"), 64)
-    used = docs.join(more, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")), "left")
-    times = F.sequence(F.lit(1).cast("long"), F.coalesce("_mix_uses", F.lit(1)))
-    return used.withColumn("_mix_use", F.explode(times)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    order = materialise(spark, order.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("block_id").alias("_block"), F.col("position").alias("_position")), "mix-order")
+    n_blocks = (order.agg(F.max("_block")).first()[0] or 0) + 1
+    parts = min(n_blocks, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = carried(docs, _id=F.col("doc_id"), _source=F.col("source"))
+    used = rows.join(small_side(order, 96), F.col("_id").eqNullSafe(F.col("_mix_id")) & F.col("_source").eqNullSafe(F.col("_mix_source")))
+    part = F.floor(F.col("_block") * parts / n_blocks).cast("int")
+    return restored(used.repartitionById(parts, part).sortWithinPartitions("_block", "_position"), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after the other; what a stage writes besides its result goes when the result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
