@@ -92,9 +92,9 @@ class Model:
         else:
             self.scan = BpeScan(self.pieces, self._words) if all(kind not in (4, 5) for _, _, kind in self.pieces) else None
 
-    def _words(self, words: str) -> list[int]:
-        """The ids of normalised text that begins with a space mark; unknown characters are bytes or the unknown piece already."""
-        return self.processor.encode(words[self.dummy_prefix :].replace(SPACE, " "))
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """The ids of normalised texts that begin with a space mark; unknown characters are bytes or the unknown piece already."""
+        return self.encode([w[self.dummy_prefix :].replace(SPACE, " ") for w in words])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.processor.encode(texts, num_threads=1)
@@ -186,6 +186,9 @@ class UnigramScan:
     def encode(self, text: str, chunk: int = 0) -> list[int]:
         return encode_by_scan(self, text, chunk)
 
+    def encode_each(self, texts: list[str]) -> list[list[int]]:
+        return [self.encode(t) for t in texts]
+
 
 def finished(ids: list[int], unknown: int, by_byte: dict[int, int]) -> list[int]:
     if min(ids, default=0) >= 0:
@@ -218,7 +221,7 @@ def best_states(matrices: list[np.ndarray], first: int, last: int) -> list[tuple
 class BpeScan:
     """Max-plus scan over the pieces of a BPE model; a state is a piece (start, end, id) over the last character before a cut.
 
-    Its numbers are 0 and minus infinity: a path is the encoding or is none.  words encodes normalised text from one word's beginning to another's.
+    Its numbers are 0 and minus infinity: a path is the encoding or is none.  words encodes normalised texts from one word's beginning to another's.
     """
 
     def __init__(self, pieces: list[tuple[str, float, int]], words) -> None:
@@ -231,6 +234,7 @@ class BpeScan:
         self.words = words if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else None
         self._whole: dict[int, bool] = {}
         self._next: dict[tuple[int, int], bool] = {}
+        self._seen: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text: the neighbours that make the piece of the best score merge first, the leftmost of equal ones."""
@@ -351,7 +355,7 @@ class BpeScan:
             to = next((x for x in reach if x[1] == words[0]), came)
             start = words[1], words[1], -1
             tail = self._back(text, self._reach(text, [start], stop), start, went)
-            return [x[2] for x in self._back(head, reach, came, to)] + self.words(text[words[0] : words[1]]) + [x[2] for x in tail]
+            return [x[2] for x in self._back(head, reach, came, to)] + self.words([text[words[0] : words[1]]])[0] + [x[2] for x in tail]
         return [x[2] for x in self._back(text, self._reach(text, [came], stop), came, went)]
 
     def finish(self, ids: list[int]) -> list[int]:
@@ -360,6 +364,20 @@ class BpeScan:
     def encode(self, text: str, chunk: int = 0) -> list[int]:
         return encode_by_scan(self, text, chunk)
 
+    def encode_each(self, texts: list[str]) -> list[list[int]]:
+        """Of normalised texts of one chunk each: first and last words by the scan, which remembers frequent ones, and all texts' other words in one call."""
+        found = [self._word_starts(t, 0, len(t)) for t in texts]
+        between = iter(self.words([t[w[0] : w[1]] for t, w in zip(texts, found, strict=True) if w]) if self.words else ())
+        return [self.finish(self._ends(t[: w[0]]) + next(between) + self._ends(t[w[1] :])) if w else self.encode(t) for t, w in zip(texts, found, strict=True)]
+
+    def _ends(self, word: str) -> list[int]:
+        if word not in self._seen:
+            if len(self._seen) > 100_000:
+                self._seen.clear()
+            (entry, leave), = self.states([self.matrix(word, 0, 0)]) if word else ((0, 0),)
+            self._seen[word] = self.backtrace(word, 0, 0, entry, leave) if word else []
+        return self._seen[word]
+
 
 def encode_by_scan(scan, text: str, chunk: int = 0) -> list[int]:
     """Of a normalised text, in chunks of so many characters (0: in one)."""
@@ -449,7 +467,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, t
             for lo, hi in _by_size(pdf["_text"]):
                 part = pdf.iloc[lo:hi].reset_index(drop=True)
                 texts = part["_text"].tolist()
-                yield done_rows(model, part, [encode_by_scan(model.scan, model.processor.normalize(t)) for t in texts] if model.scan else model.encode(texts))
+                yield done_rows(model, part, model.scan.encode_each(model.processor.normalize(texts)) if model.scan else model.encode(texts))
 
     def large(batches):
         model = load(model_path)
