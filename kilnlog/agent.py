@@ -29,6 +29,7 @@ HELP = {
     "baseline": "means and deviations of the baseline",
     "quit": "end",
 }
+ROLE = "You analyse logs. Find the root cause with the tools at hand and say what should be done."
 TASK = "Analyse the anomalies{0} and give a root-cause report. Use the tools for anomalies, lines, templates, the baseline and background knowledge."
 
 
@@ -40,9 +41,11 @@ class Knowledge:
     index: tuple[DataFrame, DataFrame]
     vectors: V.VectorBackend | None = None
     encode: Callable[[str], list[float]] | None = None
+    top_k: int = 5
 
-    def search(self, query: str, k: int = 5) -> DataFrame:
+    def search(self, query: str, k: int | None = None) -> DataFrame:
         """Lexical hits, fused with those of the vectors where there are any."""
+        k = k or self.top_k
         spark = self.chunks.sparkSession
         asked = spark.createDataFrame([(0, query)], "query_id long, text string")
         if self.vectors is None or self.encode is None:
@@ -53,10 +56,11 @@ class Knowledge:
         return Q.knowledge(ranked, self.chunks).join(self.chunks.select("id", "platform"), "id").orderBy("rank")
 
 
-def build_knowledge(spark: SparkSession, path: str, *, documents: list[str] = (), store: str | None = None, platform: str | None = None, size: int = 512, overlap: int = 64, prefer_compact: bool = False, force: bool = False, backend: str = "none", bits: int = 4, encode: Callable[[DataFrame], DataFrame] | None = None, encode_one: Callable[[str], list[float]] | None = None) -> Knowledge | None:
+def build_knowledge(spark: SparkSession, path: str, *, documents: list[str] = (), store: str | None = None, platform: str | None = None, size: int = 512, overlap: int = 64, prefer_compact: bool = False, force: bool = False, backend: str = "none", bits: int = 4, top_k: int = 5, encode: Callable[[DataFrame], DataFrame] | None = None, encode_one: Callable[[str], list[float]] | None = None) -> Knowledge | None:
     """The knowledge stored at path, made of documents and of a platform's experiences if absent or forced; None without any source.
 
-    encode adds v, a vector, to chunks (id, text); without it, or with backend none, search is lexical.
+    encode adds v, a vector, to chunks (id, text); without it, or with backend none, search is lexical.  Vectors that
+    the backend of that name cannot serve are served by the next one of quantised, exact and none.
     """
     def chunks() -> DataFrame:
         parts = [S.read_documents(spark, p).select("source", "text", F.lit("doc").alias("source_type")) for p in dict.fromkeys(documents)]
@@ -78,8 +82,8 @@ def build_knowledge(spark: SparkSession, path: str, *, documents: list[str] = ()
     vectors = None
     if backend != "none" and encode is not None and encode_one is not None:
         v = V.load_or_build(spark, f"{path}/vectors", lambda: encode(table.select("id", "text")).select("id", "v"), force=force)
-        vectors = V.backend(v, len(encode_one("width")), backend, bits)
-    return Knowledge(table, index, vectors, encode_one)
+        vectors = V.first_backend(v, len(encode_one("width")), backend, bits)
+    return Knowledge(table, index, vectors, encode_one, top_k)
 
 
 @dataclass
@@ -121,7 +125,7 @@ class Session:
         rows = [] if self.lines is None else _rows(Q.search(self.lines, query, cycle_id).select("cycle_id", "line_in_cycle", "raw"))
         return {"query": query, "total_matches": len(rows), "results": rows}
 
-    def search_knowledge_base(self, query: str, top_k: int = 5) -> dict:
+    def search_knowledge_base(self, query: str, top_k: int | None = None) -> dict:
         if self.knowledge is None:
             return {"error": "no knowledge base is configured"}
         rows = _rows(self.knowledge.search(query, top_k).drop("query_id"))

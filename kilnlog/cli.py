@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnlog import agent as A
-from kilnlog import profiles
+from kilnlog import client, profiles
+from kilnlog.analysis import Analysis, read
 from kilnlog.config import Settings
-from kilnlog.functions.lines import channel, content, module
-from kilnlog.operators import cycles as C
-from kilnlog.operators import detect as D
+from kilnlog.functions.tables import text_table
 from kilnlog.operators import export as E
-from kilnlog.operators import platforms as P
 from kilnlog.operators import report as R
 from kilnlog.operators import templates as M
 from kilnlog.sources import logs as S
@@ -40,7 +39,7 @@ def _arguments() -> argparse.ArgumentParser:
     p.add_argument("--cycle", type=int)
     for name in ("agent-analyze", "agent-chat"):
         p = sub.add_parser(name)
-        p.add_argument("--anomalies", default="anomalies")
+        p.add_argument("--anomalies", default="anomalies.json")
         p.add_argument("--baseline")
         p.add_argument("--templates")
         p.add_argument("--logfile")
@@ -51,50 +50,83 @@ def _arguments() -> argparse.ArgumentParser:
         p.add_argument("--docs", nargs="*", default=[])
         p.add_argument("--index")
         p.add_argument("--store")
+        p.add_argument("--model", default=client.MODEL)
+        p.add_argument("--api-base")
+        p.add_argument("--api-key")
+        p.add_argument("--temperature", type=float, default=client.TEMPERATURE)
+        p.add_argument("--max-tokens", type=int, default=client.MAX_TOKENS)
+        p.add_argument("--with-model", action="store_true", help="ask a language model; without it answers are by rule")
     return top
 
 
-def _numbered(spark: SparkSession, a: argparse.Namespace, settings: Settings, path: str):
-    """The profile and the numbered lines of a log, and the lines as they were read."""
-    lines = S.read_log(spark, path, settings.parser.encoding)
-    if a.platform == "auto":
-        found = P.detect_platform(lines, [(p.name, p.detect) for p in profiles.registered()], default="bdk").groupBy("platform").agg(F.sum("score").alias("s")).orderBy(F.desc("s"), "platform").first()
-        profile = profiles.get(found["platform"] if found else "bdk")
-    else:
-        profile = profiles.get(a.platform)
-    anchors = a.anchors or settings.parser.anchors or profile.anchors
-    fallback = profile.fallback_anchors if settings.parser.use_fallback_anchors else ()
-    return profile, S.stored(C.in_cycle(C.with_cycle(lines, anchors, fallback=fallback, timestamp_pattern=profile.timestamp)), "lines"), lines
+def _numbered(spark: SparkSession, a: argparse.Namespace, settings: Settings, path: str) -> tuple[Analysis, DataFrame, DataFrame]:
+    """The analysis, the numbered lines of a log, and the lines as they were read."""
+    analysis, lines = read(spark, path, settings, a.platform, tuple(a.anchors or ()))
+    return analysis, analysis.numbered(lines), lines
+
+
+def _templates(spark: SparkSession, path: str) -> DataFrame:
+    """Of a table, or of a state in JSON."""
+    return M.read_state(spark, path, "saved") if path.endswith(".json") else spark.read.parquet(path)
 
 
-def _agent(spark: SparkSession, a: argparse.Namespace, settings: Settings, ask, read) -> str:
+def _agent(spark: SparkSession, a: argparse.Namespace, settings: Settings, ask, read_line, encoder) -> str:
     """Knowledge and experiences are of a platform that a log or a name tells; a new experience makes the knowledge be built again."""
     profile, lines = None, None
     if a.logfile:
-        profile, lines, _ = _numbered(spark, a, settings, a.logfile)
+        analysis, lines, _ = _numbered(spark, a, settings, a.logfile)
+        profile = analysis.profile
     elif a.platform != "auto":
         profile = profiles.get(a.platform)
-    place = a.index or (f"{a.store}/index/{profile.name if profile else 'all'}" if a.store else S.scratch(spark, "knowledge"))
-    docs = [*settings.retrieval.docs, *a.docs]
+    own = settings.retrieval
+    place = a.index or own.index or (f"{a.store}/index/{profile.name if profile else 'all'}" if a.store else S.scratch(spark, "knowledge"))
+    docs = S.resolve(spark, [*own.docs, *a.docs])
 
     def knowledge(force: bool = False):
-        return A.build_knowledge(spark, place, documents=docs, store=a.store, platform=profile.name if profile else None, size=settings.retrieval.chunk_size, overlap=settings.retrieval.chunk_overlap, force=force)
+        encode, encode_one = encoder or (None, None)
+        return A.build_knowledge(spark, place, documents=docs, store=a.store, platform=profile.name if profile else None, size=own.chunk_size, overlap=own.chunk_overlap, force=force, backend=own.backend, bits=own.bits, top_k=own.top_k, encode=encode, encode_one=encode_one)
 
-    session = A.Session(E.read_json(spark, a.anomalies), spark.read.parquet(a.templates) if a.templates else None, E.read_baseline(spark, a.baseline)[0] if a.baseline else None, lines, knowledge())
+    session = A.Session(E.read_json(spark, a.anomalies), _templates(spark, a.templates) if a.templates else None, E.read_baseline(spark, a.baseline)[0] if a.baseline else None, lines, knowledge())
     if a.command == "agent-chat":
         said = []
-        for text in session.chat(read, ask):
+        for text in session.chat(read_line, ask):
             print(text)
             said.append(text)
         return "\n".join(said)
     text = session.analyse(a.cycle, ask)
-    if a.store and profile and a.logfile and session.remember(a.store, platform=profile.name, analysis=text, source={"path": a.logfile}, created=f"{datetime.now():%Y-%m-%d %H:%M:%S}"):
+    if a.store and profile and a.logfile and session.remember(a.store, platform=profile.name, analysis=text, source=S.fingerprint(spark, a.logfile), created=f"{datetime.now():%Y-%m-%d %H:%M:%S}"):
         knowledge(force=True)
     return text
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask=None, read=lambda: input("kilnlog> ")) -> str:
-    """ask is a client of a language model, as Toolbox.converse takes it; without one the answers are by rule."""
+def _parse(spark: SparkSession, a: argparse.Namespace, analysis: Analysis, numbered: DataFrame, lines: DataFrame) -> str:
+    known = M.templates(analysis.mined(lines))
+    if a.output:
+        known = S.stored(known, "templates")
+        known.write.mode("overwrite").parquet(f"{a.output}/templates")
+        M.write_state(known, f"{a.output}/state.json")
+        if analysis.settings.miner.compact_summary:
+            M.compact_templates(known).select("summary").write.mode("overwrite").text(f"{a.output}/summary")
+    if a.command == "train-templates":
+        return "\n".join(f"{r['template_id']}\t{r['count']}\t{r['template']}" for r in M.top(known).collect())
+    routed = numbered.groupBy("file", "cycle_id").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(analysis.channel()).alias("channels")).orderBy("file", "cycle_id")
+    rows = [(r["file"].rsplit("/", 1)[-1], r["cycle_id"], f"{r['lines']} lines", f"{r['channels']} channels") for r in routed.toLocalIterator()]
+    return text_table(f"Cycles ({analysis.profile.title})", ["log", "cycle", "lines", "channels"], rows)
+
+
+def _report(spark: SparkSession, a: argparse.Namespace, analysis: Analysis, numbered: DataFrame) -> str:
+    t = analysis.timing(numbered, a.skip_cycles)
+    text = R.to_markdown(t["summary"], t["stats"], t["pivot"], device=a.device_model, platform=analysis.profile.name, has_time=analysis.profile.has_time, untimed=t["untimed"])
+    if a.output:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(a.output)
+    return text
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask: Callable | None = None, read=lambda: input("kilnlog> "), encoder: tuple[Callable, Callable] | None = None) -> str:
+    """ask is a client of a language model, as Toolbox.converse takes it; --with-model makes one, and without either the answers are by rule.
+
+    encoder, a function that adds v to chunks and one from a text to a vector, lets knowledge be searched by the backend of the settings.
+    """
     a = _arguments().parse_args(argv)
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "rca":
@@ -103,45 +135,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask=N
         return E.summary_report(doc, datetime.now()) if a.cycle is None else E.cycle_report(doc, a.cycle)
     settings = Settings.load(a.config) if a.config else Settings()
     if a.command.startswith("agent-"):
-        return _agent(spark, a, settings, ask, read)
-    profile, numbered, lines = _numbered(spark, a, settings, a.log)
-    cyc = C.cycles(numbered, max_cycle_lines=settings.parser.max_cycle_lines)
+        if ask is None and a.with_model:
+            ask = client.chat_client(a.model, api_base=a.api_base, api_key=a.api_key, temperature=a.temperature, max_tokens=a.max_tokens, system=A.ROLE)
+        return _agent(spark, a, settings, ask, read, encoder)
+    analysis, numbered, lines = _numbered(spark, a, settings, a.log)
     if a.command in ("parse", "train-templates"):
-        options = profiles.MinerOptions(settings.miner.similarity, settings.miner.depth, settings.miner.max_clusters, profile.miner.delimiters)
-        mined = M.mine(lines, options)
-        known = M.templates(mined)
-        if a.output:
-            known.write.mode("overwrite").parquet(f"{a.output}/templates")
-            if settings.miner.compact_summary:
-                M.compact_templates(known).select("summary").write.mode("overwrite").text(f"{a.output}/summary")
-        if a.command == "train-templates":
-            return "\n".join(f"{r['template_id']}\t{r['count']}\t{r['template']}" for r in M.top(known).collect())
-        routed = numbered.groupBy("file", "cycle_id").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(channel(module(content(F.col("raw"))), profile.channels)).alias("channels")).orderBy("file", "cycle_id")
-        return "\n".join(f"{r['file']}\t{r['cycle_id']}\t{r['lines']} lines\t{r['channels']} channels" for r in routed.toLocalIterator())
+        return _parse(spark, a, analysis, numbered, lines)
     if a.command == "report":
-        first = R.first_lines(numbered, profile.processes)
-        offsets = R.process_offsets(first, cyc) if profile.has_time else R.process_line_offsets(first, cyc)
-        value = "offset" if profile.has_time else "line_offset"
-        totals = R.cycle_totals(cyc, R.process_offsets(first, cyc))
-        valid = R.valid_cycles(totals, skip=a.skip_cycles, has_time=profile.has_time)
-        text = R.to_markdown(R.boot_time_summary(totals, valid), R.process_stats(offsets, valid, profile.processes, value), R.timing_pivot(totals, offsets, profile.processes, value=value), device=a.device_model, platform=profile.name, has_time=profile.has_time)
-        if a.output:
-            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(a.output)
-        return text
-    hits = D.milestone_hits(numbered, profile.milestones)
-    deltas = D.milestone_deltas(hits)
+        return _report(spark, a, analysis, numbered)
     if a.command == "train-baseline":
-        base = D.train_baseline(deltas, cyc)
-        named = spark.createDataFrame([(m.order, m.name, m.pattern, m.is_regex) for m in profile.milestones], "order int, name string, pattern string, is_regex boolean")
+        base = S.stored(analysis.baseline(numbered), "baseline")
+        named = spark.createDataFrame([(m.order, m.name, m.pattern, m.is_regex) for m in analysis.profile.milestones], "order int, name string, pattern string, is_regex boolean")
         if a.output:
             E.write_baseline(base, named, a.output)
-        return "\n".join(f"{r['pair']}\t{r['mean']:.3f}\t{r['stddev']:.3f}" for r in base.orderBy("pair").collect())
-    base = E.read_baseline(spark, a.baseline)[0] if a.baseline else None
-    found = D.detect(numbered, (*profiles.BASE_RULES, *profile.rules), cycles=cyc, hits=hits, deltas=deltas, baseline=base)
-    found = D.with_context(found, numbered, settings.analyzer.context_before, settings.analyzer.context_after)
+        return text_table("Baseline", ["pair", "mean", "stddev"], [(r["pair"], f"{r['mean']:.3f}s", f"{r['stddev']:.3f}s") for r in base.orderBy("pair").collect()])
+    base = None
+    if a.baseline:
+        # a baseline is of the milestones that it was trained with
+        base, saved = E.read_baseline(spark, a.baseline)
+        analysis = Analysis(analysis.profile, settings, analysis.anchors, E.milestones(saved))
+    found = S.stored(analysis.anomalies(numbered, base), "anomalies")
     if a.output:
         E.write_documents(E.documents(found, device=a.device_model), a.output)
-    return "\n".join(f"{r['severity']}\t{r['n']}" for r in E.severity_counts(found).orderBy(E.severity_rank(F.col("severity"))).collect()) or "no anomalies"
+    counts = E.severity_counts(found).orderBy(E.severity_rank(F.col("severity"))).collect()
+    return text_table("Anomalies", ["severity", "count"], [(r["severity"], r["n"]) for r in counts]) if counts else "no anomalies"
 
 
 if __name__ == "__main__":

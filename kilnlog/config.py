@@ -19,6 +19,7 @@ class Mining:
     similarity: float = 0.4
     depth: int = 4
     max_clusters: int = 1024
+    max_children: int = 100
     compact_summary: bool = False
 
 
@@ -37,6 +38,7 @@ class Retrieval:
     backend: str = "exact"
     bits: int = 4
     top_k: int = 5
+    index: str = ""
 
 
 @dataclass(frozen=True)

@@ -77,12 +77,15 @@ def pattern_anomalies(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return hit.select(*KEY, F.col("_r.id").alias("rule_id"), F.col("_r.name").alias("rule_name"), F.col("_r.sev").alias("severity"), F.lit("pattern").alias("rule_type"), F.col("ts").alias("timestamp"), F.col("line_in_cycle").alias("line_number"), F.col("raw").alias("message"), F.lit(None).cast(_METADATA).alias("metadata"), F.lit(0).alias("phase"), F.col("_r.pos").alias("rule_pos"))
 
 
-def timeout_anomalies(deltas: DataFrame, baseline: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Cycles in which a rule's pair took longer than its mean and sigma deviations."""
+SIGMA = 3.0
+
+
+def timeout_anomalies(deltas: DataFrame, baseline: DataFrame, rules: Sequence[Rule], sigma: float = SIGMA) -> DataFrame:
+    """Cycles in which a rule's pair took longer than its mean and sigma deviations, the rule's own or else those given."""
     rules = [(i, r) for i, r in enumerate(rules) if r.kind == "timeout" and r.pair]
     if not rules:
         return _none(deltas)
-    table = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(r.rule_id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("sev"), F.lit(r.pair).alias("pair"), F.lit(float(r.sigma)).alias("sigma")) for i, r in rules))
+    table = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(r.rule_id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("sev"), F.lit(r.pair).alias("pair"), F.lit(float(sigma if r.sigma is None else r.sigma)).alias("sigma")) for i, r in rules))
     base = baseline.select(F.col("pair").alias("_pair"), "mean", F.coalesce("stddev", F.lit(0.0)).alias("stddev"))
     own = deltas.where(F.col("pair").isin(*{r.pair for _, r in rules})).join(base, F.col("pair") == F.col("_pair"))
     own = own.withColumn("_r", F.explode(F.filter(table, lambda r: r["pair"] == F.col("pair")))).withColumn("threshold", F.col("mean") + F.col("_r.sigma") * F.col("stddev")).where("seconds > threshold")
@@ -109,12 +112,12 @@ def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], ", ".join(f"{c} {k}" for c, k in zip(_COLUMNS, kinds, strict=True)))
 
 
-def detect(lines: DataFrame, rules: Sequence[Rule] = (), *, cycles: DataFrame | None = None, hits: DataFrame | None = None, deltas: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
+def detect(lines: DataFrame, rules: Sequence[Rule] = (), *, cycles: DataFrame | None = None, hits: DataFrame | None = None, deltas: DataFrame | None = None, baseline: DataFrame | None = None, sigma: float = SIGMA) -> DataFrame:
     """All anomalies with their ids; order inside a cycle is (phase, line_number, rule_pos)."""
     rules = tuple(rules) or BASE_RULES
     out = pattern_anomalies(lines, rules)
     if baseline is not None and deltas is not None:
-        out = out.unionByName(timeout_anomalies(deltas, baseline, rules))
+        out = out.unionByName(timeout_anomalies(deltas, baseline, rules, sigma))
     if cycles is not None and hits is not None:
         out = out.unionByName(sequence_anomalies(cycles, hits, rules))
     return out.withColumn("anomaly_id", anomaly_id("file", "cycle_id", "rule_id", "line_number"))

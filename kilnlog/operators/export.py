@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kilnlog.functions.lines import epoch_nanos
 from kilnlog.operators.detect import KEY
+from kilnlog.profiles import Milestone
 
 RANK = {"critical": 0, "warning": 1, "info": 2}
 ORDER = ["phase", "line_number", "rule_pos"]
@@ -83,7 +84,7 @@ def exploded(docs: DataFrame) -> DataFrame:
     t = docs.select(F.posexplode("traces").alias("_t", "t")).select("_t", "t.cycle_id", F.posexplode("t.spans").alias("_s", "s"))
     at = lambda n: F.col("s.attributes").getField(f"anomaly.{n}")
     ctx = lambda n: F.element_at("s.events", 1)["attributes"].getField(f"log.context_{n}")
-    return t.select("cycle_id", (F.col("_t") * 1_000_000 + F.col("_s")).alias("place"), at("rule_id").alias("rule_id"), at("rule_name").alias("rule_name"), at("severity").alias("severity"), at("line_number").alias("line_number"), at("message").alias("message"), ctx("before").alias("before"), ctx("after").alias("after"), F.col("s.startTimeUnixNano").alias("nanos"))
+    return t.select("cycle_id", (F.shiftleft(F.col("_t").cast("long"), 32) + F.col("_s")).alias("place"), at("rule_id").alias("rule_id"), at("rule_name").alias("rule_name"), at("severity").alias("severity"), at("line_number").alias("line_number"), at("message").alias("message"), ctx("before").alias("before"), ctx("after").alias("after"), F.col("s.startTimeUnixNano").alias("nanos"))
 
 
 def cycle_summary(anomalies: DataFrame) -> DataFrame:
@@ -113,6 +114,11 @@ def summary_report(document: dict, now: datetime) -> str:
     return "\n".join([*out, *(cycle_report(document, c) for c in cycles)] if cycles else [*out, "No anomalies were found.", ""])
 
 
+def milestones(saved: DataFrame) -> tuple[Milestone, ...]:
+    """Saved milestones, in their order; a baseline has as many as it was trained with."""
+    return tuple(Milestone(r["name"], r["pattern"], r["order"], r["is_regex"]) for r in saved.orderBy("order").collect())
+
+
 def write_baseline(baseline: DataFrame, milestones: DataFrame, path: str) -> None:
     """One JSON object: milestones, mean_deltas, stddev_deltas, sample_count.  As many pairs as milestones can make."""
     if baseline.isEmpty():

@@ -68,7 +68,7 @@ def timing_pivot(totals: DataFrame, offsets: DataFrame, processes: Sequence[tupl
     return totals.join(wide, KEY, "left")
 
 
-def to_markdown(summary: DataFrame, stats: DataFrame, pivot: DataFrame, *, device: str = "unknown", platform: str = "unknown", has_time: bool = True) -> str:
+def to_markdown(summary: DataFrame, stats: DataFrame, pivot: DataFrame, *, device: str = "unknown", platform: str = "unknown", has_time: bool = True, untimed: DataFrame | None = None) -> str:
     """The report's text; the cycle table is as long as the log has cycles and meant for single logs."""
     unit, fmt = ("s", "{:.3f}") if has_time else (" lines", "{:.0f}")
     show = lambda v: "N/A" if v is None else fmt.format(v) + unit
@@ -85,6 +85,10 @@ def to_markdown(summary: DataFrame, stats: DataFrame, pivot: DataFrame, *, devic
     for r in pivot.orderBy(*KEY).toLocalIterator():
         total = r["total_seconds"] if has_time else r["total_lines"]
         out.append(f"| {r['cycle_id']} | {show(total)} | {' | '.join(show(r[n]) for n in names)} |")
+    rows = untimed.orderBy(*KEY).collect() if untimed is not None else []  # of one log
+    if rows:
+        out += ["", "## Cycles without a time", "", f"| Cycle | Lines | {' | '.join(names)} |", "|-" * (len(names) + 2) + "|"]
+        out += [f"| {r['cycle_id']} | {r['total_lines']} | {' | '.join('N/A' if r[n] is None else f'{r[n]} lines' for n in names)} |" for r in rows]
     return "\n".join([*out, ""])
 
 

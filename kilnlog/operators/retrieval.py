@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import logging
 from itertools import islice
 from typing import Protocol
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,45 +44,105 @@ def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tok.select("id", F.explode("_w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), tok.select("id", F.size("_w").alias("length"))
 
 
-def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query_id, term, _q) of the queries' words, and their distinct terms, marked for broadcast if their summed bytes are few."""
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("_q"))
-    terms = asked.select("term").distinct()
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term, _q): the words of each query and how often it has them."""
+    return queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("_q"))
+
+
+def _few(terms: DataFrame) -> DataFrame:
+    """terms, marked for broadcast if their summed bytes are few."""
     size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0]
-    return asked, F.broadcast(terms) if size <= QUERY_BYTES else terms
+    return F.broadcast(terms) if size <= QUERY_BYTES else terms
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, id, score, rank) with positive scores of (id, text) for (query_id, text); ties to the smaller id.
 
-    Only the postings of words that are asked for leave the scan; index, as bm25_index gives it, stands for the texts of docs.
+    One pass counts the documents of each word that is asked for, one scores them where they are and keeps k a query in every task.
+    index, as bm25_index gives it, stands for the texts of docs; then the postings of the words asked for are joined.
     A negative idf becomes epsilon times the mean idf of all words, which takes a pass of its own, made only if some idf is
     negative; repeated query words count again.
     """
-    asked, terms = _asked(queries)
+    asked = stored(_asked(queries), "asked")
+    terms = _few(asked.select("term").distinct())
     tok = docs.select("id", words(F.col("text")).alias("_w"))
-    lengths = tok.select("id", F.size("_w").alias("length")) if index is None else index[1]
-    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
-    if not n or not mean:
-        return docs.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double, rank int")
+    weight = lambda df: F.log((n - F.col(df) + 0.5) / (F.col(df) + 0.5))
     if index is None:
-        dealt = tok.select("id", F.size("_w").alias("length"), F.explode("_w").alias("term")).join(terms, "term", "left_semi")
-        postings = dealt.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+        # each document also has the empty word, which no text has: its row tells the number of documents and of all words
+        seen = tok.select(F.size("_w").alias("_n"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_w"))).alias("term"))
+        marked = terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+        counts = stored(seen.join(_few(marked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("_n").alias("_sum")), "word-counts")
+        n, total = counts.where("term = ''").agg(F.sum("_df"), F.sum("_sum")).first()
+        mean = total / n if n else 0
     else:
-        postings = index[0].join(terms, "term", "left_semi").join(lengths, "id")
-    postings = stored(postings, "postings")
-    weight = lambda df: F.log((n - F.col(df) + 0.5) / (F.col(df) + 0.5))
-    idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).select("term", weight("_df").alias("_idf"))
+        postings = stored(index[0].join(terms, "term", "left_semi").join(index[1], "id"), "postings")
+        n, mean = index[1].agg(F.count(F.lit(1)), F.avg("length")).first()
+        counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    if not n or not mean:
+        return docs.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double, rank int")
+    idf = counts.where("term <> ''").select("term", weight("_df").alias("_idf"))
     low = 0.0
     if not idf.where("_idf < 0").isEmpty():
         every = index[0].select("term") if index is not None else tok.select(F.explode(F.array_distinct("_w")).alias("term"))
         low = epsilon * every.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).agg(F.avg(weight("_df"))).first()[0]
     asked = asked.join(idf, "term").withColumn("_idf", F.when(F.col("_idf") < 0, low).otherwise(F.col("_idf")))
+    if index is None:
+        gain = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+        return _text_search(tok, asked.select("query_id", "term", (F.col("_q") * F.col("_idf")).alias("_w")), k, gain)
     part = F.col("_q") * F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return top(scored, k)
 
 
+def _text_search(tok: DataFrame, asked: DataFrame, k: int, gain) -> DataFrame:
+    """(query_id, id, score, rank): the k best positive sums over a query's words of weight times gain(count in the document, its words).
+
+    tok has (id, _w), the words; asked (query_id, term, _w), the weights.  The queries come to the driver a block at a time; each block is scored in
+    one pass over the documents, a task at a time keeping k a query, so rows of a word, a query and a document never exist.
+    """
+    spark, kinds = tok.sparkSession, [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (tok, "id"))]
+    each = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "_w")).alias("_terms")).toLocalIterator()  # a row is as long as its query
+    out = None
+    while block := list(islice(each, BLOCK_QUERIES)):
+        pairs = sorted((t["term"], q, t["_w"]) for q, r in enumerate(block) for t in r["_terms"])
+        terms = sorted({t for t, _, _ in pairs})
+        place = {t: i for i, t in enumerate(terms)}
+        begins = np.searchsorted(np.array([place[t] for t, _, _ in pairs]), np.arange(len(terms) + 1))
+        shared = spark.sparkContext.broadcast((terms, begins, np.array([q for _, q, _ in pairs]), np.array([w for _, _, w in pairs]), len(block)))
+
+        def part(batches, shared=shared):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            terms, begins, whose, weight, n = shared.value
+            wanted, held = pa.array(terms, pa.string()), None
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    own = batch.slice(lo, 256)
+                    words_ = own["_w"].flatten()
+                    length = pc.fill_null(pc.list_value_length(own["_w"]), 0).to_numpy().astype(np.int64)
+                    term = pc.fill_null(pc.index_in(words_, value_set=wanted), -1).to_numpy().astype(np.int64)
+                    doc = np.repeat(np.arange(own.num_rows), length)
+                    at, tf = np.unique(doc[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
+                    doc, term = at // len(terms), at % len(terms)
+                    many = begins[term + 1] - begins[term]
+                    # each posting meets the queries that ask for its word
+                    ends = np.cumsum(many)
+                    pair = np.arange(int(many.sum())) - np.repeat(ends - many, many) + np.repeat(begins[term], many)
+                    score = np.bincount(whose[pair] * own.num_rows + np.repeat(doc, many), weights=np.repeat(gain(tf, length[doc]), many) * weight[pair], minlength=n * own.num_rows)
+                    score = np.round(score.reshape(n, own.num_rows), 9)  # as in top()
+                    held = _best(own, score, held, k, above=0.0)
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), held[2], pa.array(held[1])], ["_q", "id", "score"])
+
+        found = tok.mapInArrow(part, f"_q int, id {kinds[1]}, score double")
+        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(block)], f"_q int, query_id {kinds[0]}")
+        one = stored(top(found.join(F.broadcast(names), "_q"), k), "found")
+        shared.destroy()
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int")
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     # sums of one document's parts come in any order; nine digits make its ties ties
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
@@ -88,10 +151,9 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Share of a query's distinct words that a document has: the way out for queries without a BM25 hit."""
-    own = docs.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("_w")).select("query_id", F.size("_w").alias("_n"), F.explode("_w").alias("term"))
-    scored = own.join(asked, "term").groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("_n")).alias("score"))
-    return top(scored, k)
+    own = F.array_distinct(words(F.col("text")))
+    asked = queries.select("query_id", own.alias("_own")).select("query_id", F.explode("_own").alias("term"), (1 / F.size("_own")).alias("_w"))
+    return _text_search(docs.select("id", own.alias("_w")), asked, k, lambda tf, length: tf)
 
 
 def lexical(docs: DataFrame, queries: DataFrame, k: int = 10, *, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -105,14 +167,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _best(rows, scores: np.ndarray, held, k: int):
-    """held, (query, score, id) of the best so far, with the k best of a slice of rows: the larger score, then the smaller id."""
+def _best(rows, scores: np.ndarray, held, k: int, above: float | None = None):
+    """held, (query, score, id) of the best so far, with the k best of a slice of rows: the larger score, then the smaller id; only scores above a limit, if there is one."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     key = np.where(np.isnan(scores), -np.inf, -scores)
     last = np.partition(key, k - 1, axis=1)[:, k - 1] if key.shape[1] > k else np.full(len(key), np.inf)
-    q, at = np.nonzero(key <= last[:, None])
+    near = key <= last[:, None]
+    q, at = np.nonzero(near if above is None else near & (scores > above))
     score, ids = scores[q, at], rows["id"].take(pa.array(at))
     if held is not None:
         q, score, ids = np.r_[held[0], q], np.r_[held[1], score], pa.concat_arrays([held[2], ids])
@@ -290,6 +353,61 @@ def backend(vectors: DataFrame, width: int, name: str = "quantised", bits: int =
     return {"quantised": lambda: QuantisedBackend.build(vectors, width, bits), "exact": lambda: ExactBackend(vectors), "none": lambda: None}[name]()
 
 
+FALLBACK = ("quantised", "exact", "none")
+
+
+def first_backend(vectors: DataFrame, width: int, name: str = "quantised", bits: int = 4) -> VectorBackend | None:
+    """The named backend, or else the next one of FALLBACK that can serve these vectors."""
+    for kind in FALLBACK[FALLBACK.index(name) :]:
+        try:
+            found = backend(vectors, width, kind, bits)
+            if found is not None:
+                found.search([0.0] * width, 1).collect()  # a probe
+            return found
+        except Exception as e:  # whatever keeps a backend from working, the next one may
+            logging.getLogger(__name__).warning("%s vector search is not available: %s", kind, e)
+    return None
+
+
+def load_backend(spark: SparkSession, path: str, name: str = "quantised") -> VectorBackend | None:
+    """The saved backend of that name at path, or else the next one that is there."""
+    kinds = {"quantised": QuantisedBackend, "exact": ExactBackend}
+    for kind in FALLBACK[FALLBACK.index(name) : -1]:
+        with contextlib.suppress(ValueError, AnalysisException):
+            return kinds[kind].load(spark, f"{path}/{kind}")
+    return None
+
+
+def unit(encode) -> Column:
+    """A column function from texts to vectors of length one: encode gives an array of a row for each of a list of texts; zero vectors stay."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts):
+        import pandas as pd
+
+        x = np.asarray(encode(texts.fillna("").tolist()), np.float64)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return pd.Series(list((x / np.where(size > 0, size, 1)).astype(np.float32)))
+
+    return vectors
+
+
+@F.udtf(returnType="chunk_index int, chunk_id string, text string")
+class ChunkText:
+    """chunk_chars as a table function: lateral chunk_text(source, text, size, overlap)."""
+
+    def eval(self, source: str, text: str, size: int, overlap: int):
+        step, n = max(size - overlap, 1), 0
+        for at in range(0, len(text or ""), step):
+            if (part := text[at : at + size]).strip():
+                yield n, f"{source}:{n}", part
+                n += 1
+
+
+def register(spark: SparkSession) -> None:
+    spark.udtf.register("chunk_text", ChunkText)
+
+
 def load_or_build(spark: SparkSession, path: str, build, *, force: bool = False) -> DataFrame:
     """The table at path; build() makes and stores it if it is absent or force is set."""
     if force or not exists(spark, path):

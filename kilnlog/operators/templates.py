@@ -2,7 +2,9 @@
 
 Lines of different token counts never meet in the tree, so (stream, token count) is the unit of order; its lines are
 streamed in order through one task, with only the clusters in memory.  Ids are global: clusters are
-numbered by their first lines.  The bounds on clusters and children of the library form are not kept.
+numbered by their first lines.  Below the root stand the token counts, so a depth of 4 means one leading token above the clusters.
+The bound on clusters holds for each stream and token count: a new cluster over it ends the one that was hit longest ago, which keeps its lines and its id
+but gets no more.
 """
 
 from __future__ import annotations
@@ -21,21 +23,63 @@ _OUT = "file string, line_no long, n_tokens int, cluster int, template_at_parse
 
 
 class Tree:
-    """Clusters of lines of one token count: leaf by leading tokens, best similarity inside the leaf."""
+    """Clusters of lines of one token count: a leaf by leading tokens, the best similarity inside the leaf.
 
-    def __init__(self, options: MinerOptions) -> None:
-        self.options, self.clusters, self.leaves = options, [], {}
+    A leading token goes to the child of its name or else to the wild one.  A new cluster opens a child for its token, but for tokens with digits
+    and when a node has no room: the last of max_children is the wild one.
+    """
 
-    def _leaf(self, line: list[str]) -> tuple[str, ...]:
-        return tuple(WILD if any(c.isdigit() for c in t) else t for t in line[: self.options.depth - 2])
+    def __init__(self, options: MinerOptions) -> None:
+        self.options, self.clusters, self.leaves, self.children = options, [], {}, {}
+        self.live: dict[int, tuple[str, ...]] = {}  # cluster to leaf, the one hit last at the end
+
+    def _leading(self, line: list[str]) -> list[str]:
+        return line[: max(0, min(self.options.depth - 3, len(line) - 1))]
+
+    def _find(self, line: list[str]) -> tuple[str, ...] | None:
+        at: tuple[str, ...] = ()
+        for t in self._leading(line):
+            known = self.children.get(at, set())
+            if t not in known and WILD not in known:
+                return None
+            at += (t if t in known else WILD,)
+        return at
+
+    def _open(self, line: list[str]) -> tuple[str, ...]:
+        at: tuple[str, ...] = ()
+        for t in self._leading(line):
+            known = self.children.setdefault(at, set())
+            if t not in known:
+                room = self.options.max_children - len(known) - (WILD not in known)
+                t = WILD if room < 1 or any(c.isdigit() for c in t) else t
+                known.add(t)
+            at += (t,)
+        return at
 
     def seed(self, template: list[str]) -> None:
-        self.leaves.setdefault(self._leaf(template), []).append(len(self.clusters))
+        leaf = self._open(template)
+        self.leaves.setdefault(leaf, []).append(len(self.clusters))
+        self.live[len(self.clusters)] = leaf
         self.clusters.append(list(template))
+        if len(self.live) > max(1, self.options.max_clusters):
+            oldest = next(iter(self.live))
+            self.leaves[self.live.pop(oldest)].remove(oldest)
+
+    def shape(self) -> dict:
+        """What stands beside the clusters, as JSON can hold it."""
+        return {"children": [[list(at), sorted(known)] for at, known in self.children.items()], "live": [[i, list(leaf)] for i, leaf in self.live.items()]}
+
+    def restore(self, clusters: list[list[str]], shape: dict) -> None:
+        self.clusters = clusters
+        self.children = {tuple(at): set(known) for at, known in shape["children"]}
+        self.live = {i: tuple(leaf) for i, leaf in shape["live"]}
+        for i in sorted(self.live):
+            self.leaves.setdefault(self.live[i], []).append(i)
 
     def add(self, line: list[str]) -> int:
+        leaf = self._find(line)
         best, best_at = (-1.0, -1), -1
-        for i in self.leaves.get(self._leaf(line), ()):
+        for i in self.leaves.get(leaf, ()):
             t = self.clusters[i]
             same = sum(a == b for a, b in zip(t, line, strict=True) if a != WILD)
             if (key := (same / len(line) if line else 1.0, t.count(WILD))) > best:
@@ -43,6 +87,7 @@ class Tree:
         if best_at < 0 or best[0] < self.options.similarity:
             self.seed(line)
             return len(self.clusters) - 1
+        self.live[best_at] = self.live.pop(best_at)
         self.clusters[best_at] = [a if a == b else WILD for a, b in zip(self.clusters[best_at], line, strict=True)]
         return best_at
 
@@ -103,6 +148,21 @@ def parsed_lines(lines: DataFrame, mined: DataFrame, found: DataFrame, options:
     return lines.join(own, ["file", "line_no"]).withColumn("params", params)
 
 
+_STATE = "struct<clusters:array<struct<cluster_id:bigint,cluster_count:bigint,log_template_tokens:array<string>>>>"
+
+
+def write_state(found: DataFrame, path: str) -> None:
+    """The templates of one log as one JSON object, in the order of ids; as long as the log has templates."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col("template_id").alias("cluster_id"), F.col("count").alias("cluster_count"), F.split("template", " ").alias("log_template_tokens"))))
+    found.agg(F.to_json(F.struct(rows.alias("clusters"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_state(spark: SparkSession, path: str, file: str) -> DataFrame:
+    """(file, template_id, template, count) of such a file, as mine() and templates() take them for a log."""
+    state = spark.read.text(path, wholetext=True).select(F.from_json("value", _STATE).alias("s")).select(F.explode("s.clusters").alias("c"))
+    return state.select(F.lit(file).alias("file"), F.col("c.cluster_id").alias("template_id"), F.array_join("c.log_template_tokens", " ").alias("template"), F.col("c.cluster_count").alias("count"))
+
+
 def top(found: DataFrame, n: int = 20) -> DataFrame:
     return found.orderBy(F.desc("count"), "template_id").limit(n)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEARCH_HITS, CONTEXT_LINES, DEFAULT_SLICE, TEXT_CHARS = 50, 200, 100, 500
@@ -52,11 +54,7 @@ def knowledge(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.join(own, "id").select("query_id", "rank", "id", "source_type", F.round("score", 4).alias("score"), "text")
 
 
-def first_templates(found: DataFrame, n: int = 10) -> DataFrame:
-    return found.withColumn("_n", F.row_number().over(Window.orderBy("template_id"))).where(F.col("_n") <= n).drop("_n")
-
-
-#: Names, parameters and functions, for a client that lets a model call them.
+#: Names and parameters of the tools that a model may call.
 SCHEMAS = {
     "get_anomalies": {"type": "object", "properties": {"cycle_id": {"type": "integer"}}, "required": []},
     "get_cycle_context": {"type": "object", "properties": {"cycle_id": {"type": "integer"}, "start_line": {"type": "integer"}, "end_line": {"type": "integer"}}, "required": ["cycle_id"]},
@@ -85,10 +83,17 @@ class Toolbox:
             return {"error": str(e)}
 
     def converse(self, ask, messages: list[dict]) -> str:
-        """ask(messages, schemas) gives a text, or a list of (id, name, arguments); results are sent back until there is a text."""
+        """ask(messages, schemas) gives a text, a list of calls (id, name, arguments), or both as a pair.
+
+        The model's own message goes back before the results of its calls, until it calls nothing more; after the last round its last text stands.
+        """
+        text = ""
         for _ in range(self.max_rounds):
             answer = ask(messages, self.schemas)
-            if isinstance(answer, str):
-                return answer
-            messages = [*messages, *({"role": "tool", "tool_call_id": i, "content": self.call(n, a)} for i, n, a in answer)]
-        return ""
+            text, calls = (answer, []) if isinstance(answer, str) else answer if isinstance(answer, tuple) else ("", answer)
+            if not calls:
+                break
+            made = [{"id": i, "type": "function", "function": {"name": n, "arguments": json.dumps(a, ensure_ascii=False)}} for i, n, a in calls]
+            said = {"role": "assistant", "content": text or None, "tool_calls": made}
+            messages = [*messages, said, *({"role": "tool", "tool_call_id": i, "content": self.call(n, a)} for i, n, a in calls)]
+        return text or ""

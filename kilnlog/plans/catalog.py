@@ -86,8 +86,13 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
     return S.from_table(ev, file=F.col("user_id"), order=["ts", "event_id"], raw=raw, coarse=F.to_date("ts"), keep=["event_id"])
 
 
+def numbered_events(spark: SparkSession, d: str) -> DataFrame:
+    """The lines with their cycles; the numbers are written before the cycles are counted, so that neither prefix sum is computed twice."""
+    return C.with_cycle(S.stored(event_lines(spark, d), "numbered"), ANCHORS)
+
+
 def event_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return S.stored(C.in_cycle(C.with_cycle(event_lines(spark, d), ANCHORS)), "lines")
+    return S.stored(C.in_cycle(numbered_events(spark, d)), "lines")
 
 
 def _profiled(spark: SparkSession, d: str):
@@ -131,12 +136,13 @@ def extract_module(spark, d):
 
 @query(f"with {EV} select file, cycle_id::bigint as cycle_id, start_line, end_line, coalesce(anchor_line, '') as anchor_line, ts_start, ts_end, line_count, line_count > 5 as truncated from cy")
 def split_cycles(spark, d):
-    return C.cycles(C.with_cycle(event_lines(spark, d), ANCHORS), max_cycle_lines=5)
+    return C.cycles(S.stored(numbered_events(spark, d), "cycles"), max_cycle_lines=5)
 
 
-@query(f"with {EV} select file, line_no, raw from ln where cycle_id = 1")
+@query(f"with {EV} select file, cycle_id::bigint as cycle_id, line_no, raw from ln")
 def cycle_lines(spark, d):
-    return C.cycle_lines(C.with_cycle(event_lines(spark, d), ANCHORS), 1).select("file", "line_no", "raw")
+    """The lines of every cycle; C.cycle_lines takes those of one."""
+    return event_cycles(spark, d).select("file", "cycle_id", "line_no", "raw")
 
 
 @query(f"with {HITS} select file, cycle_id::bigint as cycle_id, milestone, line_number, ts, line_content from hits")
@@ -322,10 +328,10 @@ def tool_context(spark, d):
     return Q.context(lines.where(F.col("file") == row["file"]), row["cycle_id"], start=1)
 
 
-@query(f"with {ANOM} select rule_id, severity, count(*) as n, count(distinct file) as n_files from aa where cycle_id = 1 group by 1, 2")
+@query(f"with {ANOM} select cycle_id::bigint as cycle_id, rule_id, rule_name, severity, line_number, count(*) over (partition by cycle_id) as anomaly_count from aa")
 def tool_anomalies(spark, d):
-    spans = _anomalies(spark, d)[0].withColumnsRenamed({"phase": "place"})
-    return Q.anomalies(spans, 1).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n")).join(spans.where("cycle_id = 1").groupBy("rule_id").agg(F.count_distinct("file").alias("n_files")), "rule_id")
+    spans = S.stored(_anomalies(spark, d)[0].withColumnsRenamed({"phase": "place"}), "spans")
+    return Q.anomalies(spans).select("cycle_id", "rule_id", "rule_name", "severity", "line_number", "anomaly_count")
 
 
 # --- retrieval ----------------------------------------------------------------
@@ -347,7 +353,7 @@ def chunk_lines(spark, d):
 
 
 _TOK = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
-_ASKED = "select item_id as query_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') as text from benchmark"
+_ASKED = "select item_id as query_id, text from benchmark"
 BM = f"""
 tok as (select doc_id as id, {_TOK} as w from documents), post as (select id, term, count(*) as tf from (select id, unnest(w) as term from tok) group by 1, 2),
 st as (select count(*)::double as n, avg(len(w)) as mean from tok), raw as (select term, ln((n - count(*) + 0.5::double) / (count(*) + 0.5::double)) as idf from post, st group by term, n),
@@ -358,9 +364,9 @@ bm as (select query_id, id, score, row_number() over (partition by query_id orde
 
 
 def _corpus(spark, d):
+    """All documents, and as queries the whole texts of all benchmark items."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
-    return docs, asked
+    return docs, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"with {BM} select query_id, id, round(score, 5) as score from bm where rank <= 10")
@@ -376,17 +382,21 @@ def overlap_fallback(spark, d):
 
 
 _DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::double * z[2]::double))"
-VT = f"vt as (select e.vec_id as id, {_DOT} as score, row_number() over (order by {_DOT} desc, e.vec_id) as rank from embeddings e, (select embedding from embeddings where vec_id = 0) q)"
 
 
 def _vectors(spark, d):
+    """All vectors, and as queries those whose id is divisible by 100."""
     vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors, list(vectors.where("id = 0").first()["v"])
+    return vectors, vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
 
 
-@query(f"with {VT} select id, round(score, 6) as score, rank::int as rank from vt where rank <= 10")
+def _nearest(asked: str) -> str:
+    return f"select q.vec_id as query_id, e.vec_id as id, {_DOT} as score, row_number() over (partition by q.vec_id order by {_DOT} desc, e.vec_id) as rank from embeddings e, embeddings q where {asked}"
+
+
+@query(f"with r as ({_nearest('q.vec_id % 100 = 0')}) select query_id, id, round(score, 6) as score, rank::int as rank from r where rank <= 10")
 def vector_topk(spark, d):
-    return V.vector_top(*_vectors(spark, d), 10).select("id", F.round("score", 6).alias("score"), "rank")
+    return V.vector_top(*_vectors(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def _quantised(width: int = 64, bits: int = 4, seed: int = 0) -> str:
@@ -409,88 +419,35 @@ def quant_encode(spark, d):
     return V.encode(vectors, width=64).select("id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.round("scale", 6).alias("scale"))
 
 
-@query(f"with {_quantised()}, r as (select e.vec_id as id, e.scale * list_sum(list_transform(list_zip(e.codes, q.x), lambda z: z[1] * z[2])) as score from enc e, (select x from enc where vec_id = 0) q) select id, round(score, 5) as score, row_number() over (order by score desc, id)::int as rank from r order by r.score desc, id limit 10")
+@query(f"""with {_quantised()}, r as (select q.vec_id as query_id, e.vec_id as id, e.scale * list_sum(list_transform(list_zip(e.codes, q.x), lambda z: z[1] * z[2])) as score from enc e, enc q where q.vec_id % 100 = 0),
+k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from r) select query_id, id, round(score, 5) as score, rank::int as rank from k where rank <= 10""")
 def quant_topk(spark, d):
-    vectors, q = _vectors(spark, d)
-    return V.quantised_top(V.encode(vectors, width=64), q, 10).select("id", F.round("score", 5).alias("score"), "rank")
+    vectors, asked = _vectors(spark, d)
+    return V.quantised_top(V.encode(vectors, width=64), asked, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
-HY = f"""{BM}, {VT},
-u as (select id, 0.5::double / (60 + rank) as s, 0 as side, rank from bm where query_id = 0 and rank <= 20 union all select id, 0.5::double / (60 + rank), 1, rank from vt where rank <= 20),
-hy as (select id, sum(s) as score, row_number() over (order by sum(s) desc, min(side * 1000 + rank)) as rank from u group by 1)"""
+# each benchmark item asks with its text and with the vector of its own id; an item without a vector with its text alone
+HY = f"""{BM}, vt as ({_nearest('q.vec_id in (select item_id from benchmark)')}),
+u as (select query_id, id, 0.5::double / (60 + rank) as s, 0 as side, rank from bm where rank <= 20 union all select query_id, id, 0.5::double / (60 + rank), 1, rank from vt where rank <= 20),
+hy as (select query_id, id, sum(s) as score, row_number() over (partition by query_id order by sum(s) desc, min(side * 1000 + rank)) as rank from u group by 1, 2)"""
 
 
 def _hybrid(spark, d):
     docs, asked = _corpus(spark, d)
-    lexical = V.lexical(docs, asked.where("query_id = 0"), 20)
-    vector = V.vector_top(*_vectors(spark, d), 20).select(F.lit(0).cast("long").alias("query_id"), "id", "score", "rank")
-    return V.fuse(lexical, vector, 10)
-
-
-@query(f"with {HY} select id, round(score, 8) as score, rank::int as rank from hy where rank <= 10")
-def hybrid_rrf(spark, d):
-    return _hybrid(spark, d).select("id", F.round("score", 8).alias("score"), "rank")
-
-
-@query(f"with {HY} select hy.id, round(score, 4) as score, rank::int as rank, case when lang = 'en' then 'experience' else 'doc' end as source_type, substr(text, 1, 500) as text from hy join documents d on d.doc_id = hy.id where rank <= 10")
-def tool_kb_search(spark, d):
-    chunks = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("lang") == "en", "experience").alias("source_type"))
-    return Q.knowledge(_hybrid(spark, d), chunks).drop("query_id")
-
-
-def _all_vectors(spark, d):
-    """All vectors, and as queries those whose id is divisible by 100."""
-    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors, vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-
-
-@query(f"with r as (select q.vec_id as query_id, e.vec_id as id, {_DOT} as score, row_number() over (partition by q.vec_id order by {_DOT} desc, e.vec_id) as rank from embeddings e, embeddings q where q.vec_id % 100 = 0) select query_id, id, round(score, 6) as score, rank::int as rank from r where rank <= 10")
-def vector_topk_all(spark, d):
-    return V.vector_top(*_all_vectors(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
-@query()
-def quant_topk_all(spark, d):
-    vectors, asked = _all_vectors(spark, d)
-    return V.quantised_top(V.encode(vectors, width=64), asked, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
-
-
-def _all_corpus(spark, d):
-    """All documents, and as queries the whole texts of all benchmark items."""
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-
-
-_ALL_ASKED = "select item_id as query_id, text from benchmark"
-
-
-@query(f"with {BM.replace(_ASKED, _ALL_ASKED)} select query_id, id, round(score, 5) as score from bm where rank <= 10")
-def bm25_topk_all(spark, d):
-    return V.bm25(*_all_corpus(spark, d), 10).select("query_id", "id", F.round("score", 5).alias("score"))
-
-
-@query(sql_["overlap_fallback"].replace(_ASKED, _ALL_ASKED))
-def overlap_fallback_all(spark, d):
-    return V.overlap(*_all_corpus(spark, d), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
-def _hybrid_all(spark, d):
-    """Each benchmark item asks with its text and with the vector of its own id; an item without a vector with its text alone."""
-    docs, asked = _all_corpus(spark, d)
-    vectors, _ = _all_vectors(spark, d)
+    vectors, _ = _vectors(spark, d)
     paired = asked.select("query_id").distinct().join(vectors, F.col("query_id") == F.col("id")).select("query_id", F.col("v").alias("q"))
     return V.fuse(V.lexical(docs, asked, 20), V.vector_top(vectors, paired, 20), 10)
 
 
-@query()
-def hybrid_rrf_all(spark, d):
-    return _hybrid_all(spark, d).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
+@query(f"with {HY} select query_id, id, round(score, 8) as score, rank::int as rank from hy where rank <= 10")
+def hybrid_rrf(spark, d):
+    return _hybrid(spark, d).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
 
 
-@query()
-def tool_kb_search_all(spark, d):
+@query(f"with {HY} select query_id, hy.id, round(score, 4) as score, rank::int as rank, case when lang = 'en' then 'experience' else 'doc' end as source_type, substr(text, 1, 500) as text from hy join documents d on d.doc_id = hy.id where rank <= 10")
+def tool_kb_search(spark, d):
     chunks = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("lang") == "en", "experience").alias("source_type"))
-    return Q.knowledge(_hybrid_all(spark, d), chunks)
+    return Q.knowledge(_hybrid(spark, d), chunks)
 
 
 @query("select min(doc_id) as position, sha256(text) as path from documents where text is not null group by text")

@@ -33,7 +33,7 @@ class Rule:
     kind: str = "pattern"
     pattern: str = ""
     is_regex: bool = False
-    sigma: float = 3.0
+    sigma: float | None = None  # None: the analysis's own
     pair: str = ""
     required: tuple[str, ...] = ()
 
@@ -47,6 +47,7 @@ class MinerOptions:
     similarity: float = 0.4
     depth: int = 4
     max_clusters: int = 1024
+    max_children: int = 100
     delimiters: tuple[str, ...] = (":", "=", "|")
 
 

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,11 +85,12 @@ def read_log(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFra
 
     Lines are numbered by two steps: inside each file block, then by the counts of the blocks before it.
     """
-    reader = spark.read
-    if encoding.lower().replace("-", "") != "utf8":
+    kind = encoding.lower().replace("-", "").replace("_", "")
+    if kind.startswith(("utf16", "utf32")):  # line ends are no single bytes there
         whole = spark.read.format("binaryFile").load(path)
         return from_texts(whole, file=F.col("path"), text=F.decode("content", encoding))
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.make_valid_utf8("value").alias("raw"))
+    raw = F.make_valid_utf8("value") if kind == "utf8" else F.decode(F.col("value").cast("binary"), encoding)
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), raw.alias("raw"))
     counts = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = counts.select("file", "_block", "_first", (F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")).alias("_before"))
     # rows of a block are consecutive in one task, so their ids are too
@@ -104,7 +106,38 @@ def ordered_distinct(paths: DataFrame, by: str = "position", key: str = "path")
     return paths.groupBy(key).agg(F.min(by).alias(by))
 
 
+def resolve(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+    """The full paths of files, each once, in order; a FileNotFoundError names those that are no files."""
+    out, odd = {}, []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(place) and system.getFileStatus(place).isFile():
+            out[system.getFileStatus(place).getPath().toString()] = None
+        else:
+            odd.append(path)
+    if odd:
+        raise FileNotFoundError(f"no such file: {', '.join(odd)}")
+    return list(out)
+
+
+def fingerprint(spark: SparkSession, path: str) -> dict:
+    """Path, size and time of change of a log, of all its files together; empty for one that isn't there."""
+    if not exists(spark, path):
+        return {"path": "", "size_bytes": 0, "mtime_ms": 0}
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getPath().toString()
+    files = spark.read.format("binaryFile").load(path).agg(F.sum("length"), F.max(F.unix_millis("modificationTime"))).first()
+    return {"path": full, "size_bytes": files[0] or 0, "mtime_ms": files[1] or 0}
+
+
 def read_documents(spark: SparkSession, path: str, metadata: DataFrame | None = None) -> DataFrame:
-    """(source, text, metadata...) of whole files."""
+    """(source, text, metadata...) of whole files; metadata are found by source, the resolved path, or else by the path as it was given."""
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
-    return docs if metadata is None else docs.join(metadata, "source", "left")
+    if metadata is None:
+        return docs
+    more = [c for c in metadata.columns if c != "source"]
+    own = metadata.select(F.regexp_replace("source", "^file:/+", "/").alias("_key"), F.struct(*more).alias("_more"))
+    found = docs.join(own, F.regexp_replace(docs["source"], "^file:/+", "/") == F.col("_key"), "left").drop("_key")
+    given = own.where(F.col("_key") == path).select(F.col("_more").alias("_given"))
+    return found.join(F.broadcast(given.limit(1)), F.lit(True), "left").select("source", "text", *(F.coalesce(F.col("_more").getField(c), F.col("_given").getField(c)).alias(c) for c in more))  # one row

@@ -64,6 +64,82 @@ def test_model_and_experience(spark, place, tmp_path):
     assert A.build_knowledge(spark, str(tmp_path / "none")) is None
 
 
+def test_the_model_s_message_goes_back(spark, place):
+    from kilnlog.operators.tools import Toolbox
+
+    box, seen = Toolbox(2), []
+    box.register("add", {"type": "object"}, lambda a, b: a + b)
+
+    def ask(messages, schemas):
+        seen.append(messages)
+        return f"round {len(seen)}", [(str(len(seen)), "add", {"a": 1, "b": 2})]
+
+    assert box.converse(ask, [{"role": "user", "content": "go"}]) == "round 2"  # the last text after the last round
+    call = {"id": "1", "type": "function", "function": {"name": "add", "arguments": '{"a": 1, "b": 2}'}}
+    assert seen[1] == [{"role": "user", "content": "go"}, {"role": "assistant", "content": "round 1", "tool_calls": [call]}, {"role": "tool", "tool_call_id": "1", "content": 3}]
+    assert box.converse(lambda m, s: "done", []) == "done" and Toolbox(1).converse(lambda m, s: [("1", "none", {})], []) == ""
+
+
+def test_chat_client(spark, place):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    bodies = []
+
+    class Chat(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            bodies.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            calls = [{"id": "c1", "type": "function", "function": {"name": "get_anomalies", "arguments": '{"cycle_id": 2}'}}]
+            message = {"role": "assistant", "content": "The kernel panics."} if len(bodies) > 1 else {"role": "assistant", "content": None, "tool_calls": calls}
+            reply = json.dumps({"choices": [{"message": message}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        text = main(["agent-analyze", "--anomalies", str(place / "docs"), "--with-model", "--model", "m", "--api-base", f"http://127.0.0.1:{server.server_port}/v1", "--api-key", "k"], spark)
+    finally:
+        server.shutdown()
+    assert text == "The kernel panics." and len(bodies) == 2
+    path, key, body = bodies[1]
+    assert path == "/v1/chat/completions" and key == "Bearer k" and body["model"] == "m" and body["tool_choice"] == "auto"
+    assert [m["role"] for m in body["messages"]] == ["system", "user", "assistant", "tool"] and json.loads(body["messages"][3]["content"])["total"] == 1
+
+
+def test_backends_in_turn(spark, tmp_path):
+    from kilnlog.operators import retrieval as V
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<float>")
+    assert isinstance(V.first_backend(v, 2), V.QuantisedBackend) and V.first_backend(v, 2, "none") is None
+    assert V.first_backend(v.withColumn("v", v["id"]), 2) is None  # no vectors: neither can serve them
+    V.ExactBackend(v).save(str(tmp_path / "exact"))
+    assert isinstance(V.load_backend(spark, str(tmp_path)), V.ExactBackend) and V.load_backend(spark, str(tmp_path / "none")) is None
+    V.QuantisedBackend.build(v, 2).save(str(tmp_path / "quantised"))
+    assert isinstance(V.load_backend(spark, str(tmp_path)), V.QuantisedBackend)
+
+
+def test_encoder_and_chunks_as_functions(spark):
+    from pyspark.sql import functions as F
+
+    from kilnlog.operators import retrieval as V
+
+    keys = ["radio", "kernel"]
+    encode = V.unit(lambda texts: [[float(3 * t.count(k)) for k in keys] for t in texts])
+    got = spark.createDataFrame([("radio kernel",), ("none",), (None,)], "text string").select(encode("text").alias("v")).collect()
+    assert [round(x, 4) for x in got[0]["v"]] == [0.7071, 0.7071] and list(got[1]["v"]) == list(got[2]["v"]) == [0.0, 0.0]
+    V.register(spark)
+    docs = spark.createDataFrame([("a", "x" * 30 + " " * 40 + "tail"), ("b", "  ")], "source string, text string")
+    docs.createOrReplaceTempView("texts")
+    rows = spark.sql("select source, c.* from texts, lateral chunk_text(source, text, 16, 4) c")
+    own = V.chunk_chars(docs, 16, 4).select("source", "chunk_index", "chunk_id", "text")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, own.collect())) and own.where(F.col("source") == "b").count() == 0
+
+
 def test_rules_without_model(spark, place):
     assert "Anomalies: 3" in main(["agent-analyze", "--anomalies", str(place / "docs")], spark)
     answers = iter(["cycles", "exit"])

@@ -1,8 +1,10 @@
 """The log operators on small logs."""
 
 import json
+import re
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ from kilnlog.operators import report as R
 from kilnlog.operators import retrieval as V
 from kilnlog.operators import templates as M
 from kilnlog.operators import tools as Q
-from kilnlog.profiles import BDK, PRPLOS, Milestone, Rule
+from kilnlog.profiles import BDK, PRPLOS, Milestone, MinerOptions, Rule
 from kilnlog.sources import logs as S
+from tests.conftest import SMALL
 
 LOG = ["[2024-03-01 10:00:00.100] early one", "no time here", "[2024-03-01 10:00:01.000] U-Boot TPL 1", "[9999-99-99 10:00:02.000] odd date", "[2024-03-01 10:00:04.500] Starting kernel", "[2024-03-01 10:01:00.000] U-Boot TPL 2", "RPC: done"]
 
@@ -161,6 +164,61 @@ def test_templates(spark):
     assert summary == 'TPLSET|fmt=aaak-log-v1|count=1\nTPL|RPC|hit=3|kw=rpc_initializing|"RPC initializing * service"'
 
 
+def mined_plainly(lines, options):
+    """Drain over one log as published: {line: (cluster, template)}, clusters numbered in each token count; the bound on clusters for each token count."""
+    roots, out, made, live = {}, {}, {}, {}
+    for at, line in lines:
+        words = line
+        for d in options.delimiters:
+            words = words.replace(d, " ")
+        words = words.split()
+        n = len(words)
+        leading = words[: options.depth - 3] if n > options.depth - 3 else words[:-1]
+        node = roots.setdefault(n, {"children": {}, "clusters": []})
+        for w in leading:
+            node = node and (node["children"].get(w) or node["children"].get("<*>"))
+        best, score = None, (-1, -1)
+        for c in [c for c in node["clusters"] if c["id"] in live[n]] if node else []:
+            same = sum(x == y and x != "<*>" for x, y in zip(c["words"], words)) / n if n else 1.0  # noqa: B905
+            if (same, c["words"].count("<*>")) > score:
+                best, score = c, (same, c["words"].count("<*>"))
+        if best is not None and score[0] >= options.similarity:
+            best["words"] = [x if x == y else "<*>" for x, y in zip(best["words"], words)]  # noqa: B905
+            live[n][best["id"]] = live[n].pop(best["id"])
+        else:
+            best = {"id": made.get(n, 0), "words": list(words)}
+            made[n] = best["id"] + 1
+            node = roots[n]
+            for w in leading:
+                children = node["children"]
+                if w not in children:
+                    free = options.max_children - len(children) - ("<*>" not in children)
+                    if any(ch.isdigit() for ch in w) or free < 1:
+                        w = "<*>"
+                    children.setdefault(w, {"children": {}, "clusters": []})
+                node = children[w]
+            node["clusters"].append(best)
+            live.setdefault(n, {})[best["id"]] = best
+            if len(live[n]) > options.max_clusters:
+                del live[n][min(live[n], key=list(live[n]).index)]
+        out[at] = (n, best["id"], " ".join(best["words"]))
+    return out
+
+
+@pytest.mark.parametrize("options", [MinerOptions(), MinerOptions(similarity=0.6, depth=6, max_clusters=40, max_children=5), MinerOptions(depth=3, delimiters=(":",))])
+def test_templates_against_a_plain_miner(spark, options):
+    import random
+
+    texts = [t for (t,) in duckdb.connect().execute(f"select unnest(string_split(text, chr(10))) from '{SMALL}/documents.parquet' where text is not null order by doc_id").fetchall()]
+    r = random.Random(7)
+    words = ["link", "up", "down", "eth0", "eth1", "wlan", "9", "12ms", "error:", "state=ok", "a|b", "reset", "cpu"]
+    rows = [t for t in texts[:1500] if t] + [" ".join(r.choice(words) for _ in range(r.randrange(1, 7))) for _ in range(1500)]
+    mined = M.mine(spark.createDataFrame([("f", i, t) for i, t in enumerate(rows)], "file string, line_no long, raw string"), options).collect()
+    plain = mined_plainly([(i, re.sub(profiles.TIMESTAMP + r"\s*", "", t)) for i, t in enumerate(rows)], options)
+    assert {m["line_no"]: (m["n_tokens"], m["cluster"], m["template_at_parse"]) for m in mined} == plain
+    assert len({(n, c) for n, c, _ in plain.values()}) > 200 and any("<*>" in t for _, _, t in plain.values())
+
+
 def test_compact_functions(spark):
     for text, want in (("wl0 up", "WFI"), ("zebra-x", "ZEB"), ("123", "UNK"), ("ARMTF RPC", "RPC")):
         assert one(spark, T.entity(F.col("x")), x=text) == want

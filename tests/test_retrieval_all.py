@@ -21,14 +21,14 @@ def small():
     return np.array([r[0] for r in v]), np.array([r[1] for r in v], np.float64), items
 
 
-@pytest.mark.parametrize("name", ["vector_topk_all", "quant_topk_all"])
+@pytest.mark.parametrize("name", ["vector_topk", "quant_topk"])
 def test_every_hundredth_vector_asks_all_rows(spark, small, name):
     ids, x, _ = small
     got = {}
     for r in catalog.queries()[name](spark, SMALL).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     y = x
-    if name == "quant_topk_all":
+    if name == "quant_topk":
         x = V.rotate(x, V.signs(64, 0))
         codes, scale = V.quantise(x, 4)
         y = codes * scale[:, None]
@@ -50,7 +50,7 @@ def test_blocks_of_queries_and_ties(spark, monkeypatch):
     assert V.vector_top(vectors.where("false"), asked, 4).count() == 0
 
 
-@pytest.mark.parametrize("name", ["hybrid_rrf_all", "tool_kb_search_all"])
+@pytest.mark.parametrize("name", ["hybrid_rrf", "tool_kb_search"])
 def test_every_item_is_fused(spark, small, name):
     rows = catalog.queries()[name](spark, SMALL).collect()
     assert {r["query_id"] for r in rows} == set(small[2]) and len(small[2]) > 1
@@ -58,12 +58,12 @@ def test_every_item_is_fused(spark, small, name):
 
 def test_the_item_s_own_vector_is_fused(spark, small):
     ids, x, items = small
-    docs, asked = catalog._all_corpus(spark, SMALL)
+    docs, asked = catalog._corpus(spark, SMALL)
     lexical = {}
     for r in V.lexical(docs, asked, 20).collect():
         lexical.setdefault(r["query_id"], {})[r["id"]] = r["rank"]
     got = {}
-    for r in catalog.hybrid_rrf_all(spark, SMALL).collect():
+    for r in catalog.hybrid_rrf(spark, SMALL).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["score"]))
     for i in items:
         near = best(x @ x[ids == i][0], ids, 20) if i in ids else []
@@ -79,5 +79,5 @@ def test_late_words_of_an_item_are_asked(spark, tmp_path):
     filler = [(i, f"filler{i} words{i}", "en") for i in range(8)]
     spark.createDataFrame([*filler, (77, "a rare late passage", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, late), (3, "none")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for name in ("bm25_topk_all", "overlap_fallback_all"):
+    for name in ("bm25_topk", "overlap_fallback"):
         assert [(r["query_id"], r["id"]) for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == [(0, 77)]
