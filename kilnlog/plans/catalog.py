@@ -5,6 +5,8 @@ events are read as logs: a stream for each user, anchored at signups; documents
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,13 +73,16 @@ _RULES = "(values (0, 'error_line', 'Error line', 'critical'), (1, 'new_user', '
 ANOM = f"""{HITS},
 pa as (select file, cycle_id, rule_id, rule_name, severity, 'pattern' as rule_type, ts as timestamp, lic as line_number, raw as message, 0 as phase, pos from lc join {_RULES}
   on (pos = 0 and contains(raw, '] error:')) or (pos = 1 and contains(raw, '] signup:')) or (pos = 2 and regexp_matches(raw, '\\] (purchase|click): user \\d*7 '))),
-ta as (select d.file, d.cycle_id, rule_id, rule_name, severity, 'timeout' as rule_type, null::timestamp as timestamp, 0::bigint as line_number, d.pair, seconds, mean, stddev, 2.0::double as sigma, mean + 2.0::double * stddev as threshold, 1 as phase, pos
+ta as (select d.file, d.cycle_id, rule_id, rule_name, severity, 'timeout' as rule_type, null::timestamp as timestamp, 0::bigint as line_number, d.pair, seconds, mean, stddev, 2.0::double as sigma, mean + 2.0::double * stddev as threshold, 1 as phase, pos,
+    printf('%s took %.3fs (threshold %.3fs = mean %.3fs + 2.0s x %.3fs)', d.pair, seconds, mean + 2.0::double * stddev, mean, stddev) as message
   from dl d join bl using (pair) join (values (3, 'slow_view', 'Slow view', 'warning', 'signup->view'), (4, 'slow_click', 'Slow click', 'critical', 'view->click')) r(pos, rule_id, rule_name, severity, pair) using (pair) where seconds > mean + 2.0::double * stddev),
 sa as (select cy.file, cy.cycle_id, 'no_purchase' as rule_id, 'No purchase' as rule_name, 'info' as severity, 'sequence' as rule_type, null::timestamp as timestamp, 0::bigint as line_number,
   list_filter(['view', 'purchase'], lambda r: not list_contains(coalesce(g, []), r)) as missing, 2 as phase, 5 as pos from cy left join (select file, cycle_id, list(milestone) as g from hits group by 1, 2) h on cy.file = h.file and cy.cycle_id = h.cycle_id),
-aa as (select file, cycle_id, rule_id, rule_name, severity, rule_type, timestamp, line_number, phase, pos from pa
-  union all select file, cycle_id, rule_id, rule_name, severity, rule_type, timestamp, line_number, phase, pos from ta
-  union all select file, cycle_id, rule_id, rule_name, severity, rule_type, timestamp, line_number, phase, pos from sa where len(missing) > 0)"""
+aa as (select file, cycle_id, rule_id, rule_name, severity, rule_type, timestamp, line_number, message, phase, pos from pa
+  union all select file, cycle_id, rule_id, rule_name, severity, rule_type, timestamp, line_number, message, phase, pos from ta
+  union all select file, cycle_id, rule_id, rule_name, severity, rule_type, timestamp, line_number, 'Missing milestones: ' || array_to_string(missing, ', '), phase, pos from sa where len(missing) > 0),
+ctx as (select file, cycle_id, lic, coalesce(array_to_string(list(raw) over (partition by file, cycle_id order by lic rows between 3 preceding and 1 preceding), chr(10)), '') as context_before,
+  coalesce(array_to_string(list(raw) over (partition by file, cycle_id order by lic rows between 1 following and 3 following), chr(10)), '') as context_after from lc)"""
 
 
 def event_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -167,10 +172,10 @@ def missing_milestones(spark, d):
     return D.missing_milestones(cyc, hits, MILESTONES)
 
 
-@query(f"with {ANOM} select file, cycle_id::bigint as cycle_id, rule_id, severity, round(seconds, 4) as actual, round(threshold, 4) as threshold from ta")
+@query(f"with {ANOM} select file, cycle_id::bigint as cycle_id, rule_id, severity, round(seconds, 4) as actual, round(threshold, 4) as threshold, message from ta")
 def anomaly_timeout(spark, d):
     _, _, _, deltas, base = _profiled(spark, d)
-    return D.timeout_anomalies(deltas, base, RULES).select("file", "cycle_id", "rule_id", "severity", F.round("metadata.actual", 4).alias("actual"), F.round("metadata.threshold", 4).alias("threshold"))
+    return D.timeout_anomalies(deltas, base, RULES).select("file", "cycle_id", "rule_id", "severity", F.round("metadata.actual", 4).alias("actual"), F.round("metadata.threshold", 4).alias("threshold"), "message")
 
 
 @query("""with c as (select conv_id::varchar as file, list_distinct(list(role)) as g from conversations group by 1)
@@ -192,14 +197,12 @@ def severity_counts(spark, d):
     return E.severity_counts(_anomalies(spark, d)[0])
 
 
-@query(f"with {ANOM} select file, cycle_id::bigint as cycle_id, rule_id, rule_name, severity, rule_type, timestamp, line_number, substr(md5(concat_ws('|', file, cycle_id::bigint::varchar, rule_id, line_number::varchar)), 1, 8) as anomaly_id from aa")
+@query(f"with {ANOM} select file, cycle_id::bigint as cycle_id, rule_id, rule_name, severity, rule_type, timestamp, line_number, message, substr(md5(concat_ws('|', file, cycle_id::bigint::varchar, rule_id, line_number::varchar)), 1, 8) as anomaly_id from aa")
 def anomalies_all(spark, d):
-    return _anomalies(spark, d)[0].select("file", "cycle_id", "rule_id", "rule_name", "severity", "rule_type", "timestamp", "line_number", "anomaly_id")
+    return _anomalies(spark, d)[0].select("file", "cycle_id", "rule_id", "rule_name", "severity", "rule_type", "timestamp", "line_number", "message", "anomaly_id")
 
 
-@query(f"""with {ANOM},
-ctx as (select file, cycle_id, lic, coalesce(array_to_string(list(raw) over (partition by file, cycle_id order by lic rows between 3 preceding and 1 preceding), chr(10)), '') as context_before,
-  coalesce(array_to_string(list(raw) over (partition by file, cycle_id order by lic rows between 1 following and 3 following), chr(10)), '') as context_after from lc)
+@query(f"""with {ANOM}
 select pa.file, pa.cycle_id::bigint as cycle_id, rule_id, line_number, context_before, context_after from pa join ctx on pa.file = ctx.file and pa.cycle_id = ctx.cycle_id and pa.line_number = ctx.lic""")
 def anomaly_context(spark, d):
     lines = event_cycles(spark, d)
@@ -223,14 +226,25 @@ def channel_counts(spark, d):
 
 
 def _score(i: int) -> str:
-    return " + ".join(f"max(contains(text, '{m}')::int)" for m in MARKS[i][1])
+    return " + ".join(f"max(contains(raw, '{m}')::int)" for m in MARKS[i][1])
+
+
+HEAD_LINES = 50
 
 
-@query(f"""with s as (select source as file, {_score(0)} as a, {_score(1)} as b, {_score(2)} as c from documents where text <> '' group by 1)
+@query(f"""with l as (select source as file, doc_id, i, l[i] as raw from (select source, doc_id, string_split(case when ends_with(text, chr(10)) then substr(text, 1, length(text) - 1) else text end, chr(10)) as l from documents where text <> '') t, unnest(range(1, len(l) + 1)) u(i)),
+h as (select * from l qualify row_number() over (partition by file order by doc_id, i) <= {HEAD_LINES}),
+s as (select file, {_score(0)} as a, {_score(1)} as b, {_score(2)} as c from h group by 1)
 select file, case when a + b + c = 0 then 'beta' when a >= b and a >= c then 'alpha' when b >= c then 'beta' else 'gamma' end as platform, greatest(a, b, c)::int as score from s""")
 def platform_detect(spark, d):
-    lines = S.from_texts(_t(spark, d, "documents"), file=F.col("source"), text=F.col("text"))
-    return P.detect_platform(lines, MARKS, default="beta", scan_lines=1 << 31).select("file", "platform", F.col("score").cast("int").alias("score"))
+    """Each source's documents as one log; the bound on the lines that are scanned is the feature."""
+    return P.detect_platform(_source_lines(_t(spark, d, "documents")), MARKS, default="beta", scan_lines=HEAD_LINES).select("file", "platform", F.col("score").cast("int").alias("score"))
+
+
+def _source_lines(docs: DataFrame) -> DataFrame:
+    ended = F.regexp_replace("text", r"\n\z", "")
+    lines = docs.where(F.length("text") > 0).select("source", "doc_id", F.posexplode(F.split(ended, "\n", -1)).alias("at", "raw"))
+    return S.from_table(lines, file=F.col("source"), order=["doc_id", "at"], raw=F.col("raw"), coarse=F.floor(F.col("doc_id") / 1000))
 
 
 @query(f"""with {ANOM} select file, count(*) as total_anomalies, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning, count(*) filter (severity = 'info') as info, array_to_string(list_sort(list_distinct(list(cycle_id::bigint))), ',') as affected_cycles from aa group by 1""")
@@ -589,24 +603,37 @@ def baseline_roundtrip(spark, d):
     return pairs.select("pair", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "sample_count")
 
 
-@query(f"with {ANOM} select severity, rule_id, count(*) as n from aa group by 1, 2")
+@query(f"""with {ANOM} select aa.cycle_id::bigint as cycle_id, rule_id, rule_name, severity, line_number, message, coalesce(epoch_us(timestamp) * 1000, 0)::bigint as nanos, case when phase = 0 then context_before else '' end as before, case when phase = 0 then context_after else '' end as after
+from aa left join ctx on aa.file = ctx.file and aa.cycle_id = ctx.cycle_id and aa.line_number = ctx.lic""")
 def otel_roundtrip(spark, d):
     anomalies, lines = _anomalies(spark, d)
     path = S.scratch(spark, "documents")
     E.write_documents(E.documents(S.stored(D.with_context(anomalies, lines, 3, 3), "anomalies")), path)
-    return E.exploded(E.read_documents(spark, path)).groupBy("severity", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return E.exploded(E.read_documents(spark, path)).drop("place")
+
+
+@contextlib.contextmanager
+def _rocks(spark):
+    """The state store that streams with state need, for a while."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 @query(f"with {EV} select file, event_id as seq, line_no, cycle_id::bigint as cycle_id from ln")
 def stream_cycles(spark, d):
     from kilnlog.streaming.cycles import stream_cycles as run
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, out = S.scratch(spark, "stream-in"), S.scratch(spark, "stream-out")
     rows = event_lines(spark, d).select("file", F.col("event_id").alias("seq"), "raw")
     rows.write.parquet(source)
-    stream = run(spark.readStream.schema(rows.schema).parquet(source), ANCHORS)
-    stream.writeStream.format("parquet").option("checkpointLocation", S.scratch(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
+    with _rocks(spark):
+        stream = run(spark.readStream.schema(rows.schema).parquet(source), ANCHORS)
+        stream.writeStream.format("parquet").option("checkpointLocation", S.scratch(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("file string, seq long, raw string, line_no long, cycle_id long").parquet(out).select("file", "seq", "line_no", "cycle_id")
 
 
