@@ -112,6 +112,25 @@ def test_token_counts_use_the_cache(spark, tmp_path):
     assert token_counts.count_tokens(spark, frame(spark, []), path, str(tmp_path / "none")).count() == 0
 
 
+def test_second_delivery_finds_stored_counts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(i, f"text {i % 7}", "en", "a", 0) for i in range(60)] + [(None, "text 3", "en", "a", 0), (None, None, None, None, 0)]
+    frame(spark, rows).drop("_id", "_text", "count", "rank").write.parquet(str(tmp_path / "documents.parquet"))
+    got = token_counts.op3_token_counts(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i is None, i or 0, len(t.encode(x or "", add_special_tokens=False))) for i, x, *_ in rows)
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    token_counts.count_tokens(spark, frame(spark, rows[:7]), path, cache).count()
+    token_counts.count_tokens(spark, frame(spark, rows), path, cache).count()
+    stored = [r["content"] for r in token_counts.read_cache(spark, cache).collect()]
+    assert len(stored) == len(set(stored)) == 8  # the copies of the first delivery were not encoded again
+    out = token_counts.count_tokens(spark, frame(spark, [(1, "  A ", "en", "a", 0), (2, "a", "en", "a", 0)]).withColumns({"n_tokens": F.lit("x"), "_digest": F.lit("y")}), path, str(tmp_path / "c2"), normalise=lambda c: F.lower(F.trim(c)))
+    assert [(r["n_tokens"], r["n_bytes"], r["_digest"]) for r in out.orderBy("doc_id").collect()] == [(1, 4, "y"), (1, 1, "y")] and token_counts.read_cache(spark, str(tmp_path / "c2")).count() == 1
+
+
 # 4
 def test_top_k_is_exact(spark):
     r = random.Random(3)
@@ -204,6 +223,39 @@ def test_quality_model_against_plain_form(spark, shard_rows):
         assert got[i]["_nll"] == pytest.approx(-sum(math.log(prob(g)) for g in grams), abs=1e-6)
 
 
+def test_quality_decisions_against_plain_form(spark):
+    import math
+
+    noise = lambda i: "".join(random.Random(i).choice("#$%&|{}~^ab ") for _ in range(80))
+    rows = [(i, prose(i, 20 + i % 30), ("en", None, "fr")[i % 3], "a", 0) for i in range(60)] + [(100 + i, prose(i, 10), "de", "a", 0) for i in range(4)] + [(200 + i, noise(i), ("en", "de", "xx")[i % 3], "a", 0) for i in range(9)] + [(300, "", "en", "a", 0), (301, None, None, "a", 0)]
+    trusted = [i for i, *_ in rows if i < 104]
+    options = {"order": 3, "quantile": 0.8, "margin": 1.1, "min_trusted": 10}
+    got = {r["_id"]: r for r in quality.classify(spark, frame(spark, rows), spark.createDataFrame([(i,) for i in trusted], "_id long"), **options).collect()}
+    half = dict(spark.createDataFrame([(r[0],) for r in rows], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(2))).collect())
+    models = {h: kneser_ney([t for i, t, *_ in rows if i in trusted and half[i] == h], 3) for h in (0, 1)}
+    nll, n = {}, {}
+    for i, t, *_ in rows:
+        grams = quality.positions([t or ""], 3)[0].tolist()
+        nll[i], n[i] = -sum(math.log(models[1 - half[i]](g)) for g in grams), len(grams)
+    lang = {i: x for i, _, x, *_ in rows}
+    known = {x: [i for i in trusted if lang[i] == x] for x in set(lang.values())}
+    mean = lambda ids: sum(nll[i] for i in ids) / sum(n[i] for i in ids)
+    means = {x: mean(ids) for x, ids in known.items() if len(ids) >= 10}
+    assert set(means) == {"en", "fr", None}
+    shrunk = {i: (nll[i] + quality.PRIOR * means.get(lang[i], mean(trusted))) / (n[i] + quality.PRIOR) for i in nll}
+
+    def limit(ids):
+        bins = sorted(math.floor(shrunk[i] * 1000) for i in ids)
+        return (next(b for k, b in enumerate(bins, 1) if bins.count(b) + bins.index(b) >= 0.8 * len(bins)) + 1) / 1000 + math.log(1.1)
+
+    limits = {x: limit(known[x]) for x in means}
+    for i, r in got.items():
+        top = limits.get(lang[i], limit(trusted))
+        assert r["n_scored"] == n[i] and r["perplexity"] == pytest.approx(math.exp(shrunk[i]), rel=1e-6) and r["threshold"] == pytest.approx(math.exp(top), rel=1e-9)
+        assert r["keep"] == (n[i] > 0 and shrunk[i] <= top)
+    assert len(got) == len(rows) and not got[300]["keep"] and 0 < sum(r["keep"] for r in got.values()) < len(rows) - 2
+
+
 def test_quality_keeps_clean_text(spark):
     rows = [(i, prose(i, 60), "en" if i % 2 else None, "a", 0) for i in range(300)] + [(1000 + i, "".join(random.Random(i).choice("#$%&|{}~^") for _ in range(200)), "en", "a", 0) for i in range(20)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
