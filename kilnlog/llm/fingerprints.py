@@ -187,14 +187,18 @@ def in_descending_order(docs: DataFrame, n_buckets: int | None = None) -> DataFr
     hot = F.col("_id").isNull() | F.col("_id").isin([c for c, k in zip(cuts, subs, strict=True) if k > 1])
     bucket = first + F.when(hot, F.least(F.floor(share * many), many - 1)).otherwise(many - 1)
     rows = rows.withColumn("_bucket", bucket.cast("int"))
-    # the first row of each bucket that has rows, and the bucket before it: as many rows as buckets
-    firsts = rows.groupBy("_bucket").agg(F.max(F.struct("_id", F.bitwise_not(F.xxhash64("_text")).alias("h"))).alias("_first"))
+    # the first rows of each bucket that has rows, and the bucket before it: as many rows as buckets; a number for the order by id, then hash (without its last bits)
+    big = "decimal(38,0)"
+    key = F.coalesce("_id", F.lit(0)).cast(big) * F.lit(1 << 62).cast(big) - F.shiftright(F.xxhash64("_text"), 2).cast(big)
+    rows = rows.withColumn("_key", key.cast(big))
+    firsts = rows.groupBy("_bucket").agg(F.max("_key").alias("_first"))
     ring = Window.orderBy("_bucket")
     firsts = firsts.withColumn("_prev", F.lag("_bucket").over(ring)).withColumn("_last", F.max("_bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = firsts.select(F.col("_bucket").alias("_b"), "_first", F.coalesce("_prev", "_last").alias("_prev"))
-    is_first = (F.col("_bucket") == F.col("_b")) & F.col("_id").eqNullSafe(F.col("_first._id")) & (F.bitwise_not(F.xxhash64("_text")) == F.col("_first.h"))
-    sent = rows.join(F.broadcast(firsts), is_first).groupBy("_prev").agg(F.first("_id").alias("_id"), F.min("_text").alias("_text"))
-    out = rows.withColumn("_order", F.lit(0)).unionByName(sent.select("_id", "_text", F.col("_prev").alias("_bucket"), F.lit(1).alias("_order")))
+    sent = rows.join(F.broadcast(firsts), (F.col("_bucket") == F.col("_b")) & (F.col("_key") == F.col("_first")), "left")
+    place = lambda bucket, order: F.struct(F.col(bucket).alias("b"), F.lit(order).alias("o"))
+    copies = F.when(F.col("_b").isNull(), F.array(place("_bucket", 0))).otherwise(F.array(place("_bucket", 0), place("_prev", 1)))
+    out = sent.select("_id", "_text", F.explode(copies).alias("_c")).select("_id", "_text", F.col("_c.b").alias("_bucket"), F.col("_c.o").alias("_order"))
     return out.repartitionById(int(offsets[-1]), "_bucket").sortWithinPartitions("_bucket", "_order", F.col("_id").desc_nulls_last(), F.xxhash64("_text"), "_text")
 
 
