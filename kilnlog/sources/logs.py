@@ -24,7 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
             _local.append(tempfile.mkdtemp(prefix="kilnlog-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         root = _local[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/kilnlog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch folders of this application; results that were not written elsewhere go with them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "any")).getParent()
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

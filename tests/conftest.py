@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from kilnlog.sources.logs import drop_scratch  # noqa: E402
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -13,4 +15,5 @@ def spark():
     s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    drop_scratch(s)
     s.stop()
