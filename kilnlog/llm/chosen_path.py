@@ -9,7 +9,7 @@ most SMALL records is a leaf; larger ones are split further, down to MAX_DEPTH.
 
 Leaves are not expanded into pairs.  In each leaf a record is tied to every leader that its signature is near (of ties that close a
 circle only some are written), or becomes a leader; by the triangle inequality two sets of similarity 0.8 in a leaf are tied to a
-common leader.  Leaves that are still large are cut into salted parts whose leaders meet again.  The components of the ties are
+common leader.  Leaves that are still large are cut into salted parts whose leaders meet again; leaders that don't become fewer make larger parts, and from some size on go on down the tree.  The components of the ties are
 groups; inside each group all exact similarities are computed, in tiles of bounded size, and only counts of links and a
 spanning forest of each tile leave the task.  So all links between different texts in a group are counted, whether or not a leaf held both.
 
@@ -33,6 +33,7 @@ SIZE, CARRIED = 128, 64  # positions of a signature; of these, one byte each goe
 RECALL, START_DEPTH, MAX_DEPTH, SMALL = 0.999, 3, 5, 256
 LEADER, TIE = 0.55, 0.22  # of estimated similarity: 0.35 for a sure tie, less three deviations
 TILE = 512
+CROWD, APART_DEPTH = 1 << 14, 10  # leaders apart that one task compares; levels below, at which 25 runs bring two at 0.55 together less than once
 
 
 def survival(depth: int, s: float = THRESHOLD) -> float:
@@ -154,6 +155,24 @@ def _split(batches):
             yield pd.DataFrame({"_leaf": keys.view(np.int64), "_node": pdf["_node"].to_numpy()[rows], "_sig": pdf["_sig"].to_numpy()[rows]})
 
 
+def _respread(n_runs: int, depth: int):
+    """Records of a leaf to new leaves, in so many runs of depth levels below it."""
+    def part(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf):
+                sigs = np.frombuffer(b"".join(pdf["_sig"]), np.uint8).reshape(-1, CARRIED)
+                with np.errstate(over="ignore"):
+                    keys = mix((pdf["_leaf"].to_numpy().view(np.uint64)[None, :] + mix(np.arange(1, n_runs + 1, dtype=np.uint64))[:, None]).reshape(-1))
+                rows = np.tile(np.arange(len(pdf)), n_runs)
+                for _ in range(depth):
+                    keys, rows = descend(keys, rows, sigs)
+                yield pd.DataFrame({"_leaf": keys.view(np.int64), "_node": pdf["_node"].to_numpy()[rows], "_sig": pdf["_sig"].to_numpy()[rows]}).drop_duplicates(["_leaf", "_node"])
+
+    return part
+
+
 def _groups(batches, by: list[str]):
     """The frames of equal keys in sorted batches."""
     import pandas as pd
@@ -217,7 +236,7 @@ def batches_of_groups(batches, by: list[str], rows: int = 4096):
 _LEAF = "_leaf long, _node long, _sig binary"
 
 
-def _ties(spark: SparkSession, sets: DataFrame, small: int, max_depth: int) -> DataFrame:
+def _ties(spark: SparkSession, sets: DataFrame, small: int, max_depth: int, recall: float, crowd: int) -> DataFrame:
     """(a, b): a record and a leader that its signature is near."""
     sigs = sets.select("_node", "_sig")
     rows = sets.select(F.explode("_leaves").alias("_leaf"), "_node")
@@ -247,8 +266,15 @@ def _ties(spark: SparkSession, sets: DataFrame, small: int, max_depth: int) -> D
         again = materialise(spark, again.join(again.groupBy("_leaf").count(), "_leaf"), "path-again")
         if again.isEmpty():
             return found.distinct()
-        before, after = now.where(F.col("count") > small).count(), again.count()
-        small = small if after <= 0.7 * before else 4 * small  # leaders that are no longer near each other: larger parts
+        if again.count() > 0.7 * now.where(F.col("count") > small).count():
+            # these leaders are hardly near each other, so their parts stay as many
+            if small < crowd:
+                small *= 4
+            else:
+                # they go on down the tree, in as many runs as the recall asks for, so deep that fewer pairs of them meet again than now do
+                spread = again.select("_leaf", "_node", "_sig").mapInPandas(tidy(_respread(runs_for(recall, APART_DEPTH), APART_DEPTH)), _LEAF)
+                spread = materialise(spark, spread, "path-spread")
+                again = materialise(spark, spread.join(spread.groupBy("_leaf").count().where("count > 1"), "_leaf"), "path-again")
         now = again
 
 
@@ -301,7 +327,7 @@ def _tile(batches):
             yield pd.DataFrame({"_node": cols[0], "_links": cols[1], "_to": pd.array(cols[2], dtype="Int64")})
 
 
-def jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, small: int = SMALL, max_depth: int = MAX_DEPTH, tile: int = TILE) -> DataFrame:
+def jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, small: int = SMALL, max_depth: int = MAX_DEPTH, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
     """(_id, _t1, _t2, class_id, copy_id, n_links) of every row of docs; _t1 and _t2 hash the text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2"), text.alias("_text"))
@@ -311,7 +337,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     texts = materialise(spark, texts, "path-texts")
     per_set = texts.groupBy("_node").agg(F.count(F.lit(1)).alias("_texts"), F.min("_copy").alias("_least"), F.min(F.struct("_t1", "_t2", "_copy")).alias("_rep"))
     sets = records.groupBy("_node").agg(F.first("_sig").alias("_sig"), F.first("_leaves").alias("_leaves")).where("_node <> 0")
-    groups = components(spark, _ties(spark, materialise(spark, sets, "path-sets"), small, max_depth)).withColumnRenamed("root", "_group")
+    groups = components(spark, _ties(spark, materialise(spark, sets, "path-sets"), small, max_depth, recall, crowd)).withColumnRenamed("root", "_group")
     sized = groups.groupBy("_group").count()
     members = groups.join(sized, "_group").join(per_set.withColumnRenamed("_node", "node"), "node").select(F.col("node").alias("_node"), "_group", "_texts", F.ceil(F.col("count") / tile).cast("int").alias("_tiles"), F.col("_rep._t1").alias("_r1"), F.col("_rep._t2").alias("_r2"), F.col("_rep._copy").alias("_rid"))
     members = materialise(spark, members, "path-members")

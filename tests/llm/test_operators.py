@@ -528,6 +528,21 @@ def test_jaccard_join_loses_no_link(spark, small, tile):
     assert chosen_path.jaccard_join(spark, frame(spark, [])).count() == 0
 
 
+def test_leaders_that_are_not_alike_go_on_down(spark, monkeypatch):
+    """Texts that share nearly half of their words crowd the leaves without being near copies."""
+    called, respread = [], chosen_path._respread
+    monkeypatch.setattr(chosen_path, "_respread", lambda *a: called.append(a) or respread(*a))
+    passage = prose(9, 100)
+    texts = [f"{passage} {prose(1000 + i, 50)}" for i in range(80)]
+    texts += [t + " tail" for t in texts[:25]]
+    got = {r["_id"]: r["n_links"] for r in chosen_path.jaccard_join(spark, frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)]), small=3, max_depth=3, recall=0.9999, crowd=12).collect()}
+    want = dict.fromkeys(range(len(texts)), 0)
+    for i, j in links_of(texts):
+        want[i] += 1
+        want[j] += 1
+    assert got == want and sum(want.values()) >= 50 and called
+
+
 # 9
 def test_url_rules_and_filter(spark):
     urls = ["http://Example.COM/en/x", "https://www.example.com/en/", "ftp://a.net/es/?q", "http://a.net/de/", None, "no scheme", "http://com", "http://xexample.com/en/", "http://a.example.com/en", "http://net/fr/#t", "://com/", "http://É.net/fr/"]
