@@ -555,6 +555,14 @@ def test_url_rules_and_filter(spark):
     assert url_filter.judge_urls(spark, df.where("false"), listed).count() == 0 and url_filter.judge_urls(spark, df, listed.where("false")).count() == 13
 
 
+def test_very_long_urls(spark):
+    long = "http://" + "a." * 300 + "net/fr/" + "x/" * 200_000 + "?q"
+    host = "http://" + "b" * 500_000 + ".example.com/en/"
+    df = spark.createDataFrame([(1, long), (2, host), (3, "http://net" + "/" * 300_000)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"]), len(r["path"])) for r in url_filter.judge_urls(spark, df, spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")).collect()}
+    assert got == {1: ("net/fr/", "block", 603, 400_004), 2: ("example.com/en/", "block", 500_012, 4), 3: (None, "allow", 3, 300_000)}
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = [f"k{i}" for i in range(5000)]
     bloom = url_filter.BlockedBloom.build(spark.createDataFrame([(k,) for k in keys], "k string"), "k", len(keys))
@@ -595,6 +603,61 @@ def test_bitmaps():
     assert line_dedup.kept_text("a\nb\nc", line_dedup._bitmap(3, [1])) == "a\nc" and line_dedup.kept_text("a", None) == "a"
 
 
+NAMES = "_c0 _c1 _row _id _text _key _lang _fold _half _text_key _bad_id _bad_key _kid _k1 _k2 _t1 _t2 _node _leaf _url _host _path _of _best host path rule verdict _doc _doc2 _text2 _keep _n_dropped _digest _content _n_bytes n_bytes n_tokens content _mix_id _mix_source _block _position _source _bucket count rank position".split()
+
+
+def clashing(spark, rows, schema=DOCS):
+    """Rows whose further columns bear the names that the operators use themselves, each with its own value."""
+    return spark.createDataFrame(rows, schema).select("*", *(F.lit(f"own {n}").alias(n) for n in NAMES))
+
+
+def kept_own(rows, but=()):
+    return all(r[n] == f"own {n}" for r in rows for n in NAMES if n not in but)
+
+
+def test_callers_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+
+    docs = clashing(spark, edge_rows() + edge_rows()[:2])
+    labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (102, 1, 0)], "doc_id long, quality int, toxic int")
+    good = quality.keep_good(spark, docs, quality.trusted_ids(labels))
+    lines = line_dedup.dedup_lines(spark, docs, min_docs=10, keep="first")
+    each = chosen_path.one_of_each(spark, docs)
+    mixed = corpus_pipeline.mixing(spark, docs, "")
+    for out in (good, lines, each, mixed):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and kept_own(rows)
+    counted = token_counts.count_tokens(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache"))
+    rows = counted.collect()
+    assert counted.columns == docs.columns and len(rows) == docs.count() and kept_own(rows, ("n_bytes", "n_tokens")) and all(r["n_bytes"] == len((r["text"] or "").encode()) for r in rows)
+    coded = sentencepiece_scan.encode_documents(spark, docs, sentencepiece_scan.default_model()).collect()
+    assert len(coded) == len(rows) and kept_own(coded)
+    pages = clashing(spark, [(1, "http://a.net/fr/x"), (2, None), (1, "http://a.net/fr/x")], "page_id long, url string")
+    judged = url_filter.judge_urls(spark, pages, spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string"))
+    rows = judged.collect()
+    assert judged.columns == pages.columns and kept_own(rows, ("host", "path", "rule", "verdict")) and sorted(r["verdict"] for r in rows) == ["allow", "block", "block"]
+
+
+def test_mixing_stage_hands_on_the_order(spark):
+    import corpus_pipeline
+
+    rows = [(i, prose(i, 300), "en", "hot" if i % 3 else f"s{i % 9}", 0) for i in range(240)]
+    docs = frame(spark, rows, clash=False)
+    got = [r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, "").collect()]
+    order = mixing.mix_sources(spark, docs, max_repetition=2.0, cover=True).orderBy("block_id", "position").collect()
+    assert got == [r["doc_id"] for r in order] and len(got) > 240 and {r["block_id"] for r in order} != {0}
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "token_ids"]
+
+
 def test_pipeline_keeps_columns(spark, tmp_path):
     import corpus_pipeline
 
