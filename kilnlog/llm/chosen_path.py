@@ -370,18 +370,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     joined = materialise(spark, jaccard_join(spark, docs, id_col=id_col, text_col=text_col, **options), "path-joined")
     key = F.struct(F.col("_id").isNull().alias("n"), "_id", "_t1", "_t2")
     of_class = [F.coalesce("class_id", "_t1"), F.col("class_id").isNull()]
-    classed = joined.withColumns({"_class": of_class[0], "_none": of_class[1]})
-    rows = classed.join(classed.groupBy("_class", "_none").agg(F.min(key).alias("_k")), ["_class", "_none"])
+    first = joined.groupBy(of_class[0].alias("_class"), of_class[1].alias("_none")).agg(F.min(key).alias("_k"))
+    first = materialise(spark, first.select(F.col("_k._id").alias("_kid"), F.col("_k._t1").alias("_k1"), F.col("_k._t2").alias("_k2")), "path-first")
+    # met by row, not by class, so that a class of very many rows is no hot key
+    is_first = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2"))
     as_keys = lambda df: small_side(materialise(spark, df.select(F.col("_id").alias("_kid"), F.col("_t1").alias("_k1"), F.col("_t2").alias("_k2")), "path-keys"), 32)
-    dropped = as_keys(rows.where(~(key == F.col("_k"))).select("_id", "_t1", "_t2").distinct())
-    repeated = as_keys(rows.where(key == F.col("_k")).groupBy("_id", "_t1", "_t2").count().where("count > 1"))
+    dropped = as_keys(joined.select("_id", "_t1", "_t2").distinct().join(first, is_first, "left_anti"))
+    repeated = as_keys(joined.join(first, is_first, "left_semi").groupBy("_id", "_t1", "_t2").count().where("count > 1"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2"))
-    kept = carried(docs, _id=F.col(f"`{id_col}`").cast("long"), _t1=F.xxhash64(text), _t2=F.xxhash64(F.lit(1), text)).join(dropped, same, "left_anti")
+    kept = carried(docs, _id=F.col(f"`{id_col}`").cast("long"), _t1=F.xxhash64(text), _t2=F.xxhash64(F.lit(1), text)).join(dropped, is_first, "left_anti")
     if repeated.isEmpty():
         return restored(kept, docs)
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["_id", "_t1", "_t2"])
-    return restored(kept.join(repeated, same, "left_anti").unionByName(once), docs)
+    once = kept.join(repeated, is_first, "left_semi").dropDuplicates(["_id", "_t1", "_t2"])
+    return restored(kept.join(repeated, is_first, "left_anti").unionByName(once), docs)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -376,7 +376,8 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, order: int = O
     A row for each row of docs, written to the shared folder.  model is joined as it is, in ceil(rows / shard_rows) shards.
     """
     shards = max(1, math.ceil(model.count() / shard_rows))
-    buckets = min(50_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
+    # blocks fall into buckets by chance, so there are some more buckets than blocks
+    buckets = min(50_000, 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
     rows = docs.mapInArrow(tidy(_to_blocks(order, shards, block_chars)), "_block long, _fold int, _shard int, _n long, _data binary")
     with scratch(spark), bucketed(spark, rows, "_block", buckets, "kn-blocks") as blocks:
         asked = blocks.where("_fold >= 0")
