@@ -485,22 +485,47 @@ def _mined(spark, d):
 _NTOK = "len(list_filter(regexp_split_to_array(replace(replace(replace(regexp_replace(raw, '^\\[[^]]*\\]\\s*', ''), ':', ' '), '=', ' '), '|', ' '), '\\s+'), lambda x: x <> ''))"
 
 
+def _entity(text: str) -> str:
+    """SQL of T.entity."""
+    cases = " ".join(f"when contains(lower({text}), '{k}') then '{v}'" for k, v in sorted(T.ENTITIES.items(), key=lambda kv: -len(kv[0])))
+    return f"case {cases} else coalesce(nullif(substr(upper(regexp_replace(regexp_extract({text}, '([A-Za-z][A-Za-z0-9_-]*)', 1), '[^A-Za-z0-9]', '', 'g')), 1, 3), ''), 'UNK') end"
+
+
+def _quote(text: str) -> str:
+    """SQL of T.quote."""
+    return f"substr(replace(trim(regexp_replace(replace({text}, '<*>', '*'), '\\s+', ' ', 'g')), '\"', chr(39)), 1, 72)"
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_WORDS = f"list_filter(list_transform(list_filter(regexp_extract_all(lower(template), '([A-Za-z][A-Za-z0-9_-]*)', 1), lambda t: t not in ({_STOP})), lambda t: trim(t, '_-')), lambda t: t <> '')"
+# every line of a token count and a first word is alike enough for one template, whose wild places are those that have differed
+MINED = f"""{EV},
+tl as (select event_id as line_no, ts, list_filter(regexp_split_to_array(replace(replace(replace(regexp_replace(raw, '^\\[[^]]*\\]\\s*', ''), ':', ' '), '=', ' '), '|', ' '), '\\s+'), lambda x: x <> '') as t from ev),
+tw as (select line_no, len(t) as n, t[1] as head, i, t[i] as w from tl, unnest(range(1, len(t) + 1)) u(i)),
+tr as (select *, min(w) over p <> max(w) over p as wild from tw window p as (partition by n, head, i order by line_no)),
+tp as (select n, head, string_agg(w, ' ' order by i) as template from (select n, head, i, case when min(w) = max(w) then min(w) else '<*>' end as w from tw group by all) group by all),
+tc as (select n, head, count(*) as count, min(line_no) as first_line from tw where i = 1 group by all),
+tm as (select row_number() over (order by first_line) as template_id, template, count, first_line, n, head from tp join tc using (n, head)),
+tk as (select *, {_WORDS} as ws from tm),
+ts_ as (select *, {_entity('template')} as ent, {_quote('template')} as quoted, coalesce(nullif(array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i)[1:2], '_'), ''), 'generic') as kw from tk)"""
+
+
 @query(f"with {EV} select {_NTOK}::int as n_tokens, count(*) as n_lines from ev group by 1")
 def template_mining(spark, d):
     return _mined(spark, d)[1].groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query()
+@query(f"with {MINED} select template_id, template, count from tm")
 def template_counts(spark, d):
     return _mined(spark, d)[2].select("template_id", "template", "count")
 
 
-@query()
+@query(f"with {MINED} select template_id, template, count from tm order by count desc, template_id limit 20")
 def template_topk(spark, d):
     return M.top(_mined(spark, d)[2], 20).select("template_id", "template", "count")
 
 
-@query()
+@query(f"""with {MINED} select line_no, template_id, coalesce(string_agg(w, '|' order by i) filter (wild), '') as params from tr join tm using (n, head) group by 1, 2""")
 def template_params(spark, d):
     lines, mined, found = _mined(spark, d)
     return M.parsed_lines(lines, mined, found).select("line_no", "template_id", F.array_join("params", "|").alias("params"))
@@ -519,24 +544,25 @@ def parse_summary(spark, d):
     return own.groupBy("cycle").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("channel").alias("n_channels"))
 
 
-@query()
+@query(f"with {MINED} select cycle, sum(k) over (order by cycle)::bigint as seen from (select tl.ts::date as cycle, count(*) as k from tm join tl on tl.line_no = tm.first_line group by 1)")
 def parse_summary_templates(spark, d):
     lines, mined, found = _mined(spark, d)
     firsts = found.join(lines.select(F.col("line_no").alias("first_line"), F.to_date(L.timestamp(F.col("raw"))).alias("cycle")), "first_line")
     return R.running_first_seen(firsts, "cycle")
 
 
-@query()
+@query(f"with {MINED} select template_id, count, template, (select count(*) from tm) as total_templates from tm order by count desc, template_id limit 20")
 def tool_templates(spark, d):
     return Q.templates(_mined(spark, d)[2], 20)
 
 
-@query()
+@query(f"""with {MINED}, best as (select *, row_number() over (order by count desc, template_id desc) as k from ts_ qualify k <= 5)
+select 'events' as file, 'TPLSET|fmt=aaak-log-v1|count=' || count(*) || chr(10) || string_agg('TPL|' || ent || '|hit=' || count || '|kw=' || kw || '|"' || quoted || '"', chr(10) order by k) as summary from best""")
 def compact_templates(spark, d):
     return M.compact_templates(_mined(spark, d)[2])
 
 
-@query()
+@query(f"with {MINED} select template_id, template, count from tm")
 def templates_resume(spark, d):
     """Mining in two halves with saved templates between them counts every line once."""
     lines = _one_log(spark, d)
@@ -549,6 +575,14 @@ def templates_resume(spark, d):
 
 # --- experiences, documents, streams ------------------------------------------
 
+_SEV = "case severity when 'critical' then 0 when 'warning' then 1 else 2 end"
+SPANS = f"""{ANOM},
+sp as (select aa.file, aa.cycle_id::bigint as cycle_id, rule_id, rule_name, severity, line_number, message, lpad((row_number() over (partition by aa.file, aa.cycle_id order by phase, line_number, pos))::varchar, 9, '0') as place,
+  case when phase = 0 then context_before else '' end as b, case when phase = 0 then context_after else '' end as a from aa left join ctx on aa.file = ctx.file and aa.cycle_id = ctx.cycle_id and aa.line_number = ctx.lic),
+sn as (select *, file || ':' || cycle_id || ':' || place as spot, trim(concat_ws(chr(10), nullif(b, ''), nullif(a, '')), ' ' || chr(9) || chr(10) || chr(13)) as snippet from sp),
+fi as (select *, file || ':' || place as own, row_number() over (order by {_SEV}, cycle_id, file || ':' || place) as k from sp qualify k <= 10)"""
+
+
 def _spans(spark, d):
     anomalies, lines = _anomalies(spark, d)
     with_ctx = D.with_context(anomalies, lines, 3, 3)
@@ -556,14 +590,21 @@ def _spans(spark, d):
     return with_ctx.withColumn("place", F.row_number().over(Window.partitionBy("file", "cycle_id").orderBy(order))).withColumns({"before": F.array_join("context_before", "\n"), "after": F.array_join("context_after", "\n")})
 
 
-@query(f"with {ANOM} select severity, cycle_id::bigint as cycle_id, count(*) as n from (select severity, cycle_id from aa order by case severity when 'critical' then 0 when 'warning' then 1 else 2 end, cycle_id limit 10) group by 1, 2")
+def _ordered_spans(spark, d):
+    """Spans whose places tell the logs apart too."""
+    return _spans(spark, d).withColumn("place", F.concat_ws(":", "file", F.lpad(F.col("place").cast("string"), 9, "0")))
+
+
+@query(f"with {SPANS} select cycle_id, rule_id, rule_name, severity, line_number, message, own as place from fi")
 def experience_findings(spark, d):
     from kilnlog.operators import experience as X
 
-    return X.findings(_spans(spark, d)).groupBy("severity", "cycle_id").agg(F.count(F.lit(1)).alias("n"))
+    return X.findings(_ordered_spans(spark, d))
 
 
-@query()
+@query(f"""with {MINED}, {SPANS[len(EV) + 2:]}
+select * from (select 'template' as kind, template_id::varchar as place, template as text from tm order by count desc, template_id::varchar limit 5)
+union all select * from (select 'snippet', spot, snippet from sn where snippet <> '' order by spot limit 3)""")
 def experience_evidence(spark, d):
     from kilnlog.operators import experience as X
 
@@ -571,7 +612,19 @@ def experience_evidence(spark, d):
     return X.evidence(_mined(spark, d)[2].withColumn("template_id", F.col("template_id").cast("string")), spans)
 
 
-@query()
+# a message with its quotes made single, as in compact texts
+_EXPERIENCE = f"""with {MINED}, {SPANS[len(EV) + 2:]},
+fc as (select *, trim(replace(message, '"', chr(39))) as said from fi),
+ft as (select *, rule_id || ' ' || said as named from fc),
+fl as (select string_agg('F|' || {_entity('named')} || '|sev=' || severity || '|rule=' || rule_id || '|cycle=' || cycle_id || '|line=' || line_number || '|"' || {_quote('said')} || '"', chr(10) order by k) filter (k <= 5) as lines,
+  string_agg('{{"cycle_id":' || cycle_id || ',"rule_id":"' || rule_id || '","severity":"' || severity || '","line_number":' || line_number || ',"message":' || to_json(message)::varchar || '}}', ',' order by k) as listed from ft),
+tt as (select string_agg('TPL|' || ent || '|kw=' || kw || '|"' || quoted || '"', chr(10) order by count desc, template_id) as lines from (select * from ts_ order by count desc, template_id limit 5)),
+hd as (select 'EXP|fmt=aaak-log-v1|plat=events|model=table|anom=' || count(*) || '|sev=' || (select arg_min(severity, {_SEV}) from fi) || '|cycles=' || array_to_string(list_sort(list_distinct(list(cycle_id))), ',') as line from sp),
+ex as (select 'events-' || substr(sha256('{{"findings":[' || fl.listed || '],"platform":"events","source_log":"{{\\"path\\":\\"\\"}}"}}'), 1, 16) as experience_id,
+  hd.line || chr(10) || fl.lines || chr(10) || tt.lines || chr(10) || 'RCA|ERR|"Errors follow purchases. Views are slow."' as compact from hd, fl, tt)"""
+
+
+@query(_EXPERIENCE + " select experience_id, compact from ex")
 def compact_experience(spark, d):
     return _experience(spark, d).select("experience_id", "compact")
 
@@ -579,11 +632,11 @@ def compact_experience(spark, d):
 def _experience(spark, d):
     from kilnlog.operators import experience as X
 
-    spans = S.stored(_spans(spark, d).withColumn("place", F.concat_ws(":", "file", F.lpad(F.col("place").cast("string"), 9, "0"))), "spans")
+    spans = S.stored(_ordered_spans(spark, d), "spans")
     return X.experience(spark, platform="events", device="table", spans=spans, templates=S.stored(_mined(spark, d)[2], "templates"), analysis="# Events\nErrors follow purchases.\nViews are slow.")
 
 
-@query()
+@query(_EXPERIENCE + " select experience_id as source, compact as text from ex")
 def experience_docs(spark, d):
     from kilnlog.operators import experience as X
 
