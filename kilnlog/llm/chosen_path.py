@@ -388,3 +388,20 @@ def one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard_join(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.select(F.col("_id").alias("doc_id"), "class_id", "copy_id", "n_links")
+
+
+#: All pairs of texts that share a shingle, and the closure of their links.
+ORACLE = """
+with recursive tx as (select coalesce(text, '') as text, min(doc_id) as copy_id from documents group by 1),
+wd as (select copy_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from tx),
+sh as (select distinct copy_id, array_to_string(w[i:i + 4], ' ') as s from wd, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(i) where len(w) > 0),
+sz as (select copy_id, count(*) as n from sh group by 1),
+pr as (select a.copy_id as x, b.copy_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.copy_id <> b.copy_id group by 1, 2),
+lk as (select x, y from pr join sz a on a.copy_id = x join sz b on b.copy_id = y where 5 * c >= 4 * (a.n + b.n - c)),
+cc(x, y) as (select copy_id, copy_id from tx union select cc.x, lk.y from cc join lk on lk.x = cc.y),
+cl as (select x, min(y) as class_id from cc group by 1),
+bl as (select min(copy_id) as class_id from wd where len(w) = 0),
+nl as (select x, count(*) as n from lk group by 1)
+select d.doc_id, case when len(wd.w) = 0 then bl.class_id else cl.class_id end as class_id, tx.copy_id, coalesce(nl.n, 0)::bigint as n_links
+from documents d join tx on coalesce(d.text, '') = tx.text join wd on wd.copy_id = tx.copy_id join cl on cl.x = tx.copy_id left join nl on nl.x = tx.copy_id, bl
+"""

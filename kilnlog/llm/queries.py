@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_mix_sources": mixing.ORACLE,
         "op4_exact_topk": topk.ORACLE,
         "op7_tool_chat": tool_chat.ORACLE,
+        "op8_ngram_jaccard_join": chosen_path.ORACLE,
         "op9_url_filter": url_filter.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }
