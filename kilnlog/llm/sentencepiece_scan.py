@@ -37,6 +37,7 @@ from kilnlog.llm.common import materialise, small_batches, table, tidy
 
 SPACE = "▁"
 GIANT_CHARS, CHUNK_CHARS = 1 << 15, 1 << 14
+KEPT = 50_000  # pairs of pieces, and first and last words, that a worker remembers
 
 
 def _fields(data: bytes):
@@ -256,7 +257,7 @@ class BpeScan:
         if a < 0 or b < 0:
             return True
         if (a, b) not in self._next:
-            if len(self._next) > 1_000_000:
+            if len(self._next) > KEPT:
                 self._next.clear()
             x, y = self.text_of[a], self.text_of[b]
             self._next[a, b] = self.merged(x + y) == [x, y]
@@ -372,7 +373,7 @@ class BpeScan:
 
     def _ends(self, word: str) -> list[int]:
         if word not in self._seen:
-            if len(self._seen) > 100_000:
+            if len(self._seen) > KEPT:
                 self._seen.clear()
             (entry, leave), = self.states([self.matrix(word, 0, 0)]) if word else ((0, 0),)
             self._seen[word] = self.backtrace(word, 0, 0, entry, leave) if word else []
@@ -484,7 +485,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, *, t
     return done.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *[c for c in done.columns if c != "_row"])
 
 
-def _by_size(texts, chars: int = 1 << 20):
+def _by_size(texts, chars: int = 1 << 18):
     lo = n = 0
     for i, t in enumerate(texts):
         n += len(t)
