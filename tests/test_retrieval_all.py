@@ -81,3 +81,17 @@ def test_late_words_of_an_item_are_asked(spark, tmp_path):
     spark.createDataFrame([(0, late), (3, "none")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name in ("bm25_topk", "overlap_fallback"):
         assert [(r["query_id"], r["id"]) for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == [(0, 77)]
+
+
+def test_texts_in_blocks_of_queries(spark, monkeypatch):
+    docs, asked = catalog._corpus(spark, SMALL)
+    asked = asked.unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1002, "nowhere")], "query_id long, text string"))
+    search = lambda: [sorted(map(tuple, f(docs.repartition(3), asked, 4).collect())) for f in (V.bm25, V.overlap)]
+    whole = search()
+    monkeypatch.setattr(V, "BLOCK_QUERIES", 7)
+    for a, b in zip(whole, search(), strict=True):
+        assert [(q, i, rank, round(s, 7)) for q, i, s, rank in a] == [(q, i, rank, round(s, 7)) for q, i, s, rank in b] and len(a) > 40
+    index = V.bm25_index(docs)
+    assert [(q, i, rank) for q, i, _, rank in sorted(map(tuple, V.bm25(docs, asked, 4, index=index).collect()))] == [(q, i, rank) for q, i, _, rank in whole[0]]
+    none = docs.where("false")
+    assert V.bm25(none, asked, 4).count() == V.overlap(none, asked, 4).count() == V.bm25(docs, asked.where("false"), 4).count() == 0
